@@ -83,7 +83,7 @@ def fit_perceptron(train: DataFrame, label: str = "label", width: int | None = N
 def fit_linear_svm(train: DataFrame, key: str, label: str = "label", folds: int = 3, seed: int = 42) -> Scorer:
     """Linear SVM with sigmoid calibration: margin model and Platt scaling per fold, scores averaged."""
     weight = {"weightCol": "weight"} if "weight" in train.columns else {}
-    folded = train.withColumn("_fold", F.floor(hash_uniform(F.col(key), seed=seed) * folds).cast("int"))
+    folded = train.withColumn("_fold", F.floor(hash_uniform(F.col(key), F.lit("fold"), seed=seed) * folds).cast("int"))
     members = []
     for fold in range(folds):
         fit_rows, held = folded.where(F.col("_fold") != fold), folded.where(F.col("_fold") == fold)
@@ -192,8 +192,30 @@ def load_scorer(path: str) -> Scorer:
     return _pipeline_scorer(PipelineModel.load(path))
 
 
+def independent_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Columns left after dropping constant ones and those that earlier ones determine.
+
+    Works on the correlation matrix, whose size depends on the columns only.
+    """
+    matrix = _correlations(df, columns)
+    kept: list[int] = []
+    for i in range(len(columns)):
+        trial = [*kept, i]
+        block = matrix[np.ix_(trial, trial)]
+        if np.isfinite(block).all() and np.linalg.eigvalsh(block)[0] > 1e-9:
+            kept = trial
+    return [columns[i] for i in kept]
+
+
+def _correlations(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    return Correlation.corr(assemble(df, columns), "features").head()[0].toArray()
+
+
 def fit_ols(df: DataFrame, features: Sequence[str], target: str):
-    """Ordinary least squares with intercept by the normal equations."""
+    """Ordinary least squares with intercept by the normal equations.
+
+    ``features`` must be linearly independent, see ``independent_columns``.
+    """
     rows = assemble(df.withColumn("_y", F.col(target).cast("double")).dropna(subset=["_y"]), features)
     return LinearRegression(featuresCol="features", labelCol="_y", solver="normal", standardization=False).fit(rows)
 
@@ -225,8 +247,7 @@ def vif(df: DataFrame, features: Sequence[str]) -> DataFrame:
     The matrix is features x features, whatever the number of rows; a constant or
     collinear column gives NULL.
     """
-    matrix = Correlation.corr(assemble(df, features), "features").head()[0].toArray()
-    matrix = np.nan_to_num(matrix)
+    matrix = np.nan_to_num(_correlations(df, features))
     singular = np.linalg.matrix_rank(matrix) < len(features)
     inverse = np.linalg.pinv(matrix) if singular else np.linalg.inv(matrix)
     rows = [(f, None if singular else float(inverse[i, i])) for i, f in enumerate(features)]

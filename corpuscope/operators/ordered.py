@@ -24,6 +24,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BUCKET = "_bucket"
 
 
+def _quoted(names: Sequence[str]) -> list[str]:
+    return [f"`{name}`" for name in names]
+
+
+def _names(names: Sequence[str]) -> str:
+    return ", ".join(_quoted(names))
+
+
 def default_buckets(df: DataFrame) -> int:
     return max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -41,7 +49,9 @@ def cut_points(df: DataFrame, *values: str, buckets: int | None = None) -> list[
 def with_bucket(df: DataFrame, value: str, points: Sequence[float]) -> DataFrame:
     scaled = df.withColumn("_v", F.col(value).cast("double"))
     cutter = Bucketizer(splits=list(points), inputCol="_v", outputCol=BUCKET, handleInvalid="keep")
-    return cutter.transform(scaled).withColumn(BUCKET, F.col(BUCKET).cast("int")).drop("_v")
+    # Never NULL, so that no null check on the bucket is pushed below the pre-aggregation:
+    # both readers of the distinct values then share one exchange.
+    return cutter.transform(scaled).withColumn(BUCKET, F.coalesce(F.col(BUCKET).cast("int"), F.lit(-1))).drop("_v")
 
 
 def ordered_totals(
@@ -59,8 +69,7 @@ def ordered_totals(
     """
     measures = dict(measures or {"n": F.lit(1)})
     by, keep = list(by), list(keep)
-    for column in [value, *by]:
-        df = df.where(F.col(column).isNotNull())
+    df = df.dropna(subset=[value, *by])
     if points is None:
         points = cut_points(df, value)
     distinct = df.groupBy(*by, value, *keep).agg(*[F.sum(c).alias(m) for m, c in measures.items()])
@@ -68,28 +77,26 @@ def ordered_totals(
 
     # At most one row per bucket in each group: a short, bounded window.
     per_bucket = bucketed.groupBy(*by, BUCKET).agg(*[F.sum(m).alias(f"{m}_bucket") for m in measures])
-    group = Window.partitionBy(*by)
-    before = group.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        *by, BUCKET,
-        *[F.col(f"{m}_bucket") for m in measures],
-        *[F.coalesce(F.sum(f"{m}_bucket").over(before), F.lit(0)).alias(f"{m}_off") for m in measures],
-        *[F.sum(f"{m}_bucket").over(group).alias(f"{m}_total") for m in measures],
+    group = f"PARTITION BY {_names(by)}" if by else ""
+    before = f"{group} ORDER BY {BUCKET} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    offsets = per_bucket.selectExpr(
+        *_quoted(by), BUCKET, *[f"{m}_bucket" for m in measures],
+        *[f"coalesce(sum({m}_bucket) OVER ({before}), 0) AS {m}_off" for m in measures],
+        *[f"sum({m}_bucket) OVER ({group}) AS {m}_total" for m in measures],
     )
     if needed is not None:
         offsets = offsets.where(needed)
     placed = bucketed.join(offsets, [*by, BUCKET])
 
-    within = Window.partitionBy(*by, BUCKET).orderBy(value)
-    ties = Window.partitionBy(*by, BUCKET, value)
+    cell = _names([*by, BUCKET])
+    columns = []
     for m in measures:
-        peers = F.sum(m).over(ties) if keep else F.col(m)
-        placed = placed.withColumn(f"{m}_ties", peers)
-        placed = placed.withColumn(f"{m}_below", F.col(f"{m}_off") + F.sum(m).over(within) - F.col(f"{m}_ties"))
-    return placed.select(
-        *by, value, *keep,
-        *[c for m in measures for c in (m, f"{m}_below", f"{m}_ties", f"{m}_total")],
-    )
+        peers = f"sum({m}) OVER (PARTITION BY {cell}, `{value}`)" if keep else m
+        columns += [
+            m, f"{m}_off + sum({m}) OVER (PARTITION BY {cell} ORDER BY `{value}`) - {peers} AS {m}_below",
+            f"{peers} AS {m}_ties", f"{m}_total",
+        ]
+    return placed.selectExpr(*_quoted([*by, value, *keep]), *columns)
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), keep: Sequence[str] = (),
@@ -99,37 +106,51 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), keep: Seque
     return ranked.withColumn("avg_rank", F.col("n_below") + (F.col("n_ties") + 1) / 2)
 
 
-def exact_quantiles(
+def quantile_rows(
     df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (),
     points: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per group: (by, n, one column per prob)."""
-    lows = {name: F.floor((F.col("n_total") - 1) * p).cast("bigint") for name, p in probs.items()}
+    """Exact linearly interpolated quantiles, one row per group and name: (by, name, prob, n, quantile).
 
-    def covers(start: Column, size: Column, index: Column) -> Column:
-        return (start <= index) & (index < start + size)
+    Only buckets that hold a wanted position are sorted, and only the rows at those
+    positions go on to the last aggregation.
+    """
+    wanted = "array(" + ", ".join(f"named_struct('name', '{name}', 'p', {p!r}D)" for name, p in probs.items()) + ")"
+    low = "CAST(floor((n_total - 1) * {p}) AS BIGINT)"
 
-    needed = F.lit(False)
-    for low in lows.values():
-        for index in (low, low + 1):
-            needed = needed | covers(F.col("n_off"), F.col("n_bucket"), index)
-    ranked = ordered_totals(df, value, by, points=points, needed=needed)
+    def covers(start: str, size: str, p: str, step: int) -> str:
+        index = f"({low.format(p=p)} + {step})"
+        return f"({start} <= {index} AND {index} < {start} + {size})"
 
-    number = F.col(value).cast("double")
-    picks = []
-    for name, low in lows.items():
-        for side, index in (("lo", low), ("hi", low + 1)):
-            hit = covers(F.col("n_below"), F.col("n"), index)
-            picks.append(F.max(F.when(hit, number)).alias(f"_{name}_{side}"))
-    grouped = ranked.groupBy(*by).agg(F.max("n_total").alias("n"), *picks)
+    def holds(start: str, size: str) -> str:
+        return f"s -> {covers(start, size, 's.p', 0)} OR {covers(start, size, 's.p', 1)}"
+
+    ranked = ordered_totals(
+        df, value, by, points=points, needed=F.expr(f"exists({wanted}, {holds('n_off', 'n_bucket')})"))
+    hits = ranked.selectExpr(
+        *_quoted(by), f"CAST(`{value}` AS DOUBLE) AS _x", "n", "n_below", "n_total",
+        f"inline(filter({wanted}, {holds('n_below', 'n')})) AS (name, prob)",
+    )
+    ends = hits.groupBy(*by, "name", "prob").agg(
+        F.max("n_total").alias("n"),
+        F.expr(f"max(CASE WHEN {covers('n_below', 'n', 'prob', 0)} THEN _x END)").alias("_low"),
+        F.expr(f"max(CASE WHEN {covers('n_below', 'n', 'prob', 1)} THEN _x END)").alias("_high"),
+    )
+    share = "((n - 1) * prob - floor((n - 1) * prob))"
+    return ends.selectExpr(
+        *_quoted(by), "name", "prob", "n",
+        f"CASE WHEN {share} > 0 THEN _low + (_high - _low) * {share} ELSE _low END AS quantile",
+    )
 
-    def interpolate(name: str, p: float) -> Column:
-        position = (F.col("n") - 1) * p
-        share = position - F.floor(position)
-        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        return F.when(share > 0, low + (high - low) * share).otherwise(low).alias(name)
 
-    return grouped.select(*by, "n", *[interpolate(name, p) for name, p in probs.items()])
+def exact_quantiles(
+    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (),
+    points: Sequence[float] | None = None,
+) -> DataFrame:
+    """``quantile_rows`` with one column per name: (by, n, one column per prob)."""
+    rows = quantile_rows(df, value, probs, by, points)
+    return rows.groupBy(*by).agg(
+        F.max("n").alias("n"), *[F.expr(f"max(CASE WHEN name = '{name}' THEN quantile END)").alias(name) for name in probs])
 
 
 def medians(df: DataFrame, values: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -144,9 +165,9 @@ def medians(df: DataFrame, values: Sequence[str], by: Sequence[str]) -> DataFram
             F.struct(F.lit(v).alias("_metric"), F.col(v).cast("double").alias("_value")) for v in values
         ])).alias("_m"),
     ).select(*by, "_m.*")
-    found = exact_quantiles(long, "_value", {"median": 0.5}, by=[*by, "_metric"], points=points)
+    found = quantile_rows(long, "_value", {"median": 0.5}, by=[*by, "_metric"], points=points)
     wide = found.groupBy(*by).agg(*[
-        F.max(F.when(F.col("_metric") == v, F.col("median"))).alias(v) for v in values
+        F.expr(f"max(CASE WHEN _metric = '{v}' THEN quantile END)").alias(v) for v in values
     ])
     return df.select(*by).dropna(subset=list(by)).distinct().join(wide, list(by), "left")
 

@@ -10,7 +10,7 @@ from corpuscope.fixed_values import MIN_GROUP_SIZE
 from corpuscope.functions.tails import chi2_upper_column, correlation_p_column
 from corpuscope.operators.filters import group_sizes
 from corpuscope.operators.joins import weighted_lookup_join
-from corpuscope.operators.ordered import average_ranks, cut_points, exact_quantiles
+from corpuscope.operators.ordered import average_ranks, cut_points, exact_quantiles, quantile_rows
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -123,9 +123,7 @@ def normality(df: DataFrame, column: str) -> DataFrame:
 def qq_points(df: DataFrame, column: str, grid: int = 99) -> DataFrame:
     """Exact sample quantiles at i/(grid+1) for a Q-Q plot."""
     probs = {f"p{i}": i / (grid + 1) for i in range(1, grid + 1)}
-    wide = exact_quantiles(df, column, probs)
-    cells = F.array(*[F.struct(F.lit(p).alias("prob"), F.col(name).alias("quantile")) for name, p in probs.items()])
-    return wide.select(F.explode(cells).alias("_c")).select("_c.*")
+    return quantile_rows(df, column, probs).select("prob", "quantile")
 
 
 def kernel_density(df: DataFrame, column: str, grid: int = 100) -> DataFrame:

@@ -430,13 +430,13 @@ def keep_last(spark, sf_dir):
 
 @query("top_k_desc", f"SELECT doc_id, fk FROM ({READABILITY_SQL}) ORDER BY fk DESC, doc_id LIMIT 20")
 def top_k_desc(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.round(text.readability_fk(F.col("text")), 6).alias("fk"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.round(text.readability_fk(F.col("text")), 8).alias("fk"))
     return docs.orderBy(F.col("fk").desc(), "doc_id").limit(20)
 
 
 @query("top_k_asc", f"SELECT doc_id, ari FROM ({READABILITY_SQL}) ORDER BY ari, doc_id LIMIT 15")
 def top_k_asc(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.round(text.readability_ari(F.col("text")), 6).alias("ari"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.round(text.readability_ari(F.col("text")), 8).alias("ari"))
     return docs.where("ari IS NOT NULL").orderBy("ari", "doc_id").limit(15)
 
 

@@ -144,9 +144,9 @@ class EngagementModel:
         if drop_country:
             names = [n for n in names if not n.startswith("country_")]
         rows = materialise(rows.select(target, *names), "engagement-design")
-        varying = [n for n in names if rows.agg(F.max(n) > F.min(n)).head()[0]] if names else names
-        model = models.fit_ols(rows, varying, target)
-        return models.ols_summary(rows.sparkSession, model, varying), models.vif(rows, varying)
+        kept = models.independent_columns(rows, names)
+        model = models.fit_ols(rows, kept, target)
+        return models.ols_summary(rows.sparkSession, model, kept), models.vif(rows, kept)
 
 
 def order_frames(spark, sf_dir):

@@ -24,8 +24,8 @@ mo AS (SELECT avg(views_per_day) AS a1, avg(likes_per_day) AS a2, avg(comments_p
               corr(views_per_day, comments_per_day) AS y, corr(likes_per_day, comments_per_day) AS z FROM c),
 p AS (SELECT *, sqrt((x * x + y * y + z * z) / 3) AS p FROM mo),
 phi AS (SELECT *, acos(least(1, greatest(-1, x * y * z / (p * p * p)))) / 3 AS phi FROM p),
-ev AS (SELECT *, unnest([1, 2, 3]) AS pc, unnest([1 + 2 * p * cos(phi), 1 + 2 * p * cos(phi - 2 * pi() / 3), 1 + 2 * p * cos(phi + 2 * pi() / 3)]) AS lambda FROM phi),
-u AS (SELECT *, x * z - y * (1 - lambda) AS u1, y * x - (1 - lambda) * z AS u2, (1 - lambda) * (1 - lambda) - x * x AS u3 FROM ev),
+ev AS (SELECT *, unnest([1, 2, 3]) AS pc, unnest([1 + 2 * p * cos(phi), 1 + 2 * p * cos(phi - 2 * pi() / 3), 1 + 2 * p * cos(phi + 2 * pi() / 3)]) AS root FROM phi),
+u AS (SELECT *, x * z - y * (1 - root) AS u1, y * x - (1 - root) * z AS u2, (1 - root) * (1 - root) - x * x AS u3 FROM ev),
 v AS (SELECT *, sign(u1 + u2 + u3) / sqrt(u1 * u1 + u2 * u2 + u3 * u3) AS k FROM u)
 """
 
@@ -33,7 +33,7 @@ v AS (SELECT *, sign(u1 + u2 + u3) / sqrt(u1 * u1 + u2 * u2 + u3 * u3) AS k FROM
 @query("pca_loadings", f"""
 WITH {_PCA_SQL}
 SELECT unnest(['views_per_day', 'likes_per_day', 'comments_per_day']) AS feature, CAST(pc AS BIGINT) AS pc,
-       round(unnest([u1 * k, u2 * k, u3 * k]), 5) AS loading, round(lambda / 3, 5) AS explained FROM v
+       round(unnest([u1 * k, u2 * k, u3 * k]), 5) AS loading, round(root / 3, 5) AS explained FROM v
 """)
 def pca_loadings(spark, sf_dir):
     rows = complete_metrics(spark, sf_dir).select("o_orderkey", *RATES)

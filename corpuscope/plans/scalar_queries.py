@@ -297,7 +297,7 @@ def keyword_slug(spark, sf_dir):
 
 _SENTENCES = "greatest(1, len(regexp_extract_all(text, '[.!?]+(\\s|$)')))"
 READABILITY_SQL = f"""
-SELECT doc_id, round(0.39 * w / s + 11.8 * syl / w - 15.59, 6) AS fk, round(4.71 * chars / w + 0.5 * w / s - 21.43, 6) AS ari
+SELECT doc_id, round(0.39 * w / s + 11.8 * syl / w - 15.59, 8) AS fk, round(4.71 * chars / w + 0.5 * w / s - 21.43, 8) AS ari
 FROM (
   SELECT doc_id, CAST(len(ws) AS DOUBLE) AS w, {_SENTENCES} AS s,
          list_sum(list_transform(ws, lambda x: greatest(1, len(regexp_extract_all(lower(x), '[aeiouy]+'))))) AS syl,
@@ -309,12 +309,12 @@ FROM (
 
 @query("readability_fk", f"SELECT doc_id, fk FROM ({READABILITY_SQL})")
 def readability_fk(spark, sf_dir):
-    return rounded(load(spark, sf_dir, "documents").select("doc_id", text.readability_fk(F.col("text")).alias("fk")), "fk")
+    return rounded(load(spark, sf_dir, "documents").select("doc_id", text.readability_fk(F.col("text")).alias("fk")), "fk", digits=8)
 
 
 @query("readability_ari", f"SELECT doc_id, ari FROM ({READABILITY_SQL})")
 def readability_ari(spark, sf_dir):
-    return rounded(load(spark, sf_dir, "documents").select("doc_id", text.readability_ari(F.col("text")).alias("ari")), "ari")
+    return rounded(load(spark, sf_dir, "documents").select("doc_id", text.readability_ari(F.col("text")).alias("ari")), "ari", digits=8)
 
 
 LEXICON = {"worthless": (0.0, 0.75), "in": (0.125, 0.0), "and": (0.25, 0.0), "pour": (0.0, 0.125), "und": (0.5, 0.25), "the": (1.0, 0.0)}
@@ -436,7 +436,7 @@ SELECT d.doc_id, lang, fk FROM documents d LEFT JOIN (
 def feature_attach(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     computed = joins.semi_filter(docs, load(spark, sf_dir, "labels"), "doc_id").select(
-        "doc_id", F.round(text.readability_fk(F.col("text")), 6).alias("fk"))
+        "doc_id", F.round(text.readability_fk(F.col("text")), 8).alias("fk"))
     return docs.select("doc_id", "lang").join(computed, "doc_id", "left")
 
 

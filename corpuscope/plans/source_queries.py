@@ -27,7 +27,7 @@ def scan_project(spark, sf_dir):
 @query("table_exists", """
 SELECT 'doc_id' AS name, true AS present, count(doc_id) AS n FROM documents
 UNION ALL SELECT 'lang', true, count(lang) FROM documents
-UNION ALL SELECT 'channel_id', false, 0 FROM documents
+UNION ALL SELECT 'channel_id', false, count(NULL) FROM documents
 """)
 def column_probe(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
