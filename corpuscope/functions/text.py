@@ -9,11 +9,10 @@ from pyspark.sql import Column, functions as F
 from corpuscope.fixed_values import DESCRIPTION_WORDS, KEYWORDS, TOPIC_KEYWORDS, TRANSCRIPT_WORDS
 from corpuscope.functions.scalars import literal_map
 
-# The characters Python's str.split() and \s treat as white space; Java's \s is ASCII only.
-SPACE = (
-    "[ \\t-\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
-    "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
-)
+# White space as Python's str.split() and \s see it: the Unicode property plus four separators.
+# Java's plain \s is ASCII only.
+SPACE = r"(?U)[\s\x1c-\x1f]"
+NON_SPACE = r"(?U)[^\s\x1c-\x1f]"
 
 
 def strip(col: Column) -> Column:
@@ -22,22 +21,26 @@ def strip(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     """White-space separated words; NULL or blank text gives an empty array."""
-    parts = F.split(F.coalesce(col, F.lit("")), f"{SPACE}+")
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(col, F.lit("")), f"{SPACE}+"), "")
 
 
 def word_count(col: Column) -> Column:
-    return F.size(words(col))
+    """Words of a text, 0 for NULL or blank; counts matches without building the words."""
+    return F.coalesce(_count_words(col), F.lit(0))
 
 
 def truncate_words(col: Column, limit: int) -> Column:
-    return F.array_join(F.slice(words(col), 1, limit), " ")
+    """The first ``limit`` words joined by blanks; splitting stops there."""
+    text = F.regexp_replace(F.coalesce(col, F.lit("")), f"^{SPACE}+", "")
+    parts = F.slice(F.split(text, f"{SPACE}+", limit + 1), 1, limit)
+    return F.array_join(F.array_remove(parts, ""), " ")
 
 
 def clean_text(col: Column) -> Column:
     """Drop ``[...]`` marks within a line, squeeze white space, trim; NULL gives ''."""
-    text = F.regexp_replace(F.coalesce(col, F.lit("")), r"\[[^\n]*?\]", "")
-    return strip(F.regexp_replace(text, f"{SPACE}+", " "))
+    text = F.coalesce(col, F.lit(""))
+    unmarked = F.when(text.contains("["), F.regexp_replace(text, r"\[[^\n]*?\]", "")).otherwise(text)
+    return F.trim(F.regexp_replace(unmarked, f"{SPACE}+", " "))
 
 
 def not_contains(col: Column, needle: str) -> Column:
@@ -106,26 +109,34 @@ def sentence_count(col: Column) -> Column:
     return F.greatest(F.lit(1), F.regexp_count(col, F.lit(r"[.!?]+(\s|$)")))
 
 
-def syllable_count(word_list: Column) -> Column:
-    """Vowel groups per word, at least one for each word."""
-    return F.aggregate(
-        word_list, F.lit(0),
-        lambda total, w: total + F.greatest(F.lit(1), F.regexp_count(F.lower(w), F.lit("[aeiouy]+"))),
-    )
+def _count_words(col: Column) -> Column:
+    return F.regexp_count(col, F.lit(f"{NON_SPACE}+"))
+
+
+def syllable_count(col: Column) -> Column:
+    """Vowel groups per word, at least one for each word.
+
+    No vowel group spans a blank, so the groups of the whole text plus its vowel-free
+    words give the sum over words without splitting the text.
+    """
+    groups = F.regexp_count(col, F.lit("[aeiouyAEIOUY]+"))
+    with_vowel = F.regexp_count(col, F.lit(r"(?U)[aeiouyAEIOUY][^\s\x1c-\x1f]*+"))
+    return groups + _count_words(col) - with_vowel
 
 
+def char_count(col: Column) -> Column:
+    return F.length(col) - F.regexp_count(col, F.lit(SPACE))
+
+
+# The word count occurs several times below, outside any condition, so that Spark evaluates it once.
+
 def readability_fk(col: Column) -> Column:
     """Flesch-Kincaid grade: 0.39 W/S + 11.8 Syl/W - 15.59; empty text gives NULL."""
-    w = words(col)
-    n = F.size(w).cast("double")
-    return F.when(
-        F.size(w) > 0, 0.39 * n / sentence_count(col) + 11.8 * syllable_count(w) / n - 15.59
-    )
+    n = _count_words(col).cast("double")
+    return 0.39 * n / sentence_count(col) + F.try_divide(11.8 * syllable_count(col), n) - 15.59
 
 
 def readability_ari(col: Column) -> Column:
     """Automated readability index: 4.71 C/W + 0.5 W/S - 21.43; empty text gives NULL."""
-    w = words(col)
-    n = F.size(w).cast("double")
-    chars = F.aggregate(w, F.lit(0), lambda total, x: total + F.length(x))
-    return F.when(F.size(w) > 0, 4.71 * chars / n + 0.5 * n / sentence_count(col) - 21.43)
+    n = _count_words(col).cast("double")
+    return F.try_divide(4.71 * char_count(col), n) + 0.5 * n / sentence_count(col) - 21.43

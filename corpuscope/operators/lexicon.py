@@ -19,14 +19,13 @@ def valence_density(df: DataFrame, key: str, text: str, lexicon: DataFrame, stop
     over all tokens, 0 for an empty text. ``lexicon`` is (token, pos, neg) and
     ``stopwords`` (token); stop words are never scored.
     """
-    listed = df.select(key, tokens(F.col(text)).alias("_t"))
     scores = lexicon.join(stopwords.select("token"), "token", "left_anti").select(
         "token", (F.col("pos") - F.col("neg")).alias("_score"))
-    found = dim_join(listed.select(key, F.explode("_t").alias("token")), scores, "token")
+    listed = df.select(key, F.explode_outer(tokens(F.col(text))).alias("token"))
     # A text's tokens are exploded in one task, so partial sums shrink to a row per text before the shuffle.
-    scored = found.groupBy(key).agg(F.sum("_score").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    sizes = listed.select(key, F.size("_t").alias("_all"))
-    return sizes.join(scored, key, "left").select(
+    totals = dim_join(listed, scores, "token", "left").groupBy(key).agg(
+        F.sum("_score").alias("_sum"), F.count("_score").alias("_n"), F.count("token").alias("_all"))
+    return totals.select(
         key,
         F.coalesce(F.try_divide(F.col("_sum"), F.col("_n")), F.lit(0.0)).alias("valence"),
         F.coalesce(F.try_divide(F.col("_n"), F.col("_all")), F.lit(0.0)).alias("density"),

@@ -41,7 +41,7 @@ def cut_points(df: DataFrame, *values: str, buckets: int | None = None) -> list[
     buckets = buckets or default_buckets(df)
     probabilities = [i / buckets for i in range(1, buckets)]
     doubles = df.select(*[F.col(v).cast("double").alias(v) for v in values])
-    found = doubles.approxQuantile(list(values), probabilities, 0.5 / buckets)
+    found = doubles.approxQuantile(list(values), probabilities, 0.5 / buckets) if probabilities else []
     inner = sorted({point for points in found for point in points})
     return [float("-inf"), *inner, float("inf")]
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpuscope.functions.scalars import duration_minutes, numeric
 from corpuscope.operators.filters import coverage_flags, explode_values, invalid_values, valid_values
 from corpuscope.operators.ordered import medians
+from corpuscope.session import materialise
 
 CATEGORIES = "matching_categories"
 
@@ -60,7 +61,8 @@ def category_engagement(items: DataFrame, taxonomy: DataFrame, videos: DataFrame
         duration_minutes(F.col("duration")).alias("median_minutes"),
     )
     known = valid_values(exploded(items, key), "category", taxonomy)
-    joined = known.join(facts, key)
+    # The medians read the mentions several times, so they are written once.
+    joined = materialise(known.join(facts, key).drop(key), "mentions")
     return medians(joined, ["median_views", "median_likes", "median_comments", "median_minutes"], ["category"])
 
 

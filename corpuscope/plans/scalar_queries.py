@@ -138,12 +138,11 @@ def age_days(spark, sf_dir):
 
 @query("rate_per_day", f"""
 WITH {standins.METRICS_SQL}
-SELECT o_orderkey, age, round(views_per_day, 6) AS views_per_day, round(likes_per_day, 6) AS likes_per_day,
-       round(comments_per_day, 6) AS comments_per_day FROM m
+SELECT o_orderkey, age, views_per_day, likes_per_day, comments_per_day FROM m
 """)
 def rate_per_day(spark, sf_dir):
     rates = ["views_per_day", "likes_per_day", "comments_per_day"]
-    return rounded(standins.order_metrics(spark, sf_dir).select("o_orderkey", "age", *rates), *rates)
+    return standins.order_metrics(spark, sf_dir).select("o_orderkey", "age", *rates)
 
 
 @query("duration_seconds", "SELECT o_orderkey, CAST(o_custkey * 97 AS DOUBLE) AS seconds FROM orders")
@@ -456,7 +455,7 @@ def label_align(spark, sf_dir):
 
 @query("feature_select", f"""
 WITH {standins.METRICS_SQL}
-SELECT o_orderkey, round(ln(1 + views_per_day), 6) AS log1p_views_per_day, round(likes_per_day, 6) AS likes_per_day, o_orderpriority
+SELECT o_orderkey, round(ln(1 + views_per_day), 6) AS log1p_views_per_day, likes_per_day, o_orderpriority
 FROM m WHERE views_per_day IS NOT NULL AND likes_per_day IS NOT NULL
 """)
 def feature_select(spark, sf_dir):
@@ -465,4 +464,4 @@ def feature_select(spark, sf_dir):
     columns = ["views_per_day", "likes_per_day"]
     frame = log1p_columns(standins.order_metrics(spark, sf_dir).dropna(subset=columns), columns)
     kept = frame.select("o_orderkey", "log1p_views_per_day", "likes_per_day", "o_orderpriority")
-    return rounded(kept, "log1p_views_per_day", "likes_per_day")
+    return rounded(kept, "log1p_views_per_day")
