@@ -42,7 +42,8 @@ def cut_points(df: DataFrame, *values: str, buckets: int | None = None) -> list[
     probabilities = [i / buckets for i in range(1, buckets)]
     doubles = df.select(*[F.col(v).cast("double").alias(v) for v in values])
     found = doubles.approxQuantile(list(values), probabilities, 0.5 / buckets) if probabilities else []
-    inner = sorted({point for points in found for point in points})
+    # A Bucketizer needs at least one inner bound; without values any will do.
+    inner = sorted({point for points in found for point in points}) or [0.0]
     return [float("-inf"), *inner, float("inf")]
 
 
