@@ -64,7 +64,8 @@ def skew_join(
     """Join facts to a lookup that is unique on ``on``.
 
     ``how`` is inner, left, left_semi or left_anti. Rows with a NULL key never
-    match and stay with the outer and anti joins, as in a plain join.
+    match and stay with the outer and anti joins, as in a plain join. Fact rows should
+    carry an id or be counted first: rows equal in all columns share a salt.
     """
     keys = as_list(on)
     return _salted_join(facts, lookup, heavy_keys(facts, keys, max_heavy), keys, how)

@@ -22,7 +22,8 @@ from corpuscope.operators.ordered import positions
 from corpuscope.session import materialise
 
 MAX_PIVOTS = 512
-BLOCK_ROWS = 4096
+BLOCK_BYTES = 64 << 20  # vectors held by one side of a block
+TILE_CELLS = 4_000_000  # distances held at a time inside a block
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,28 +65,38 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype="float64") for v in column])
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(square, 0.0))
+def _squared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances by expansion, and a safe bound of their rounding error."""
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    square = aa[:, None] + bb[None, :] - 2.0 * (a @ b.T)
+    return np.maximum(square, 0.0), 1e-12 * (aa.max() + bb.max())
 
 
-def knn_join(df: DataFrame, key: str, vector: str, k: int, block_rows: int = BLOCK_ROWS,
+def _distances(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    square, error = _squared(a, b)
+    return np.sqrt(square), error ** 0.5
+
+
+def knn_join(df: DataFrame, key: str, vector: str, k: int, block_rows: int | None = None,
              max_pivots: int = MAX_PIVOTS, seed: int = 42) -> DataFrame:
     """The k nearest other rows of each row by Euclidean distance: (key, neighbour, distance, rank).
 
-    Exact; ties go to the smaller key. ``key`` must be unique.
+    Exact; ties go to the smaller key. ``key`` must be unique. There are no more cells
+    than blocks: smaller cells would only multiply the copies of the queries.
     """
     points = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     id_type = points.schema["id"].dataType.simpleString()
-    n = points.count()
-    pivot_count = max(1, min(max_pivots, int(math.sqrt(n))))
+    sizes_row = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).head()
+    n, width = sizes_row["n"], sizes_row["width"] or 1
+    block_rows = block_rows or max(256, BLOCK_BYTES // (8 * width))
+    pivot_count = max(1, min(max_pivots, n // block_rows))
     drawn = points.orderBy(hash_uniform(F.col("id"), seed=seed), "id").limit(pivot_count)
     pivots = np.array([row.v for row in drawn.select("v").collect()], dtype="float64")
 
     def assign(batches):
         for batch in batches:
             if len(batch):
-                d = _distances(_stack(batch["v"]), pivots)
+                d, _ = _distances(_stack(batch["v"]), pivots)
                 cell = d.argmin(1)
                 yield batch.assign(cell=cell.astype("int32"), to_pivot=d[np.arange(len(cell)), cell])
 
@@ -97,15 +108,16 @@ def knn_join(df: DataFrame, key: str, vector: str, k: int, block_rows: int = BLO
     sizes = np.array([c["size"] for c in cells])
     radii = np.array([c["radius"] for c in cells])
     chunks = np.ceil(sizes / block_rows).astype(int)
-    query_blocks = max(1, math.ceil(n / (block_rows * max(1, len(cells)))))
-    slack = 1e-7
+    # Distances to pivots carry rounding errors up to this, relative to the largest vector.
+    far_error = 1e-6 * float(np.sqrt((pivots ** 2).sum(1).max())) + 1e-6 * float(radii.max()) if n else 0.0
 
     def route(batches):
         """Each query goes to the chunks of the cells that may hold one of its neighbours."""
         for batch in batches:
             if not len(batch):
                 continue
-            d = _distances(_stack(batch["v"]), pivots[cell_ids])
+            d, error = _distances(_stack(batch["v"]), pivots[cell_ids])
+            slack = 4 * max(error, far_error)
             far = d + radii
             order = np.argsort(far, axis=1)
             enough = (np.cumsum(sizes[order], axis=1) >= k + 1).argmax(1)
@@ -122,10 +134,11 @@ def knn_join(df: DataFrame, key: str, vector: str, k: int, block_rows: int = BLO
             })
 
     # A cell's queries are cut into blocks by hash, its points into chunks: both sides stay bounded.
-    block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int")
     routed = assigned.select("id", "v").mapInPandas(route, f"id {id_type}, v array<double>, cell int, chunk int")
-    load = routed.groupBy("cell", "chunk").count().agg(F.max("count")).head()[0] or 1
-    query_blocks = max(1, math.ceil(load / block_rows))
+    slots = assigned.sparkSession.sparkContext.defaultParallelism
+    blocks_for_slots = math.ceil(slots / max(1, int(chunks.sum())))
+    # Every query may be routed to every cell, so n bounds a cell's queries.
+    query_blocks = max(blocks_for_slots, math.ceil(n / block_rows))
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int")
     queries = routed.withColumn("block", block)
     chunk_count = F.element_at(
@@ -139,15 +152,22 @@ def knn_join(df: DataFrame, key: str, vector: str, k: int, block_rows: int = BLO
         empty = pd.DataFrame({"id": q["id"].iloc[:0], "neighbour": c["id"].iloc[:0], "distance": pd.Series(dtype="float64")})
         if not len(q) or not len(c):
             return empty
-        qv, cv, qid, cid = _stack(q["v"]), _stack(c["v"]), q["id"].to_numpy(), c["id"].to_numpy()
-        rough = _distances(qv, cv)
-        rough[qid[:, None] == cid[None, :]] = np.inf
-        kth = np.partition(rough, min(k, len(cid)) - 1, axis=1)[:, min(k, len(cid)) - 1]
-        rows, columns = np.nonzero((rough <= kth[:, None] + 1e-7) & np.isfinite(rough))
-        exact = np.sqrt(((qv[rows] - cv[columns]) ** 2).sum(1))
-        found = pd.DataFrame({"id": qid[rows], "neighbour": cid[columns], "distance": exact})
-        found = found.sort_values(["id", "distance", "neighbour"], kind="stable")
-        return found[found.groupby("id").cumcount() < k]
+        cv, cid = _stack(c["v"]), c["id"].to_numpy()
+        last = min(k, len(cid)) - 1
+        tile = max(1, TILE_CELLS // len(cid))
+        parts = []
+        for start in range(0, len(q), tile):
+            qv, qid = _stack(q["v"].iloc[start:start + tile]), q["id"].to_numpy()[start:start + tile]
+            rough, error = _squared(qv, cv)
+            rough[qid[:, None] == cid[None, :]] = np.inf
+            kth = np.partition(rough, last, axis=1)[:, last]
+            # Distances by expansion are inexact: keep near ties, measure again, then cut at k.
+            rows, columns = np.nonzero((rough <= kth[:, None] + 2 * error) & np.isfinite(rough))
+            exact = np.sqrt(((qv[rows] - cv[columns]) ** 2).sum(1))
+            found = pd.DataFrame({"id": qid[rows], "neighbour": cid[columns], "distance": exact})
+            found = found.sort_values(["id", "distance", "neighbour"], kind="stable")
+            parts.append(found[found.groupby("id").cumcount() < k])
+        return pd.concat(parts)
 
     partial = queries.groupBy("cell", "chunk", "block").cogroup(corpus.groupBy("cell", "chunk", "block")).applyInPandas(
         best, f"id {id_type}, neighbour {id_type}, distance double")
@@ -162,7 +182,8 @@ def cosine_neighbours(df: DataFrame, key: str, vector: str, k: int) -> DataFrame
 
     On unit vectors the Euclidean order is the cosine order.
     """
-    units = df.select(key, unit_vector(F.col(vector)).alias("_u"))
+    directed = df.where(norm(F.col(vector)) > 0)  # a zero vector has no direction
+    units = directed.select(key, unit_vector(F.col(vector)).alias("_u"))
     found = knn_join(units, key, "_u", k)
     return found.select(key, "neighbour", (1 - F.pow("distance", F.lit(2)) / 2).alias("similarity"), "rank")
 

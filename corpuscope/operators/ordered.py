@@ -103,8 +103,11 @@ def ordered_totals(
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), keep: Sequence[str] = (),
                   points: Sequence[float] | None = None) -> DataFrame:
     """Distinct values with their multiplicity ``n`` and 1-based rank, ties averaged."""
-    ranked = ordered_totals(df, value, by, keep, points=points)
-    return ranked.withColumn("avg_rank", F.col("n_below") + (F.col("n_ties") + 1) / 2)
+    return with_average_rank(ordered_totals(df, value, by, keep, points=points))
+
+
+def with_average_rank(totals: DataFrame) -> DataFrame:
+    return totals.withColumn("avg_rank", F.col("n_below") + (F.col("n_ties") + 1) / 2)
 
 
 def quantile_rows(

@@ -10,7 +10,9 @@ from corpuscope.fixed_values import MIN_GROUP_SIZE
 from corpuscope.functions.tails import chi2_upper_column, correlation_p_column
 from corpuscope.operators.filters import group_sizes
 from corpuscope.operators.joins import weighted_lookup_join
-from corpuscope.operators.ordered import average_ranks, cut_points, exact_quantiles, quantile_rows
+from corpuscope.operators.ordered import (
+    average_ranks, cut_points, exact_quantiles, ordered_totals, quantile_rows, with_average_rank,
+)
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -175,32 +177,41 @@ def spearman_matrix(df: DataFrame, key: str, columns: Sequence[str]) -> DataFram
 def spearman_pairs(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Spearman correlation of (feature, target) pairs, NULLs dropped pair by pair.
 
-    All pairs share one pass: each row gives two long rows per pair in which both are known.
+    A column is ranked once for each set of NULLs it has to share a pair with: columns
+    without NULLs are ranked once for all pairs, not once per pair.
     """
     columns = sorted({c for pair in pairs for c in pair})
-    points = cut_points(df, *columns)
-    number = lambda c: F.col(c).cast("double")
-    cells = F.array(*[
-        F.struct(
-            F.lit(f"{a}|{b}").alias("pair"), F.lit(side).alias("side"),
-            F.when(number(a).isNotNull() & number(b).isNotNull(), number(c)).alias("value"),
-        )
-        for a, b in pairs for side, c in (("x", a), ("y", b))
+    numbers = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
+    gaps = numbers.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).head()
+    points = cut_points(numbers, *columns)
+
+    def slot(column: str, pair: tuple[str, str]) -> tuple[str, tuple[str, ...]]:
+        return column, tuple(sorted(c for c in set(pair) if gaps[c] and c != column))
+
+    slots = sorted({slot(c, pair) for pair in pairs for c in pair})
+    names = {s: f"s{i}" for i, s in enumerate(slots)}
+    cells = [
+        f"named_struct('slot', '{names[column, others]}', 'value', CASE WHEN "
+        + " AND ".join([f"`{c}` IS NOT NULL" for c in (column, *others)]) + f" THEN `{column}` END)"
+        for column, others in slots
+    ]
+    long = numbers.selectExpr(f"`{key}`", f"inline(array({', '.join(cells)}))").where("value IS NOT NULL")
+    ranks = average_ranks(long, "value", by=["slot"], points=points).select("slot", "value", "n", "avg_rank")
+    placed = weighted_lookup_join(long, ranks, ["slot", "value"], "n")
+    wide = placed.groupBy(key).agg(*[
+        F.expr(f"max(CASE WHEN slot = '{name}' THEN avg_rank END)").alias(name) for name in names.values()
     ])
-    long = df.select(key, F.explode(cells).alias("_c")).select(key, "_c.*").where(F.col("value").isNotNull())
-    ranks = average_ranks(long, "value", by=["pair", "side"], points=points).select("pair", "side", "value", "n", "avg_rank")
-    placed = weighted_lookup_join(long, ranks, ["pair", "side", "value"], "n")
-    both = placed.groupBy(key, "pair").agg(
-        F.max(F.when(F.col("side") == "x", F.col("avg_rank"))).alias("x"),
-        F.max(F.when(F.col("side") == "y", F.col("avg_rank"))).alias("y"),
-    )
-    rho = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
-    found = both.groupBy("pair").agg(rho.alias("rho"), F.count(F.lit(1)).alias("n"))
-    return found.select(
-        F.split_part("pair", F.lit("|"), F.lit(1)).alias("feature"),
-        F.split_part("pair", F.lit("|"), F.lit(2)).alias("target"), "rho", "n",
-        correlation_p_column()(F.col("rho"), F.col("n")).alias("p_value"),
-    )
+    sides = [(names[slot(x, (x, y))], names[slot(y, (x, y))]) for x, y in pairs]
+    found = wide.agg(*[
+        F.expr(
+            f"named_struct('feature', '{x}', 'target', '{y}',"
+            f" 'rho', try_divide(covar_pop({a}, {b}) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL),"
+            f" stddev_pop({a}) FILTER (WHERE {b} IS NOT NULL) * stddev_pop({b}) FILTER (WHERE {a} IS NOT NULL)),"
+            f" 'n', count_if({a} IS NOT NULL AND {b} IS NOT NULL))"
+        ).alias(f"p{i}") for i, ((x, y), (a, b)) in enumerate(zip(pairs, sides))
+    ])
+    rows = found.select(F.explode(F.array(*[f"p{i}" for i in range(len(pairs))])).alias("_p")).select("_p.*")
+    return rows.withColumn("p_value", correlation_p_column()(F.col("rho"), F.col("n")))
 
 
 def correlation_pivot(correlations: DataFrame, targets: Sequence[str], sort_by: str) -> DataFrame:
@@ -233,10 +244,13 @@ def kruskal_wallis(df: DataFrame, group: str, value: str, min_n: int = MIN_GROUP
 
     One row (h, p_value, groups_tested); fewer than two groups give 0 groups and NULLs.
     """
-    rows = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_y"))
+    # Equal (group, value) rows are counted before anything is joined or ordered.
+    counted = df.select(group, F.col(value).cast("double").alias("_y")).dropna().groupBy(group, "_y").agg(
+        F.count(F.lit(1)).alias("_k"))
     # Group sizes count every row of the group; ranks only those with a value.
-    kept = weighted_lookup_join(rows, group_sizes(df, group, min_n), group, "group_n").select(group, "_y")
-    ranked = average_ranks(kept, "_y", keep=[group])
+    kept = weighted_lookup_join(counted, group_sizes(df, group, min_n), group, "group_n")
+    ranked = with_average_rank(ordered_totals(
+        kept, "_y", keep=[group], measures={"n": F.col("_k")}, points=cut_points(df, value)))
     sums = ranked.groupBy(group).agg(
         F.sum("n").alias("n_i"), F.sum(F.col("n") * F.col("avg_rank")).alias("r_i"), F.max("n_total").alias("n_all"),
         # Each tied value is spread over its groups in proportion n / n_ties, so that t^3 - t adds up once.

@@ -108,14 +108,19 @@ def join_segments(segments: Column, separator: str = " ") -> Column:
     return F.array_join(F.transform(segments, lambda s: s["text"]), separator)
 
 
-def assemble_transcripts(rows: DataFrame, key: str, position: str, text: str, separator: str = " ") -> DataFrame:
-    """Segment rows to one text per item in position order.
+def assemble_transcripts(rows: DataFrame, key: str, position: str, text: str, separator: str = " ",
+                         run: int = 1000) -> DataFrame:
+    """Segment rows to one text per item in order of the numeric ``position``.
 
-    The result itself holds an item's whole text in one row, so gathering the
-    item's segments is bounded by a row's size.
+    Runs of ``run`` positions are joined first, so that a very long item is put together
+    by many tasks; the last step only strings its runs into the item's one text cell.
     """
-    gathered = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(text).alias("text"))))
-    return rows.groupBy(key).agg(join_segments(gathered, separator).alias("transcript"))
+    def joined(by: list[str], place: str):
+        parts = F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), F.col(text).alias("text"))))
+        return lambda df: df.groupBy(*by).agg(join_segments(parts, separator).alias(text))
+
+    runs = rows.select(key, position, text).withColumn("_run", F.floor(F.col(position) / run))
+    return runs.transform(joined([key, "_run"], position)).transform(joined([key], "_run")).withColumnRenamed(text, "transcript")
 
 
 def taxonomy_terms(lines: DataFrame, column: str = "line") -> DataFrame:

@@ -83,10 +83,15 @@ def stream_ingest(stream: DataFrame, path: str, checkpoint: str, keys, order: Se
     def write(batch: DataFrame, batch_id: int) -> None:
         if done is not None:
             batch = batch.join(done.select(*keys), keys, "left_anti").select(*batch.columns)
-        if succeeded is not None:
-            batch, failed = dead_letter(batch, succeeded)
-            store_ignore(failed.select(*keys), failed_path, batch_id, keys, keys)
-        store(batch, path, batch_id, keys, order)
+        if succeeded is None:
+            store(batch, path, batch_id, keys, order)
+            return
+        # Both sinks read the batch; it is parsed once.
+        batch.persist()
+        passed, failed = dead_letter(batch, succeeded)
+        store_ignore(failed.select(*keys), failed_path, batch_id, keys, keys)
+        store(passed, path, batch_id, keys, order)
+        batch.unpersist()
 
     query = (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
