@@ -88,6 +88,9 @@ def knn_join(df: DataFrame, key: str, vector: str, k: int, block_rows: int | Non
     id_type = points.schema["id"].dataType.simpleString()
     sizes_row = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).head()
     n, width = sizes_row["n"], sizes_row["width"] or 1
+    if n < 2:
+        return df.sparkSession.createDataFrame(
+            [], f"{key} {id_type}, neighbour {id_type}, distance double, rank int")
     block_rows = block_rows or max(256, BLOCK_BYTES // (8 * width))
     pivot_count = max(1, min(max_pivots, n // block_rows))
     drawn = points.orderBy(hash_uniform(F.col("id"), seed=seed), "id").limit(pivot_count)
@@ -109,7 +112,7 @@ def knn_join(df: DataFrame, key: str, vector: str, k: int, block_rows: int | Non
     radii = np.array([c["radius"] for c in cells])
     chunks = np.ceil(sizes / block_rows).astype(int)
     # Distances to pivots carry rounding errors up to this, relative to the largest vector.
-    far_error = 1e-6 * float(np.sqrt((pivots ** 2).sum(1).max())) + 1e-6 * float(radii.max()) if n else 0.0
+    far_error = 1e-6 * float(np.sqrt((pivots ** 2).sum(1).max())) + 1e-6 * float(radii.max())
 
     def route(batches):
         """Each query goes to the chunks of the cells that may hold one of its neighbours."""
