@@ -35,7 +35,7 @@ def _positive(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
 
 
-def _pipeline_scorer(model: PipelineModel) -> Scorer:
+def pipeline_scorer(model: PipelineModel) -> Scorer:
     drop = ("rawPrediction", "probability", "prediction", "scaled")
     return lambda df: _positive(model.transform(df)).drop(*drop)
 
@@ -132,11 +132,11 @@ def compare_models(train: DataFrame, val: DataFrame, test: DataFrame, key: str,
     calibrated test scores.
     """
     fits = {
-        "logreg": lambda: _pipeline_scorer(fit_logreg(train, label)),
-        "forest": lambda: _pipeline_scorer(fit_forest(train, label, forest_trees)),
-        "boosted": lambda: _pipeline_scorer(fit_boosted(train, label, val, boosting_rounds)),
+        "logreg": lambda: pipeline_scorer(fit_logreg(train, label)),
+        "forest": lambda: pipeline_scorer(fit_forest(train, label, forest_trees)),
+        "boosted": lambda: pipeline_scorer(fit_boosted(train, label, val, boosting_rounds)),
         "svm": lambda: fit_linear_svm(train, key, label),
-        "mlp": lambda: _pipeline_scorer(fit_perceptron(train, label)),
+        "mlp": lambda: pipeline_scorer(fit_perceptron(train, label)),
     }
     spark, rows, scorers = train.sparkSession, [], {}
     for name in names:
@@ -189,7 +189,7 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_scorer(path: str) -> Scorer:
-    return _pipeline_scorer(PipelineModel.load(path))
+    return pipeline_scorer(PipelineModel.load(path))
 
 
 def independent_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:

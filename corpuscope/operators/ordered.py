@@ -22,6 +22,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKET = "_bucket"
+MAX_BUCKETS = 4096
 
 
 def _quoted(names: Sequence[str]) -> list[str]:
@@ -33,7 +34,8 @@ def _names(names: Sequence[str]) -> str:
 
 
 def default_buckets(df: DataFrame) -> int:
-    return max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MAX_BUCKETS, max(32, partitions))
 
 
 def cut_points(df: DataFrame, *values: str, buckets: int | None = None) -> list[float]:

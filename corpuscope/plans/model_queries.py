@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from corpuscope.functions import text
 from corpuscope.functions.hashing import hash_uniform
-from corpuscope.operators import features, metrics, models, mutation, neighbours, sampling
+from corpuscope.operators import features, filters, metrics, models, mutation, neighbours, sampling
 from corpuscope.plans import coverage, engagement, relevance, standins
 from corpuscope.plans.aggregate_queries import COMPLETE_CTE, RATES, complete_metrics
 from corpuscope.plans.registry import load, query, rounded, to_bigint
@@ -98,12 +99,21 @@ def vif(spark, sf_dir):
     return rounded(models.vif(load(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"]), "vif")
 
 
-@query("feature_matrix")
+@query("feature_matrix", f"""
+WITH {COMPLETE_CTE}, w AS (SELECT 2 + count(DISTINCT o_orderpriority) AS width FROM c),
+     f AS (SELECT min(o_orderpriority) AS base FROM c)
+SELECT o_orderkey, CAST(width AS BIGINT) AS width, views_per_day, likes_per_day, comments_per_day,
+       CAST(o_orderpriority <> base AS DOUBLE) AS dummies FROM c, w, f
+""")
 def feature_matrix(spark, sf_dir):
-    """Rates, a binary flag and dummies as one vector column."""
+    """Rates and dummies as one vector column, taken apart again."""
     rows = features.one_hot(complete_metrics(spark, sf_dir), "o_orderpriority", "priority")
-    columns = [*RATES, *[c for c in rows.columns if c.startswith("priority_")]]
-    return features.assemble(rows.select("o_orderkey", *columns), columns).select("o_orderkey", F.col("features").cast("string").alias("features"))
+    columns = [*RATES, *filters.select_prefix(rows, ["priority_"])]
+    cells = features.assemble(rows.select("o_orderkey", *columns), columns).select(
+        "o_orderkey", vector_to_array("features").alias("f"))
+    return cells.select(
+        "o_orderkey", F.size("f").cast("bigint").alias("width"), *[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(RATES)],
+        F.aggregate(F.slice("f", 4, len(columns)), F.lit(0.0), lambda total, x: total + x).alias("dummies"))
 
 
 # --- classifiers ---------------------------------------------------------------------------
@@ -126,19 +136,19 @@ def _quality(scored):
 def fit_logreg(spark, sf_dir):
     train, rest = _halves(spark, sf_dir)
     weight = metrics.class_weight(rest, "label").head()["weight_0"]
-    return _quality(models._pipeline_scorer(models.fit_logreg(models.with_class_weight(train, "label", weight)))(rest))
+    return _quality(models.pipeline_scorer(models.fit_logreg(models.with_class_weight(train, "label", weight)))(rest))
 
 
 @query("fit_rf")
 def fit_forest(spark, sf_dir):
     train, rest = _halves(spark, sf_dir)
-    return _quality(models._pipeline_scorer(models.fit_forest(train, trees=100))(rest))
+    return _quality(models.pipeline_scorer(models.fit_forest(train, trees=100))(rest))
 
 
 @query("fit_gbt")
 def fit_boosted(spark, sf_dir):
     train, rest = _halves(spark, sf_dir)
-    return _quality(models._pipeline_scorer(models.fit_boosted(train, val=rest, rounds=30))(rest))
+    return _quality(models.pipeline_scorer(models.fit_boosted(train, val=rest, rounds=30))(rest))
 
 
 @query("fit_svc")
@@ -150,13 +160,22 @@ def fit_svm(spark, sf_dir):
 @query("fit_mlp")
 def fit_perceptron(spark, sf_dir):
     train, rest = _halves(spark, sf_dir)
-    return _quality(models._pipeline_scorer(models.fit_perceptron(train))(rest))
-
-
-@query("isotonic_calibrate")
+    return _quality(models.pipeline_scorer(models.fit_perceptron(train))(rest))
+
+
+# Max-min form of isotonic regression over runs a..b of distinct scores.
+@query("isotonic_calibrate", f"""
+WITH {standins.SCORES_SQL},
+g AS (SELECT p, CAST(sum(y) AS DOUBLE) AS sy, CAST(count(*) AS DOUBLE) AS w, row_number() OVER (ORDER BY p) AS i FROM s GROUP BY p),
+c AS (SELECT p, i, sum(sy) OVER (ORDER BY i) AS cs, sum(w) OVER (ORDER BY i) AS cw, sy, w FROM g),
+r AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.sy) / (b.cw - a.cw + a.w) AS mean FROM c a JOIN c b ON a.i <= b.i),
+lo AS (SELECT a, b AS i, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM r),
+f AS (SELECT i, max(m) OVER (PARTITION BY i) AS fit FROM lo QUALIFY row_number() OVER (PARTITION BY i ORDER BY a) = 1)
+SELECT s.id, CAST(y AS BIGINT) AS label, round(fit, 6) AS score FROM s JOIN c ON s.p = c.p JOIN f ON f.i = c.i
+""")
 def isotonic_calibrate(spark, sf_dir):
     scored = standins.scores(spark, sf_dir).select("id", F.col("y").alias("label"), F.col("p").alias("score"))
-    return rounded(models.fit_isotonic(scored)(scored), "score")
+    return to_bigint(rounded(models.fit_isotonic(scored)(scored), "score"), "label")
 
 
 @query("model_leaderboard")
@@ -171,7 +190,7 @@ def model_leaderboard(spark, sf_dir):
 def score_all(spark, sf_dir):
     """Scores of all vectors written back to the document table by key."""
     train, _ = _halves(spark, sf_dir)
-    scorer = models._pipeline_scorer(models.fit_logreg(train))
+    scorer = models.pipeline_scorer(models.fit_logreg(train))
     scored = models.score_all(scorer, labelled_vectors(spark, sf_dir), "vec_id", 0.5)
     # Vector ids repeat in the given table, updates must be unique.
     updates = mutation.keep_first(scored.withColumnRenamed("vec_id", "doc_id"), "doc_id", ["confidence"])
@@ -292,7 +311,14 @@ def batch_label(spark, sf_dir):
 
 # --- whole flows -----------------------------------------------------------------------------------
 
-@query("coverage_report")
+@query("coverage_report", f"""
+WITH {standins.ITEMS_SQL},
+f AS (SELECT unnest(['total', 'no_category', 'only_invalid']) AS name, unnest([count(*), count(*) FILTER (len(matching_categories) = 0),
+        count(*) FILTER (len(matching_categories) > 0 AND len(list_filter(matching_categories, lambda c: c IN ({standins.SQL_KNOWN}))) = 0)]) AS n FROM items)
+SELECT 'items' AS section, name, n FROM f
+UNION ALL SELECT CASE WHEN category IN ({standins.SQL_KNOWN}) THEN 'known' ELSE 'unknown' END, category, count(*) FROM mentions GROUP BY category
+UNION ALL SELECT 'missing', category, 0 FROM (SELECT unnest([{standins.SQL_KNOWN}]) AS category) WHERE category NOT IN (SELECT category FROM mentions)
+""")
 def coverage_report(spark, sf_dir):
     return coverage.report(standins.items(spark, sf_dir), standins.taxonomy(spark), standins.KNOWN)
 

@@ -334,14 +334,17 @@ def stratified_split(spark, sf_dir):
     return sampling.stratified_split(load(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "lang")
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", "SELECT vec_id, true AS same FROM embeddings")
 def model_roundtrip(spark, sf_dir):
-    """Scores of a saved and reloaded model; the saved pipeline holds scaler and classifier."""
+    """Whether a saved and reloaded model, scaler included, gives each row its score again."""
     path = scratch_path(spark, "model")
     rows = load(spark, sf_dir, "embeddings").withColumn("relevant", (F.col("label") >= 5).cast("int"))
-    rows = models.with_features(rows, "embedding")
-    models.save_model(models.fit_logreg(rows.select("features", "relevant"), "relevant"), path)
-    return rounded(models.load_scorer(path)(rows.select("vec_id", "features")).select("vec_id", "score"), "score")
+    rows = models.with_features(rows, "embedding").select("vec_id", "features", "relevant")
+    model = models.fit_logreg(rows, "relevant")
+    models.save_model(model, path)
+    before = models.pipeline_scorer(model)(rows).withColumnRenamed("score", "before")
+    both = models.load_scorer(path)(before)
+    return both.select("vec_id", (F.abs(F.col("score") - F.col("before")) < 1e-12).alias("same"))
 
 
 @query("merge_keyword_tables", """

@@ -142,3 +142,17 @@ def test_label_alignment_prefers_training(spark):
     held = spark.createDataFrame([("a", 0), ("b", 0)], "video_id string, y int")
     got = {r.video_id: (r.y, r.split) for r in joins.align_labels(vectors, train, held, "video_id", "y").collect()}
     assert got == {"a": (1, "train"), "b": (0, "heldout")}
+
+
+def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS bucketed LOCATION '{tmp_path}/bucketed'")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("left", "right"):
+            tables.write_bucketed(spark.range(100), f"bucketed.{name}_side", "id", 4)
+        joined = spark.table("bucketed.left_side").join(spark.table("bucketed.right_side"), "id")
+        assert joined.count() == 100
+        assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE bucketed CASCADE")
