@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuscope.llm.byte_bpe import byte_bpe
 from corpuscope.llm.common import read_table
+from corpuscope.llm.decontamination import contamination
 from corpuscope.llm.exact_dedup import exact_dedup
+from corpuscope.llm.secrets import find_secrets, named_spans
 from corpuscope.llm.sharding import shard_by_bytes
 from corpuscope.plans.registry import Query
 
@@ -24,6 +26,19 @@ def numbered(name: str, oracle: str | None = None):
     return register
 
 
+@numbered("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("secrets", lambda m: m["kind"] < 3)
+    counts = (
+        F.size(F.filter("secrets", lambda m, k=k: m["kind"] == k)).cast("long").alias(f"n_{name}")
+        for k, name in enumerate(("assign", "access", "hex"))
+    )
+    return find_secrets(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", *counts, F.sha2(named_spans(base), 256).alias("base_sha256"),
+        named_spans(F.col("secrets")).alias("spans"),
+    )
+
+
 @numbered("op4_exact_dedup", r"""
     WITH normal AS (
         SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -41,6 +56,40 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(read_table(spark, sf_dir, "documents"), with_ids=False)
 
 
+# DuckDB's pattern classes know code points, so the same class serves.
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@numbered("op6_decontamination", f"""
+    WITH docs AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+    items AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
+    windows AS (
+        SELECT DISTINCT item_id, least(len(words), 13) AS size,
+               array_to_string(words[p : p + least(len(words), 13) - 1], ' ') AS gram
+        FROM (SELECT *, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS p FROM items WHERE len(words) > 0)),
+    places AS (
+        SELECT doc_id, p, size, array_to_string(words[p : p + size - 1], ' ') AS gram
+        FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS p
+              FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(words) >= size)),
+    found AS (SELECT doc_id, p, size, item_id FROM places JOIN windows USING (gram, size)),
+    words_hit AS (SELECT doc_id, count(DISTINCT w) AS n_hit
+                  FROM (SELECT doc_id, unnest(range(p, p + size)) AS w FROM found) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+              FROM (SELECT DISTINCT doc_id, cast(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+    SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+    FROM docs LEFT JOIN words_hit USING (doc_id) LEFT JOIN named USING (doc_id)
+""")
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 @numbered("op10_sharding")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(read_table(spark, sf_dir, "documents"))
