@@ -10,6 +10,7 @@ from corpuscope.llm.decontamination import contamination
 from corpuscope.llm.exact_dedup import exact_dedup
 from corpuscope.llm.secrets import find_secrets, named_spans
 from corpuscope.llm.sharding import shard_by_bytes
+from corpuscope.llm.url_filter import filter_urls
 from corpuscope.plans.registry import Query
 
 LLM_QUERIES: dict[str, Query] = {}
@@ -90,6 +91,66 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@numbered("op7_url_filter", r"""
+    WITH cut AS (
+        SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+        FROM pages),
+    ruled AS (
+        SELECT *, CASE
+            WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+            WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+            WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+            WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule,
+            list_filter(string_split(path, '/'), lambda s: s <> '') AS segments
+        FROM cut),
+    marked AS (
+        SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS decided,
+               coalesce(regexp_replace(segments[1], '[0-9]+', '*', 'g'), '') AS raw_first,
+               coalesce(regexp_replace(segments[2], '[0-9]+', '*', 'g'), '') AS raw_second,
+               CASE WHEN len(segments) > 2 THEN '**' ELSE '' END AS deep
+        FROM ruled),
+    named AS (
+        SELECT *, CASE WHEN count(*) OVER (PARTITION BY host, raw_first) < 3 THEN '*' ELSE raw_first END AS first,
+               CASE WHEN count(*) OVER (PARTITION BY host, raw_first, raw_second) < 3 THEN '*' ELSE raw_second END AS second
+        FROM marked),
+    leaves AS (
+        SELECT host, first, second, deep, sum((decided = 'block')::INT)::DOUBLE AS b, count(decided)::DOUBLE AS l
+        FROM named GROUP BY ALL),
+    leaf_pool AS (SELECT host, first, sum(coalesce(b, 0)) AS pb, sum(l) AS pl FROM leaves GROUP BY ALL),
+    leaf_alike AS (
+        SELECT leaves.*, CASE WHEN l > 0 THEN abs(b / l - pb / pl) <= 2.0 * sqrt(pb / pl * (1.0 - pb / pl) / l) ELSE false END AS alike
+        FROM leaves JOIN leaf_pool USING (host, first)),
+    leaf AS (
+        SELECT host, first, second, deep,
+               CASE WHEN alike THEN sum(b) FILTER (alike) OVER w ELSE coalesce(b, 0) END AS b,
+               CASE WHEN alike THEN sum(l) FILTER (alike) OVER w ELSE l END AS l
+        FROM leaf_alike WINDOW w AS (PARTITION BY host, first)),
+    uppers AS (SELECT host, first, sum(pb) AS b, sum(pl) AS l FROM leaf_pool GROUP BY ALL),
+    upper_pool AS (SELECT host, sum(b) AS pb, sum(l) AS pl FROM uppers GROUP BY ALL),
+    upper_alike AS (
+        SELECT uppers.*, CASE WHEN l > 0 THEN abs(b / l - pb / pl) <= 2.0 * sqrt(pb / pl * (1.0 - pb / pl) / l) ELSE false END AS alike
+        FROM uppers JOIN upper_pool USING (host)),
+    upper_group AS (
+        SELECT host, first,
+               CASE WHEN alike THEN sum(b) FILTER (alike) OVER w ELSE b END AS b,
+               CASE WHEN alike THEN sum(l) FILTER (alike) OVER w ELSE l END AS l
+        FROM upper_alike WINDOW w AS (PARTITION BY host)),
+    shapes AS (
+        SELECT first, (sum(b) + 4.0 * (SELECT (sum(b) + 1.0) / (sum(l) + 2.0) FROM uppers)) / (sum(l) + 4.0) AS shape
+        FROM uppers GROUP BY first),
+    above AS (SELECT host, first, (b + 4.0 * shape) / (l + 4.0) AS above FROM upper_group JOIN shapes USING (first)),
+    judged AS (
+        SELECT host, first, second, deep, (b + 4.0 * above) / (l + 4.0) > 0.5 AS rejected
+        FROM leaf JOIN above USING (host, first))
+    SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict
+    FROM named JOIN judged USING (host, first, second, deep)
+""")
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read_table(spark, sf_dir, "pages"))
+
+
 @numbered("op10_sharding")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(read_table(spark, sf_dir, "documents"))
