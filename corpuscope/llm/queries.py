@@ -8,6 +8,7 @@ from corpuscope.llm.byte_bpe import byte_bpe
 from corpuscope.llm.common import read_table
 from corpuscope.llm.decontamination import contamination
 from corpuscope.llm.exact_dedup import exact_dedup
+from corpuscope.llm.near_dedup import near_duplicates
 from corpuscope.llm.secrets import find_secrets, named_spans
 from corpuscope.llm.sharding import shard_by_bytes
 from corpuscope.llm.url_filter import filter_urls
@@ -27,6 +28,11 @@ def numbered(name: str, oracle: str | None = None):
     return register
 
 
+@numbered("op2_near_dedup")
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 @numbered("op3_secret_scan")
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("secrets", lambda m: m["kind"] < 3)
