@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuscope.llm.byte_bpe import byte_bpe
-from corpuscope.llm.common import read_table
+from corpuscope.llm.common import id_remainder, read_table
 from corpuscope.llm.decontamination import contamination
 from corpuscope.llm.exact_dedup import exact_dedup
 from corpuscope.llm.near_dedup import near_duplicates
 from corpuscope.llm.secrets import find_secrets, named_spans
 from corpuscope.llm.sharding import shard_by_bytes
+from corpuscope.llm.toxicity import toxicity
 from corpuscope.llm.url_filter import filter_urls
 from corpuscope.plans.registry import Query
 
@@ -28,6 +29,13 @@ def numbered(name: str, oracle: str | None = None):
     return register
 
 
+@numbered("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_remainder("doc_id", 5) == 0
+    rated = toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), train=~held_out)
+    return rated.select("doc_id", held_out.alias("held_out"), "score", "predicted", "spans")
+
+
 @numbered("op2_near_dedup")
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=3, percent=85)
