@@ -8,6 +8,7 @@ from corpuscope.llm.byte_bpe import byte_bpe
 from corpuscope.llm.common import id_remainder, read_table
 from corpuscope.llm.decontamination import contamination
 from corpuscope.llm.exact_dedup import exact_dedup
+from corpuscope.llm.language_id import identify_languages
 from corpuscope.llm.near_dedup import near_duplicates
 from corpuscope.llm.secrets import find_secrets, named_spans
 from corpuscope.llm.sharding import shard_by_bytes
@@ -71,6 +72,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(read_table(spark, sf_dir, "documents"), with_ids=False)
 
 
+@numbered("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_remainder("doc_id", 4) == 2
+    named = identify_languages(read_table(spark, sf_dir, "documents"), train=~held_out)
+    return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages")
+
+
 # DuckDB's pattern classes know code points, so the same class serves.
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
