@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuscope.llm.byte_bpe import byte_bpe
 from corpuscope.llm.common import id_remainder, read_table
@@ -10,6 +10,7 @@ from corpuscope.llm.decontamination import contamination
 from corpuscope.llm.exact_dedup import exact_dedup
 from corpuscope.llm.language_id import identify_languages
 from corpuscope.llm.near_dedup import near_duplicates
+from corpuscope.llm.pii import KINDS as PII_KINDS, find_personal_data
 from corpuscope.llm.secrets import find_secrets, named_spans
 from corpuscope.llm.sharding import shard_by_bytes
 from corpuscope.llm.toxicity import toxicity
@@ -30,6 +31,13 @@ def numbered(name: str, oracle: str | None = None):
     return register
 
 
+def _counts_of(spans: str, kinds: tuple[str, ...]) -> list[Column]:
+    """Numbers of spans by kind."""
+    return [
+        F.size(F.expr(f"filter({spans}, m -> m.kind = {k})")).cast("long").alias(f"n_{name}") for k, name in enumerate(kinds)
+    ]
+
+
 @numbered("op1_toxicity")
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_remainder("doc_id", 5) == 0
@@ -45,10 +53,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @numbered("op3_secret_scan")
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("secrets", lambda m: m["kind"] < 3)
-    counts = (
-        F.size(F.filter("secrets", lambda m, k=k: m["kind"] == k)).cast("long").alias(f"n_{name}")
-        for k, name in enumerate(("assign", "access", "hex"))
-    )
+    counts = _counts_of("secrets", ("assign", "access", "hex"))
     return find_secrets(read_table(spark, sf_dir, "documents")).select(
         "doc_id", *counts, F.sha2(named_spans(base), 256).alias("base_sha256"),
         named_spans(F.col("secrets")).alias("spans"),
@@ -173,6 +178,15 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"))
 
 
+@numbered("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _counts_of("base", PII_KINDS)
+    return find_personal_data(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", *counts, F.sha2(named_spans(F.col("base"), PII_KINDS), 256).alias("base_sha256"),
+        named_spans(F.col("spans"), PII_KINDS).alias("spans"),
+    )
+
+
 @numbered("op10_sharding")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(read_table(spark, sf_dir, "documents"))
