@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpuscope.llm.common import small_batches, whole_text
 from corpuscope.session import materialise
@@ -316,10 +316,11 @@ def _rated(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 names=[*keep, "features", "score", "spans"],
             )
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(
-        rate, f"{kept}, features array<double>, score double, spans array<struct<start: int, end: int, score: double>>"
+    schema = T.StructType(
+        [docs.schema[c] for c in keep]
+        + T.StructType.fromDDL("features array<double>, score double, spans array<struct<start: int, end: int, score: double>>").fields
     )
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(rate, schema)
 
 
 def toxicity(
@@ -350,5 +351,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, train: Column | None = None,
     )
     if model is None:
         return docs
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), whole_text(text_col).alias("text"))
-    return _rated(packed, model, keep=["row"]).where("score < 0.5").select("row.*")
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
+    packed = docs.select(others.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    clean = _rated(packed, model, keep=["row", "text"]).where("score < 0.5")
+    return clean.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))
