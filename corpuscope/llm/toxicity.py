@@ -19,7 +19,7 @@ MAX_DOCUMENTS = 12_000  # labelled documents that the fit may read, half of them
 MAX_SEGMENTS = 30_000  # sentences that the field is fitted on, half of them with a labelled token if there are so many
 BUCKETS = 1 << 20  # hashed word features; fixes the size of the model
 MIN_DOCUMENTS = 4  # toxic documents that a feature must occur in to count
-TOXIC_ODDS = 2.0  # log odds from which a token of a toxic document is labelled toxic
+TOXIC_ODDS = 1.0  # log odds from which a token of a toxic document is labelled toxic
 
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 SENTENCE_ENDS = frozenset(".!?\n")
@@ -214,11 +214,12 @@ def _counts(texts: DataFrame) -> DataFrame:
 
 
 def _odds(rows: list, toxic: int, clean: int) -> dict[int, float]:
-    """Smoothed log odds of the features that speak for toxicity."""
+    """Smoothed log odds, less two standard errors, of the features that speak for toxicity."""
     found = {}
     for bucket, t, c in rows:
         value = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-        if t >= MIN_DOCUMENTS and value > 0.5:
+        value -= 2 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+        if t >= MIN_DOCUMENTS and value > 0.25:
             found[bucket] = value
     return found
 
