@@ -13,7 +13,7 @@ from pyspark.sql import Window
 WINDOW_WORDS = 13
 SET_BOUND = 100_000  # windows in one broadcast set, about 10 MB; a larger benchmark is taken in blocks of this size
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-IS_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+IS_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # of a text whose capitals are still there
 
 
 def words_of(text: Column) -> Column:
