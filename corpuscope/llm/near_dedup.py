@@ -19,7 +19,7 @@ REGISTERS = 1 << INDEX_BITS
 LOW_BITS = 64 - INDEX_BITS
 BAND_ROWS = 6
 MAX_BANDS = REGISTERS // BAND_ROWS
-SIGMAS = 5.0  # how far an estimate may lie below the threshold, in standard errors, and still be verified
+SIGMAS = 4.0  # how far an estimate may lie below the threshold, in standard errors, and still be verified
 BLOCK = 256  # sketches on either side of one comparison
 
 _weights = np.random.default_rng(20240607).integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,12 +88,28 @@ def expected_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def may_link(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether the pairs' sizes allow the similarity and the corrected estimate does not speak against it."""
-    filled = ((a > 0) | (b > 0)).sum(axis=1)
+    """Whether the pairs' sizes allow the similarity and their sketches do not speak against it.
+
+    A pair that reaches it has c >= s (n + m) / (1 + s) common elements in a union of n + m - c. The filled registers
+    show one element each. First, even if all that stay hidden were common, enough registers must agree; for small
+    sets, which the sketch shows almost whole, this is sharp. Second, the filled registers are a sample without
+    replacement: the share that agrees, less the collisions to be expected, may fall ``SIGMAS`` standard errors short.
+    """
+    n, m = np.broadcast_arrays(n, m)
+    filled = np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
     agree = ((a == b) & (a > 0)).sum(axis=1)
-    estimate = (agree - expected_collisions(n, m)) / np.maximum(filled, 1)
-    floor = similarity - SIGMAS * np.sqrt(similarity * (1 - similarity) / np.maximum(filled, 1))
-    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (estimate >= floor)
+    common = similarity * (n + m) / (1 + similarity)
+    union = n + m - common
+    hidden = np.clip((union - filled) / np.maximum(union - 1, 1), 0, 1)
+    least = filled * similarity - SIGMAS * np.sqrt(similarity * (1 - similarity) * hidden * filled) - 1
+    passed = (
+        (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)
+        & (agree >= 2 * common - (n + m) + filled - 1e-9) & (agree >= least)
+    )
+    left = np.flatnonzero(passed)
+    if len(left):  # the correction can only lower the estimate
+        passed[left] = agree[left] - expected_collisions(n[left], m[left]) >= least[left]
+    return passed
 
 
 class Banding:
@@ -125,16 +141,21 @@ class Banding:
             if len(rows):
                 yield k, MAX_BANDS if last else self.bands(high), rows
 
-    def keys(self, registers: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(rows, keys): the band keys of sketches; bands without any element have none."""
+    @staticmethod
+    def starts(bands: int) -> np.ndarray:
+        """The first register of each band."""
+        return np.arange(bands) * REGISTERS // bands
+
+    def keys(self, registers: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+        """(rows, keys, bands of the class, band): the band keys of sketches; bands without any element have none."""
         for k, bands, rows in self.schemes(sizes):
-            starts = np.arange(bands) * REGISTERS // bands
+            starts = self.starts(bands)
             chosen = registers[rows].astype(np.uint64)
             filled = np.add.reduceat(chosen > 0, starts, axis=1) > 0
             sums = np.add.reduceat(chosen * _weights, starts, axis=1)
             keys = _mix(sums + _mix(np.arange(bands, dtype=np.uint64) + np.uint64(k << 16)))
             where = np.nonzero(filled)
-            yield rows[where[0]], keys[where]
+            yield rows[where[0]], keys[where], bands, where[1]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -176,19 +197,22 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _band_members(texts: DataFrame, similarity: float) -> DataFrame:
+    """key, place (bands of the class and number of the band), doc_id: a row per band with an element."""
     banding = Banding(similarity)
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 sizes = batch.column(1).to_numpy(zero_copy_only=False)
-                for rows, keys in banding.keys(_matrix(batch.column(2)), sizes):
+                for rows, keys, bands, band in banding.keys(_matrix(batch.column(2)), sizes):
+                    place = pa.array((bands * MAX_BANDS + band).astype(np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(rows))], names=["key", "doc_id"]
+                        [pa.array(keys.view(np.int64)), place, batch.column(0).take(pa.array(rows))],
+                        names=["key", "place", "doc_id"],
                     )
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "n_shingles", "registers").mapInArrow(band, f"key long, doc_id {id_type}")
+    return texts.select("doc_id", "n_shingles", "registers").mapInArrow(band, f"key long, place int, doc_id {id_type}")
 
 
 def _estimated(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -237,18 +261,18 @@ def _open_pairs(members: DataFrame, texts: DataFrame, labels: DataFrame, similar
     blocks at most, and nothing is written but pairs that pass.
     """
     named = members.join(labels, F.col("doc_id") == F.col("vertex"), "left").select(
-        "key", "doc_id", F.coalesce("component", "doc_id").alias("label")
+        "key", "place", "doc_id", F.coalesce("component", "doc_id").alias("label")
     )
     mixed = named.groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.min("label").alias("least"), F.max("label").alias("most")
     ).where("least <> most").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     placed = named.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = placed.join(texts.select("doc_id", "n_shingles", "registers"), "doc_id").select(
-        "key", "doc_id", "label", "n_shingles", "registers", "block",
+        "key", "place", "doc_id", "label", "n_shingles", "registers", "block",
         F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"),
     ).select(
         "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", "doc_id", "label", "n_shingles", "registers",
+        "place", "block", "doc_id", "label", "n_shingles", "registers",
     )
     keys = ["key", "low", "high"]
 
@@ -259,6 +283,8 @@ def _open_pairs(members: DataFrame, texts: DataFrame, labels: DataFrame, similar
         registers = _matrix(group.column("registers"))
         block = group.column("block").to_numpy()
         cross = group.column("low")[0].as_py() != group.column("high")[0].as_py()
+        bands, band = divmod(group.column("place")[0].as_py(), MAX_BANDS)
+        starts = Banding.starts(bands)
         left, right = [], []
         for i in range(len(ids)):
             rest = np.arange(i + 1, len(ids))
@@ -266,6 +292,10 @@ def _open_pairs(members: DataFrame, texts: DataFrame, labels: DataFrame, similar
             rest = rest[np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i]) - 1e-9]
             if len(rest):
                 passed = rest[may_link(registers[i][None, :], sizes[i : i + 1], registers[rest], sizes[rest], similarity)]
+                # A pair that shares an earlier band is found there.
+                same = np.logical_and.reduceat(registers[i] == registers[passed], starts, axis=1)
+                shown = np.logical_or.reduceat(registers[i] > 0, starts)
+                passed = passed[~(same & shown)[:, :band].any(axis=1)] if len(passed) else passed
                 left += [i] * len(passed)
                 right += passed.tolist()
         a, b = ids.take(pa.array(left, pa.int64())), ids.take(pa.array(right, pa.int64()))
@@ -334,7 +364,7 @@ def near_duplicates(
     ).distinct()
     links = _verified(_estimated(stars, vertices, similarity), slim, words, percent)
     labels = materialise(connected_components(links), "labels")
-    more = _verified(_open_pairs(members.select("key", "doc_id"), vertices, labels, similarity), slim, words, percent)
+    more = _verified(_open_pairs(members.select("key", "place", "doc_id"), vertices, labels, similarity), slim, words, percent)
     if not more.isEmpty():
         labels = materialise(connected_components(links.unionByName(more)), "labels")
     homes = texts.join(labels, F.col("doc_id") == F.col("vertex"), "left").select(

@@ -99,7 +99,7 @@ def test_pairs_at_the_threshold_share_a_band(similarity):
             sets = [union, np.sort(rng.permutation(union)[: size - apart])]
             registers = np.stack([operator.registers_of(s) for s in sets])
             keys = [set(), set()]
-            for rows, values in banding.keys(registers, np.array([len(s) for s in sets])):
+            for rows, values, _, _ in banding.keys(registers, np.array([len(s) for s in sets])):
                 for row, value in zip(rows, values):
                     keys[row].add(int(value))
             tried += 1
