@@ -11,13 +11,16 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 
+NORMAL_FROM = 1e6  # degrees of freedom; beyond, the next term of the expansion is below 1e-11
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (modified Lentz method)."""
     tiny = 1e-300
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     result = d
-    for m in range(1, 500):
+    for m in range(1, 10_000):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         for step in (even, odd):
@@ -27,8 +30,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             result *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return result
+            return result
+    raise ArithmeticError(f"no convergence at a={a}, b={b}, x={x}")
 
 
 def beta_inc(a: float, b: float, x: float) -> float:
@@ -47,6 +50,10 @@ def t_two_sided(t: float, df: float) -> float:
         return math.nan
     if math.isinf(t):
         return 0.0
+    if df > NORMAL_FROM:
+        # The normal tail with the first term of its expansion in 1/df.
+        density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+        return math.erfc(abs(t) / math.sqrt(2)) + density * (abs(t) ** 3 + abs(t)) / (2 * df)
     return beta_inc(df / 2.0, 0.5, df / (df + t * t))
 
 
@@ -70,7 +77,7 @@ def chi2_upper(x: float, df: float) -> float:
     b = z + 1.0 - a
     c, d = 1.0 / tiny, 1.0 / b
     result = d
-    for i in range(1, 1000):
+    for i in range(1, 100_000):
         step = -i * (i - a)
         b += 2.0
         d = step * d + b
@@ -78,9 +85,9 @@ def chi2_upper(x: float, df: float) -> float:
         c = b + step / c
         c = c if abs(c) > tiny else tiny
         result *= c * d
-        if abs(c * d - 1.0) < 1e-16:
-            break
-    return scale * result
+        if abs(c * d - 1.0) < 1e-15:
+            return scale * result
+    raise ArithmeticError(f"no convergence at x={x}, df={df}")
 
 
 def correlation_p(r: float, n: float) -> float:

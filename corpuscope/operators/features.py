@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuscope.fixed_values import MIN_GROUP_SIZE
 from corpuscope.operators.filters import group_sizes
 from corpuscope.operators.joins import weighted_lookup_join
 
-MAX_LEVELS = 1000
-
 
 def standardize(df: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataFrame:
     """Adds (x - mean) / population std; a constant column gives 0."""
@@ -89,16 +88,26 @@ def merge_rare(df: DataFrame, column: str, min_n: int = MIN_GROUP_SIZE, output:
     return joined.withColumn(output, F.when(F.col("group_n").isNotNull(), F.col(column)).otherwise("Other")).drop("group_n")
 
 
-def one_hot(df: DataFrame, column: str, prefix: str, max_levels: int = MAX_LEVELS) -> DataFrame:
-    """0/1 columns <prefix>_<level>, the alphabetically first level dropped."""
-    found = df.where(F.col(column).isNotNull()).select(column).distinct().limit(max_levels + 1).collect()
-    if len(found) > max_levels:
-        raise ValueError(f"{column} has more than {max_levels} levels; merge rare levels first")
-    levels = sorted(row[0] for row in found)
+def one_hot(df: DataFrame, column: str, prefix: str, levels: Sequence[str] | None = None) -> DataFrame:
+    """0/1 columns <prefix>_<level>, the alphabetically first level dropped.
+
+    A column per level is meant for columns of few levels, which are read unless named;
+    ``one_hot_vector`` takes any number.
+    """
+    if levels is None:
+        levels = [row[0] for row in df.where(F.col(column).isNotNull()).select(column).distinct().collect()]
+    levels = sorted(levels)
     flags = {f"{prefix}_{level}": F.coalesce(F.col(column) == level, F.lit(False)).cast("int") for level in levels[1:]}
     return df.withColumns(flags) if flags else df
 
 
+def one_hot_vector(df: DataFrame, column: str, output: str) -> DataFrame:
+    """A sparse vector with a place for each level but the alphabetically last; NULL gives no entry."""
+    index = StringIndexer(inputCol=column, outputCol="_index", stringOrderType="alphabetAsc", handleInvalid="keep")
+    encoder = OneHotEncoder(inputCol="_index", outputCol=output, dropLast=True)
+    return Pipeline(stages=[index, encoder]).fit(df).transform(df).drop("_index")
+
+
 def interaction(vector: Column, i: int = 0, j: int = 1) -> Column:
     """The array with the product of two of its elements appended."""
     return F.concat(vector, F.array(F.get(vector, F.lit(i)) * F.get(vector, F.lit(j))))

@@ -1,10 +1,11 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-``skew_join`` finds the heavy keys first. A key is heavy when it holds at least
-1/``max_heavy`` of the rows, so there are at most ``max_heavy`` of them: that
-bound is what makes broadcasting them safe at any data size. Rows of a heavy key
-are salted over many tasks and its one lookup row is repeated per salt; all other
-keys join as usual. It is one pass over the facts and one join, and no row is lost.
+``skew_join`` finds the heavy keys first. A key is heavy when it holds more rows than
+two average shuffle partitions, so there are fewer of them than half the partitions:
+that bound is what makes broadcasting them safe at any data size. Rows of a heavy key
+are salted over twice as many tasks as average partitions would hold them, and its one lookup
+row is repeated for each of its salts; all other keys join as usual. It is one pass over
+the facts and one join, and no row is lost.
 """
 
 from __future__ import annotations
@@ -13,54 +14,50 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-MAX_HEAVY = 500
-MAX_BROADCAST_ROWS = 100_000
-MAX_SALTS = 256
+HEAVY_PARTITIONS = 2
+BROADCAST_BYTES = 64 << 20
 
 
 def as_list(on: str | Sequence[str]) -> list[str]:
     return [on] if isinstance(on, str) else list(on)
 
 
-def _heavy_of(counts: DataFrame, weight: str, max_heavy: int) -> DataFrame:
-    total = counts.agg(F.sum(weight).alias("_t")).scalar()
-    return counts.where(F.col(weight) * max_heavy >= total)
+def _partitions(df: DataFrame) -> int:
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def heavy_keys(facts: DataFrame, on: str | Sequence[str], max_heavy: int = MAX_HEAVY) -> DataFrame:
-    """Keys holding at least 1/max_heavy of the rows (so at most max_heavy rows)."""
+def _heavy_of(counts: DataFrame, weight: str) -> DataFrame:
+    """The heavy keys of a table of counts, with ``_salts``, twice the partitions that their rows would fill: salts may fall together."""
+    total = counts.agg(F.sum(weight).cast("double").alias("_t")).scalar()
+    filled = F.col(weight) * _partitions(counts) / total
+    return counts.where(filled > HEAVY_PARTITIONS).withColumn("_salts", F.ceil(2 * filled).cast("int"))
+
+
+def heavy_keys(facts: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """Keys of more rows than ``HEAVY_PARTITIONS`` average shuffle partitions, with their ``_salts``."""
     keys = as_list(on)
     counts = facts.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return _heavy_of(counts, "_n", max_heavy).select(*keys)
+    return _heavy_of(counts, "_n").select(*keys, "_salts")
 
 
 def _salted_join(facts: DataFrame, lookup: DataFrame, heavy: DataFrame, keys: list[str], how: str) -> DataFrame:
-    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(2, min(MAX_SALTS, partitions))
-    flags = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
-    # The salt is a hash of the row, so a recomputed task salts its rows the same way.
-    draw = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
+    flags = F.broadcast(heavy)
     null_key = F.lit(False)
     for key in keys:
         null_key = null_key | F.col(key).isNull()
-    spread = F.coalesce(F.col("_heavy"), F.lit(False)) | null_key
-    salted = (
-        facts.join(flags, keys, "left")
-        .withColumn("_salt", F.when(spread, draw).otherwise(0)).drop("_heavy")
-    )
-    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
+    # The salt is a hash of the row, so a recomputed task salts its rows the same way. NULL keys meet no lookup row.
+    salts = F.when(null_key, F.lit(_partitions(facts))).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted = facts.join(flags, keys, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*facts.columns), salts).cast("int")).drop("_salts")
     repeated = (
         lookup.join(flags, keys, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_heavy"), all_salts).otherwise(F.array(F.lit(0)))))
-        .drop("_heavy")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+        .drop("_salts")
     )
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def skew_join(
-    facts: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "inner",
-    max_heavy: int = MAX_HEAVY,
-) -> DataFrame:
+def skew_join(facts: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
     """Join facts to a lookup that is unique on ``on``.
 
     ``how`` is inner, left, left_semi or left_anti. Rows with a NULL key never
@@ -68,32 +65,29 @@ def skew_join(
     carry an id or be counted first: rows equal in all columns share a salt.
     """
     keys = as_list(on)
-    return _salted_join(facts, lookup, heavy_keys(facts, keys, max_heavy), keys, how)
+    return _salted_join(facts, lookup, heavy_keys(facts, keys), keys, how)
 
 
 def weighted_lookup_join(
-    facts: DataFrame, lookup: DataFrame, on: str | Sequence[str], weight: str,
-    how: str = "inner", max_heavy: int = MAX_HEAVY,
+    facts: DataFrame, lookup: DataFrame, on: str | Sequence[str], weight: str, how: str = "inner",
 ) -> DataFrame:
     """``skew_join`` for a lookup that already carries the number of fact rows per key."""
     keys = as_list(on)
-    heavy = _heavy_of(lookup, weight, max_heavy).select(*keys)
+    heavy = _heavy_of(lookup, weight).select(*keys, "_salts")
     return _salted_join(facts, lookup, heavy, keys, how)
 
 
-def checked_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
-    """``dim`` with a broadcast hint when it has at most ``max_rows`` rows, else None."""
-    if dim.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(dim)
-    return None
+def checked_broadcast(dim: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
+    """``dim`` with a broadcast hint when its plan's size is at most ``max_bytes``, else None. Starts no job."""
+    size = int(dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(dim) if size <= max_bytes else None
 
 
 def dim_join(
-    facts: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str = "inner",
-    max_rows: int = MAX_BROADCAST_ROWS,
+    facts: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str = "inner", max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join to a dimension unique on ``on``: broadcast if checked small, else skew join."""
-    small = checked_broadcast(dim, max_rows)
+    """Join to a dimension unique on ``on``: broadcast if its bytes are checked small, else skew join."""
+    small = checked_broadcast(dim, max_bytes)
     if small is not None:
         return facts.join(small, as_list(on), how)
     return skew_join(facts, dim, on, how)

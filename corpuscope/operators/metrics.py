@@ -110,7 +110,7 @@ def roc_auc(df: DataFrame, truth: str, score: str, by: tuple[str, ...] = ()) ->
     s = score_totals(df, truth, score, by)
     area = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg_ties") / 2))
     return s.groupBy(*by).agg(
-        F.try_divide(area, (F.max("pos_total") * F.max("neg_total")).cast("double")).alias("roc_auc")
+        F.try_divide(area, F.max("pos_total").cast("double") * F.max("neg_total").cast("double")).alias("roc_auc")
     )
 
 
@@ -138,13 +138,13 @@ def threshold_costs(df: DataFrame, truth: str, score: str, fn: float = COST_FALS
                     fp: float = COST_FALSE_POSITIVE, grid: int = THRESHOLD_GRID) -> DataFrame:
     """Cost at each of ``grid`` thresholds evenly spaced over [0, 1].
 
-    Each score is counted once, under the number of thresholds it reaches; the
+    NULL and NaN scores are left out. Each score is counted once, under the number of thresholds it reaches; the
     costs are running sums over those at most grid + 1 counts.
     """
     thresholds = [i / (grid - 1) for i in range(grid)]
     points = [float("-inf"), *thresholds, float("inf")]
-    rows = df.where(F.col(score).isNotNull() & F.col(truth).isNotNull())
-    rows = rows.select(F.col(truth).alias("_y"), F.col(score).cast("double").alias("_p"))
+    rows = df.select(F.col(truth).alias("_y"), F.col(score).cast("double").alias("_p"))
+    rows = rows.where(F.col("_y").isNotNull() & F.col("_p").isNotNull() & ~F.isnan("_p"))
     reached = Bucketizer(splits=points, inputCol="_p", outputCol="_reached").transform(rows)
     counts = reached.groupBy(F.col("_reached").cast("int").alias("_reached")).agg(
         F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpuscope.functions.hashing import hash_uniform
 from corpuscope.operators import metrics
 from corpuscope.operators.features import assemble
+from corpuscope.operators.ordered import positions
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -52,15 +53,21 @@ def fit_logreg(train: DataFrame, label: str = "label") -> PipelineModel:
         featuresCol="scaled", labelCol=label, maxIter=1000, regParam=1.0 / max(1, train.count()), **weight)).fit(train)
 
 
-def fit_forest(train: DataFrame, label: str = "label", trees: int = 100, seed: int = 42) -> PipelineModel:
+MAX_DEPTH = 30  # Spark's limit; trees end earlier where a leaf is pure
+
+
+def fit_forest(train: DataFrame, label: str = "label", trees: int = 100, max_depth: int = MAX_DEPTH,
+               seed: int = 42) -> PipelineModel:
+    """Trees grown to purity, or to ``max_depth`` levels."""
     weight = {"weightCol": "weight"} if "weight" in train.columns else {}
     return _scaled(RandomForestClassifier(
-        featuresCol="scaled", labelCol=label, numTrees=trees, seed=seed, **weight)).fit(train)
+        featuresCol="scaled", labelCol=label, numTrees=trees, maxDepth=max_depth, seed=seed, **weight)).fit(train)
 
 
 def fit_boosted(train: DataFrame, label: str = "label", val: DataFrame | None = None,
                 rounds: int = 2000, seed: int = 42) -> PipelineModel:
-    """Depth 5, rate 0.05, 80 % of rows per tree and features per node; stops early on ``val``."""
+    """Depth 5, rate 0.05, 80 % of rows per tree and features per node; stops early on the loss over ``val``,
+    not on its precision-recall area."""
     options = {"weightCol": "weight"} if "weight" in train.columns else {}
     rows = train
     if val is not None:
@@ -74,20 +81,24 @@ def fit_boosted(train: DataFrame, label: str = "label", val: DataFrame | None =
 
 
 def fit_perceptron(train: DataFrame, label: str = "label", width: int | None = None, seed: int = 42) -> PipelineModel:
-    """Two hidden layers of 64 and 32; this estimator takes no class weights."""
+    """Two hidden layers of 64 and 32; this estimator takes no class weights and has no held-out early stop."""
     width = width or len(train.select(vector_to_array("features").alias("f")).head().f)
     return _scaled(MultilayerPerceptronClassifier(
         featuresCol="scaled", labelCol=label, layers=[width, 64, 32, 2], seed=seed)).fit(train)
 
 
 def fit_linear_svm(train: DataFrame, key: str, label: str = "label", folds: int = 3, seed: int = 42) -> Scorer:
-    """Linear SVM with sigmoid calibration: margin model and Platt scaling per fold, scores averaged."""
+    """Linear SVM with sigmoid calibration: margin model and Platt scaling per fold, scores averaged.
+
+    The penalty is C = 1. Each label's rows are dealt to the folds in turn, so no fold lacks one that has enough.
+    """
     weight = {"weightCol": "weight"} if "weight" in train.columns else {}
-    folded = train.withColumn("_fold", F.floor(hash_uniform(F.col(key), F.lit("fold"), seed=seed) * folds).cast("int"))
+    drawn = train.withColumn("_u", hash_uniform(F.col(key), F.lit("fold"), seed=seed))
+    folded = positions(drawn, "_u", [key], by=[label]).withColumn("_fold", F.col("position") % folds).drop("_u", "position", "group_n")
     members = []
     for fold in range(folds):
         fit_rows, held = folded.where(F.col("_fold") != fold), folded.where(F.col("_fold") == fold)
-        margin_model = _scaled(LinearSVC(featuresCol="scaled", labelCol=label, **weight)).fit(fit_rows)
+        margin_model = _scaled(LinearSVC(featuresCol="scaled", labelCol=label, regParam=1.0 / max(1, fit_rows.count()), **weight)).fit(fit_rows)
         margins = VectorAssembler(inputCols=["margin"], outputCol="margin_vector")
         held = held.select(label, "features")
         platt = LogisticRegression(featuresCol="margin_vector", labelCol=label).fit(margins.transform(
@@ -154,7 +165,7 @@ def compare_models(train: DataFrame, val: DataFrame, test: DataFrame, key: str,
         threshold = metrics.cost_threshold(tuned_on, label, "score").head()["threshold"]
         test_scored = scorer(test).select(label, "score").persist()
         row = {"model": name, "threshold": threshold, "train_seconds": seconds}
-        for part, scored in (("val", val_raw), ("test", test_scored)):
+        for part, scored in (("val", tuned_on), ("test", test_scored)):
             labelled = scored.withColumn("pred", (F.col("score") >= threshold).cast("int"))
             row[f"{part}_roc_auc"] = metrics.roc_auc(scored, label, "score").head()[0]
             row[f"{part}_pr_auc"] = metrics.average_precision(scored, label, "score").head()[0]
@@ -197,14 +208,23 @@ def independent_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
     Works on the correlation matrix, whose size depends on the columns only.
     """
-    matrix = _correlations(df, columns)
+    return [columns[i] for i in _independent(_correlations(df, columns))]
+
+
+def _independent(matrix: np.ndarray) -> list[int]:
+    """Rows of a correlation matrix that earlier ones do not determine: one Cholesky pass that leaves out the others."""
     kept: list[int] = []
-    for i in range(len(columns)):
-        trial = [*kept, i]
-        block = matrix[np.ix_(trial, trial)]
-        if np.isfinite(block).all() and np.linalg.eigvalsh(block)[0] > 1e-9:
-            kept = trial
-    return [columns[i] for i in kept]
+    lower = np.zeros((0, 0))
+    for i in range(len(matrix)):
+        across = matrix[i, kept]
+        if not np.isfinite(matrix[i, i]) or not np.isfinite(across).all():
+            continue
+        row = np.linalg.solve(lower, across) if kept else across
+        left = matrix[i, i] - row @ row
+        if left > 1e-9:
+            lower = np.block([[lower, np.zeros((len(kept), 1))], [row[None, :], np.sqrt([[left]])]])
+            kept.append(i)
+    return kept
 
 
 def _correlations(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
@@ -244,11 +264,18 @@ def ols_residuals(df: DataFrame, model, features: Sequence[str], target: str) ->
 def vif(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Variance inflation factors: diagonal of the inverse correlation matrix.
 
-    The matrix is features x features, whatever the number of rows; a constant or
-    collinear column gives NULL.
+    The matrix is features x features, whatever the number of rows. A constant column and
+    those that determine one another get NULL; the others are measured against all.
     """
-    matrix = np.nan_to_num(_correlations(df, features))
-    singular = np.linalg.matrix_rank(matrix) < len(features)
-    inverse = np.linalg.pinv(matrix) if singular else np.linalg.inv(matrix)
-    rows = [(f, None if singular else float(inverse[i, i])) for i, f in enumerate(features)]
+    matrix = _correlations(df, features)
+    kept = _independent(matrix)
+    # A constant column correlates with nothing, itself aside.
+    varied = [i for i in range(len(features)) if np.isfinite(np.delete(matrix[i], i)).any() or len(features) == 1]
+    values, vectors = np.linalg.eigh(matrix[np.ix_(varied, varied)])
+    # Columns with a part in a vanishing combination depend on one another.
+    null = vectors[:, values < 1e-9]
+    dependent = {varied[i] for i in np.flatnonzero((np.abs(null) > 1e-6).any(axis=1))}
+    inverse = np.linalg.inv(matrix[np.ix_(kept, kept)])
+    found = {i: float(inverse[k, k]) for k, i in enumerate(kept) if i not in dependent}
+    rows = [(f, found.get(i)) for i, f in enumerate(features)]
     return df.sparkSession.createDataFrame(rows, "feature string, vif double")

@@ -65,13 +65,17 @@ def append_checked(target: DataFrame, batch: DataFrame, keys) -> DataFrame:
     return target.unionByName(batch.select(*target.columns))
 
 
-def update_by_key(target: DataFrame, updates: DataFrame, keys, columns: Sequence[str]) -> DataFrame:
+def update_by_key(target: DataFrame, updates: DataFrame, keys, columns: Sequence[str],
+                  order: Sequence[str] = ()) -> DataFrame:
     """Set ``columns`` where a matching update row exists; other updates have no effect.
 
-    ``updates`` must be unique per key. A matched NULL does overwrite.
+    Of several updates of a key the last by ``order`` counts, as if they ran one after
+    the other; ties, and all rows without an order, go by the values. A matched NULL
+    does overwrite.
     """
     keys = as_list(keys)
-    new = updates.select(*keys, F.struct(*columns).alias("_new"))
+    latest = keep_last(updates.select(*dict.fromkeys([*keys, *order, *columns])), keys, [*order, *columns])
+    new = latest.select(*keys, F.struct(*columns).alias("_new"))
     joined = target.join(new, keys, "left")
     return joined.select(*[
         F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)

@@ -18,6 +18,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuscope.functions.hashing import hash_uniform
+from corpuscope.operators.joins import weighted_lookup_join
 from corpuscope.operators.ordered import positions
 from corpuscope.session import materialise
 
@@ -50,15 +51,13 @@ def label_centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
     return df.groupBy(label).agg(vector_to_array(Summarizer.mean(v)).alias("centroid"))
 
 
-def centroid_similarity(df: DataFrame, key: str, vector: str, label: str, max_labels: int = 1000) -> DataFrame:
-    """Cosine similarity of each row to the centroid of its own label."""
-    centroids = label_centroids(df, vector, label)
-    lookup = centroids.agg(
-        F.map_from_entries(F.collect_list(F.struct(label, "centroid"))).alias("m")).scalar()
-    if df.select(label).distinct().limit(max_labels + 1).count() > max_labels:
-        return df.join(centroids, label).select(key, label, cosine(F.col(vector), F.col("centroid")).alias("similarity"))
-    return df.withColumn("_c", F.element_at(lookup, F.col(label))).select(
-        key, label, cosine(F.col(vector), F.col("_c")).alias("similarity"))
+def centroid_similarity(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """Cosine similarity of each row to the centroid of its own label; NULL for rows without label."""
+    labelled = df.where(F.col(label).isNotNull())
+    centroids = materialise(label_centroids(labelled, vector, label).join(
+        labelled.groupBy(label).agg(F.count(F.lit(1)).alias("_members")), label), "centroids")
+    return weighted_lookup_join(df.select(key, label, vector), centroids, label, "_members", "left").select(
+        key, label, cosine(F.col(vector), F.col("centroid")).alias("similarity"))
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -140,15 +139,17 @@ def knn_join(df: DataFrame, key: str, vector: str, k: int, block_rows: int | Non
     routed = assigned.select("id", "v").mapInPandas(route, f"id {id_type}, v array<double>, cell int, chunk int")
     slots = assigned.sparkSession.sparkContext.defaultParallelism
     blocks_for_slots = math.ceil(slots / max(1, int(chunks.sum())))
-    # Every query may be routed to every cell, so n bounds a cell's queries.
-    query_blocks = max(blocks_for_slots, math.ceil(n / block_rows))
-    block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int")
-    queries = routed.withColumn("block", block)
+    # A chunk is repeated for the queries that were counted for it, one copy for each block of them.
+    blocks = materialise(routed.groupBy("cell", "chunk").agg(
+        F.greatest(F.lit(blocks_for_slots), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int").alias("blocks")), "knn-blocks")
+    block = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
+    queries = routed.join(blocks, ["cell", "chunk"]).withColumn("block", block).drop("blocks")
     chunk_count = F.element_at(
         F.create_map(*[F.lit(int(x)) for pair in zip(cell_ids, chunks) for x in pair]), F.col("cell"))
     corpus = assigned.select(
         "id", "v", "cell", F.pmod(F.xxhash64("id", F.lit(2)), chunk_count).cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("block"),
+    ).join(blocks, ["cell", "chunk"]).select(
+        "id", "v", "cell", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
     )
 
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:

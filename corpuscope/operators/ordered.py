@@ -22,7 +22,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKET = "_bucket"
-MAX_BUCKETS = 4096
+LEAST_BUCKETS = 32
 
 
 def _quoted(names: Sequence[str]) -> list[str]:
@@ -34,8 +34,8 @@ def _names(names: Sequence[str]) -> str:
 
 
 def default_buckets(df: DataFrame) -> int:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(MAX_BUCKETS, max(32, partitions))
+    """As many as shuffle partitions, which are set to follow the data; the bounds are one number each."""
+    return max(LEAST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def cut_points(df: DataFrame, *values: str, buckets: int | None = None) -> list[float]:
@@ -114,10 +114,12 @@ def with_average_rank(totals: DataFrame) -> DataFrame:
 
 def quantile_rows(
     df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (),
-    points: Sequence[float] | None = None,
+    points: Sequence[float] | None = None, count: Column | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per group and name: (by, name, prob, n, quantile).
 
+    ``count`` is how often a row counts, for values that were counted before.
+
     Only buckets that hold a wanted position are sorted, and only the rows at those
     positions go on to the last aggregation.
     """
@@ -132,7 +134,7 @@ def quantile_rows(
         return f"s -> {covers(start, size, 's.p', 0)} OR {covers(start, size, 's.p', 1)}"
 
     ranked = ordered_totals(
-        df, value, by, points=points, needed=F.expr(f"exists({wanted}, {holds('n_off', 'n_bucket')})"))
+        df, value, by, points=points, measures={"n": F.lit(1) if count is None else count}, needed=F.expr(f"exists({wanted}, {holds('n_off', 'n_bucket')})"))
     hits = ranked.selectExpr(
         *_quoted(by), f"CAST(`{value}` AS DOUBLE) AS _x", "n", "n_below", "n_total",
         f"inline(filter({wanted}, {holds('n_below', 'n')})) AS (name, prob)",
@@ -151,10 +153,10 @@ def quantile_rows(
 
 def exact_quantiles(
     df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (),
-    points: Sequence[float] | None = None,
+    points: Sequence[float] | None = None, count: Column | None = None,
 ) -> DataFrame:
     """``quantile_rows`` with one column per name: (by, n, one column per prob)."""
-    rows = quantile_rows(df, value, probs, by, points)
+    rows = quantile_rows(df, value, probs, by, points, count)
     return rows.groupBy(*by).agg(
         F.max("n").alias("n"), *[F.expr(f"max(CASE WHEN name = '{name}' THEN quantile END)").alias(name) for name in probs])
 

@@ -10,6 +10,7 @@ from corpuscope.fixed_values import MIN_GROUP_SIZE
 from corpuscope.functions.tails import chi2_upper_column, correlation_p_column
 from corpuscope.operators.filters import group_sizes
 from corpuscope.operators.joins import weighted_lookup_join
+from corpuscope.session import materialise
 from corpuscope.operators.ordered import (
     average_ranks, cut_points, exact_quantiles, ordered_totals, quantile_rows, with_average_rank,
 )
@@ -98,10 +99,10 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 def box_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and outlier count per group."""
-    quartiles = exact_quantiles(df, value, QUARTILES, by=[group])
-    # Distinct values with counts carry all that the whiskers need.
-    counted = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group, value).agg(
-        F.count(F.lit(1)).alias("_k"))
+    # Distinct values with counts carry all that the quartiles and the whiskers need: the input is read once.
+    counted = materialise(df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group, value).agg(
+        F.count(F.lit(1)).alias("_k")), "counted")
+    quartiles = materialise(exact_quantiles(counted, value, QUARTILES, by=[group], count=F.col("_k")), "quartiles")
     joined = weighted_lookup_join(counted, quartiles, group, "n")
     x, reach = F.col(value), 1.5 * (F.col("q3") - F.col("q1"))
     inside = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)
@@ -147,9 +148,8 @@ def kernel_density(df: DataFrame, column: str, grid: int = 100) -> DataFrame:
 
 def rank_columns(df: DataFrame, key: str, columns: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """Average rank of each column by ``key``: one wide row per key."""
-    points = cut_points(df, *columns)
-    long = melt(df, columns, key)
-    ranks = average_ranks(long, "value", by=["feature"], points=points).select("feature", "value", "n", "avg_rank")
+    long = materialise(melt(df, columns, key), "melted")
+    ranks = average_ranks(long, "value", by=["feature"]).select("feature", "value", "n", "avg_rank")
     placed = weighted_lookup_join(long, ranks, ["feature", "value"], "n")
     return placed.groupBy(key).agg(*[
         F.max(F.when(F.col("feature") == c, F.col("avg_rank"))).alias(c) for c in columns
@@ -248,20 +248,21 @@ def kruskal_wallis(df: DataFrame, group: str, value: str, min_n: int = MIN_GROUP
     counted = df.select(group, F.col(value).cast("double").alias("_y")).dropna().groupBy(group, "_y").agg(
         F.count(F.lit(1)).alias("_k"))
     # Group sizes count every row of the group; ranks only those with a value.
-    kept = weighted_lookup_join(counted, group_sizes(df, group, min_n), group, "group_n")
-    ranked = with_average_rank(ordered_totals(
-        kept, "_y", keep=[group], measures={"n": F.col("_k")}, points=cut_points(df, value)))
+    kept = materialise(weighted_lookup_join(counted, group_sizes(df, group, min_n), group, "group_n"), "kept")
+    ranked = with_average_rank(ordered_totals(kept, "_y", keep=[group], measures={"n": F.col("_k")}))
     sums = ranked.groupBy(group).agg(
         F.sum("n").alias("n_i"), F.sum(F.col("n") * F.col("avg_rank")).alias("r_i"), F.max("n_total").alias("n_all"),
         # Each tied value is spread over its groups in proportion n / n_ties, so that t^3 - t adds up once.
         F.sum(F.col("n") * (F.pow(F.col("n_ties").cast("double"), F.lit(2)) - 1)).alias("tie_i"),
     )
+    # Mean ranks are taken from the middle rank: the plain form subtracts two numbers of the size of n.
+    off = F.col("r_i") / F.col("n_i") - (F.col("n_all").cast("double") + 1) / 2
     total = sums.agg(
         F.count(F.lit(1)).alias("k"), F.max("n_all").cast("double").alias("n"),
-        F.sum(F.pow("r_i", F.lit(2)) / F.col("n_i")).alias("s"), F.sum("tie_i").alias("t"),
+        F.sum(F.col("n_i") * off * off).alias("s"), F.sum("tie_i").alias("t"),
     )
     n = F.col("n")
-    raw = 12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
+    raw = 12 / (n * (n + 1)) * F.col("s")
     h = F.try_divide(raw, 1 - F.col("t") / (n * n * n - n))
     tested = total.select(
         F.when(F.col("k") >= 2, h).alias("h"),

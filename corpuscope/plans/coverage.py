@@ -67,8 +67,8 @@ def category_engagement(items: DataFrame, taxonomy: DataFrame, videos: DataFrame
 
 
 def report(items: DataFrame, taxonomy: DataFrame, known: Sequence[str], key: str = "video_id") -> DataFrame:
-    """All coverage figures as (section, name, n) rows from one persisted read of the items."""
-    items = items.select(key, CATEGORIES).persist()
+    """All coverage figures as (section, name, n) rows from one stored read of the items."""
+    items = materialise(items.select(key, CATEGORIES), "items")
     rows = lambda section, df: df.select(F.lit(section).alias("section"), F.col("category").alias("name"), "n")
     counts = coverage_counts(items, known)
     cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in counts.columns])

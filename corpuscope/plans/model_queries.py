@@ -192,8 +192,7 @@ def score_all(spark, sf_dir):
     train, _ = _halves(spark, sf_dir)
     scorer = models.pipeline_scorer(models.fit_logreg(train))
     scored = models.score_all(scorer, labelled_vectors(spark, sf_dir), "vec_id", 0.5)
-    # Vector ids repeat in the given table, updates must be unique.
-    updates = mutation.keep_first(scored.withColumnRenamed("vec_id", "doc_id"), "doc_id", ["confidence"])
+    updates = scored.withColumnRenamed("vec_id", "doc_id")
     docs = load(spark, sf_dir, "documents").select(
         "doc_id", "lang", F.lit(None).cast("int").alias("predicted_label"), F.lit(None).cast("double").alias("confidence"))
     return rounded(mutation.update_by_key(docs, updates, "doc_id", ["predicted_label", "confidence"]), "confidence")
@@ -201,43 +200,42 @@ def score_all(spark, sf_dir):
 
 # --- neighbours ------------------------------------------------------------------------------
 
-_UNIQUE_SQL = "e AS (SELECT vec_id, embedding, label FROM embeddings QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, embedding) = 1)"
+_VECTORS_SQL = "e AS (SELECT vec_id, embedding, label FROM embeddings)"
 
 
-def unique_vectors(spark, sf_dir):
-    rows = load(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    return mutation.keep_first(rows, "vec_id", ["label", "embedding"])
+def vectors(spark, sf_dir):
+    return load(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
 
 
 @query("embedding_knn", f"""
-WITH {_UNIQUE_SQL}, d AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM e)
+WITH {_VECTORS_SQL}, d AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM e)
 SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(a.v, b.v), 6) AS similarity,
        row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.vec_id) AS rank
 FROM d a JOIN d b ON a.vec_id <> b.vec_id QUALIFY rank <= 5
 """)
 def embedding_knn(spark, sf_dir):
-    found = neighbours.cosine_neighbours(unique_vectors(spark, sf_dir), "vec_id", "embedding", 5)
+    found = neighbours.cosine_neighbours(vectors(spark, sf_dir), "vec_id", "embedding", 5)
     return to_bigint(rounded(found, "similarity"), "rank")
 
 
 @query("centroid_similarity", f"""
-WITH {_UNIQUE_SQL},
+WITH {_VECTORS_SQL},
 x AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM e, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2),
 c AS (SELECT label, list(m ORDER BY i) AS m FROM x GROUP BY 1)
 SELECT vec_id, CAST(e.label AS BIGINT) AS label, round(list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), m), 6) AS similarity
 FROM e JOIN c ON e.label = c.label
 """)
 def centroid_similarity(spark, sf_dir):
-    found = neighbours.centroid_similarity(unique_vectors(spark, sf_dir), "vec_id", "embedding", "label")
+    found = neighbours.centroid_similarity(vectors(spark, sf_dir), "vec_id", "embedding", "label")
     return to_bigint(rounded(found, "similarity"), "label")
 
 
 @query("smote_balance", f"""
-WITH {_UNIQUE_SQL}, n AS (SELECT CAST(label >= 7 AS BIGINT) AS label, count(*) AS n FROM e GROUP BY 1)
+WITH {_VECTORS_SQL}, n AS (SELECT CAST(label >= 7 AS BIGINT) AS label, count(*) AS n FROM e GROUP BY 1)
 SELECT label, max(n) OVER () AS n, max(n) OVER () - n AS n_synthetic FROM n
 """)
 def smote_balance(spark, sf_dir):
-    rows = unique_vectors(spark, sf_dir).withColumn("label", (F.col("label") >= 7).cast("int"))
+    rows = vectors(spark, sf_dir).withColumn("label", (F.col("label") >= 7).cast("int"))
     balanced = neighbours.smote_balance(rows, "vec_id", "embedding", "label")
     counts = balanced.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if("synthetic").alias("n_synthetic"))
     return to_bigint(counts, "label")
@@ -270,6 +268,23 @@ def stream_replace(spark, sf_dir):
     return ingest.read_replace(spark, path, schema, keys).select("user_id", "event_type", "event_id", "value")
 
 
+@query("stream_two_sources", """
+SELECT user_id, event_type, max(value) AS value, count(*) AS n FROM (
+  SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (
+    PARTITION BY user_id, event_type ORDER BY event_type IN ('click', 'view') DESC, ts, event_id) = 1)
+GROUP BY 1, 2
+""")
+def stream_two_sources(spark, sf_dir):
+    """Two sources into one table, the first once more after its checkpoint was lost: every key just once."""
+    stream, schema = _event_stream(spark, sf_dir)
+    path, keys = scratch_path(spark, "ingest"), ["user_id", "event_type"]
+    early = F.col("event_type").isin("click", "view")
+    for source in (stream.where(early), stream.where(~early), stream.where(early)):
+        ingest.stream_ingest(source, path, scratch_path(spark, "ingest-checkpoint"), keys, ["ts", "event_id"])
+    return ingest.read_ignore(spark, path, schema).groupBy(*keys).agg(
+        F.max("value").alias("value"), F.count(F.lit(1)).alias("n"))
+
+
 @query("stream_skip_done", "SELECT event_id, user_id, value FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'click')")
 def stream_skip_done(spark, sf_dir):
     stream, schema = _event_stream(spark, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -38,16 +39,37 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if _local_scratch is None:
         _local_scratch = tempfile.mkdtemp(prefix="corpuscope-")
     return _local_scratch
 
 
+_scratch: dict[str, SparkSession] = {}
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    """Removes a scratch folder while its session still runs."""
+    context = spark.sparkContext
+    if context._jsc is not None and not context._jsc.sc().isStopped():
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def clear_scratch() -> None:
+    """Deletes the scratch tables of this process; results that read them are void from then on."""
+    while _scratch:
+        _delete(*_scratch.popitem())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{checkpoint_root(spark)}/corpuscope/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, deleted when the process ends."""
+    path = f"{checkpoint_root(spark)}/corpuscope/{name}-{uuid.uuid4().hex}"
+    _scratch[path] = spark
+    return path
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:

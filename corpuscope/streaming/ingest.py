@@ -1,17 +1,24 @@
 """Resumable keyed ingest of landed files.
 
-A table is a log of batches: every micro-batch writes its own folder
-``batch_id=N`` and a replay of the batch overwrites just that folder, so a restart
-after a lost driver or executor never doubles a row. No batch rewrites the table;
-the write cost follows the batch, not the history.
-
-* ignore mode: a batch stores only keys no earlier batch holds, so the log is unique;
+A table is a log of batches. Every micro-batch writes a folder of its own,
+``turn=T/stream=S/batch_id=N``: S is the id that Spark wrote into the stream's
+checkpoint, so a second source, or the same source with a new checkpoint, never meets
+another one's folders; N is the batch within the stream; T numbers the folders in the
+order in which they were begun. A replay finds its folder again by (S, N) and overwrites
+just that one, so a restart after a lost driver or executor neither doubles nor loses a
+row. No batch rewrites the table; the write cost follows the batch. Several streams may
+feed one table one after the other.
+
+* ignore mode: a batch stores only keys no other batch holds, so the log is unique;
 * replace mode: a batch stores the latest row of each of its keys, and the reader
-  takes the row with the highest (batch_id, order).
+  takes the row of the highest turn.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -20,46 +27,66 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from corpuscope.operators.joins import as_list
 from corpuscope.operators.mutation import dead_letter, keep_first, keep_last
 
-BATCH = "batch_id"
+TURN, STREAM, BATCH = "turn", "stream", "batch_id"
+PLACE = [T.StructField(TURN, T.LongType()), T.StructField(STREAM, T.StringType()), T.StructField(BATCH, T.LongType())]
 
 
 def _log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The log as stored; an absent folder reads as empty."""
-    full = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
+    full = T.StructType([*schema.fields, *PLACE])
     try:
         return spark.read.schema(full).parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], full)
 
 
-def _store(batch: DataFrame, path: str, batch_id: int) -> None:
-    batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+def _folders(spark: SparkSession, path: str) -> dict[tuple[str, int], int]:
+    """(stream, batch) of each folder, with its turn: one entry per batch so far."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{TURN}=*/{STREAM}=*/{BATCH}=*")
+    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    names = [re.search(rf"{TURN}=(\d+)/{STREAM}=([^/]+)/{BATCH}=(\d+)$", str(f.getPath())) for f in files or []]
+    return {(m[2], int(m[3])): int(m[1]) for m in names if m}
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that a checkpoint belongs to; another one for each new checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").head()[0])["id"]
+
 
+def _store(batch: DataFrame, path: str, stream: str, batch_id: int) -> None:
+    known = _folders(batch.sparkSession, path)
+    turn = known.get((stream, batch_id), max(known.values(), default=0) + 1)
+    batch.write.mode("overwrite").parquet(f"{path}/{TURN}={turn}/{STREAM}={stream}/{BATCH}={batch_id}")
 
-def store_ignore(batch: DataFrame, path: str, batch_id: int, keys, order: Sequence[str]) -> None:
+
+def store_ignore(batch: DataFrame, path: str, stream: str, batch_id: int, keys, order: Sequence[str]) -> None:
     """Append the batch's new keys; existing keys win, then the first row of the batch."""
     keys = as_list(keys)
-    earlier = _log(batch.sparkSession, path, batch.schema).where(F.col(BATCH) < batch_id)
-    _store(keep_first(batch, keys, order).join(earlier.select(*keys), keys, "left_anti").select(*batch.columns), path, batch_id)
+    own = (F.col(STREAM) == stream) & (F.col(BATCH) == batch_id)
+    others = _log(batch.sparkSession, path, batch.schema).where(~own).select(*keys)
+    _store(keep_first(batch, keys, order).join(others, keys, "left_anti").select(*batch.columns), path, stream, batch_id)
 
 
-def store_replace(batch: DataFrame, path: str, batch_id: int, keys, order: Sequence[str]) -> None:
+def store_replace(batch: DataFrame, path: str, stream: str, batch_id: int, keys, order: Sequence[str]) -> None:
     """Append the latest row of each key of the batch."""
-    _store(keep_last(batch, keys, order), path, batch_id)
+    _store(keep_last(batch, keys, order), path, stream, batch_id)
 
 
 def read_ignore(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return _log(spark, path, schema).drop(BATCH)
+    return _log(spark, path, schema).drop(TURN, STREAM, BATCH)
 
 
 def read_replace(spark: SparkSession, path: str, schema: T.StructType, keys) -> DataFrame:
     """Latest row per key."""
-    return keep_last(_log(spark, path, schema), keys, [BATCH]).drop(BATCH)
+    return keep_last(_log(spark, path, schema), keys, [TURN]).drop(TURN, STREAM, BATCH)
 
 
 def compact(spark: SparkSession, path: str, target: str, schema: T.StructType, keys) -> DataFrame:
-    """Resolve the log into a new folder as its batch 0, to be read from there on."""
-    read_replace(spark, path, schema, keys).write.mode("overwrite").parquet(f"{target}/{BATCH}=0")
+    """Resolve the log into the new folder ``target``, to be read and fed from there on.
+
+    The resolved rows are a batch of a stream that no checkpoint has, so no batch can overwrite them.
+    """
+    _store(read_replace(spark, path, schema, keys), target, f"compacted-{uuid.uuid4()}", 0)
     return _log(spark, target, schema)
 
 
@@ -79,18 +106,22 @@ def stream_ingest(stream: DataFrame, path: str, checkpoint: str, keys, order: Se
     """
     keys = as_list(keys)
     store = {"ignore": store_ignore, "replace": store_replace}[mode]
+    stream_ids: list[str] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if not stream_ids:
+            stream_ids.append(stream_id(batch.sparkSession, checkpoint))
+        name = stream_ids[0]
         if done is not None:
             batch = batch.join(done.select(*keys), keys, "left_anti").select(*batch.columns)
         if succeeded is None:
-            store(batch, path, batch_id, keys, order)
+            store(batch, path, name, batch_id, keys, order)
             return
         # Both sinks read the batch; it is parsed once.
         batch.persist()
         passed, failed = dead_letter(batch, succeeded)
-        store_ignore(failed.select(*keys), failed_path, batch_id, keys, keys)
-        store(passed, path, batch_id, keys, order)
+        store_ignore(failed.select(*keys), failed_path, name, batch_id, keys, keys)
+        store(passed, path, name, batch_id, keys, order)
         batch.unpersist()
 
     query = (

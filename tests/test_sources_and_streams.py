@@ -114,12 +114,35 @@ def test_ingest_resumes_and_never_doubles(spark, tmp_path):
         assert read(reader()) == after_two
         # A batch replayed after a crash overwrites its own folder.
         batch = spark.createDataFrame(second, SCHEMA)
-        {"ignore": ingest.store_ignore, "replace": ingest.store_replace}[mode](batch, table, 1, "k", ["seq"])
+        own = ingest.stream_id(spark, memory)
+        {"ignore": ingest.store_ignore, "replace": ingest.store_replace}[mode](batch, table, own, 1, "k", ["seq"])
         assert read(reader()) == after_two
     compacted = ingest.compact(spark, table, str(tmp_path / "compact"), SCHEMA, "k")
     assert read(compacted) == after_two
 
 
+def test_other_streams_lost_checkpoints_and_compaction_lose_nothing(spark, tmp_path):
+    path = lambda name: str(tmp_path / name)
+    run = lambda folder, memory, table, mode: ingest.stream_ingest(
+        ingest.open_stream(spark, path(folder), SCHEMA), path(table), path(memory), "k", ["seq"], mode)
+    land(path("one"), "x", [("a", 1, 1), ("b", 2, 2)])
+    land(path("two"), "x", [("c", 3, 3), ("b", 7, 4)])
+    for mode, after, again in (
+        ("ignore", [("a", 1), ("b", 2), ("c", 3)], [("a", 1), ("b", 2), ("c", 3)]),
+        ("replace", [("a", 1), ("b", 7), ("c", 3)], [("a", 1), ("b", 2), ("c", 3)]),
+    ):
+        reader = lambda table: read(
+            ingest.read_ignore(spark, path(table), SCHEMA) if mode == "ignore" else ingest.read_replace(spark, path(table), SCHEMA, "k"))
+        run("one", f"c1-{mode}", mode, mode)
+        run("two", f"c2-{mode}", mode, mode)
+        assert reader(mode) == after
+        run("one", f"c3-{mode}", mode, mode)  # the checkpoint was lost: all is read again
+        assert reader(mode) == again
+        ingest.compact(spark, path(mode), path(f"{mode}-compact"), SCHEMA, "k")
+        run("two", f"c4-{mode}", f"{mode}-compact", mode)  # a new checkpoint begins at batch 0
+        assert reader(f"{mode}-compact") == after
+
+
 def test_dead_letters_and_done(spark, tmp_path):
     folder = str(tmp_path / "landed")
     land(folder, "one", [("a", 1, 1), ("b", None, 2), ("c", 3, 3)])
