@@ -30,7 +30,7 @@ CLASSES = {"hex": ("0123456789abcdefABCDEF", 3.0), "base64": (None, 3.7)}
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[A-Za-z]+$",
-    r"^[A-Z]?[a-z]+([-_/=+]+[A-Za-z]?[a-z]*)*$",
+    r"^(?!.*(?:[a-z][A-Z]|[A-Z]{2}))[A-Za-z+/_=-]+$",
     r"^[0-9+=/_-]+$",
     r"^(.{1,6}?)\1{2,}.{0,5}$",
 )
@@ -63,29 +63,36 @@ def max_window_entropy(text: Column, window: int = WINDOW) -> Column:
     """Highest Shannon entropy, in bits, of any ``window`` characters in a row (of the whole text if it is shorter).
 
     The window slides one character at a time. Only the counts of the character that enters and of the one that
-    leaves change, so the sum of n log n is carried on by their four terms.
+    leaves change, so the sum of n log n is carried on by their four terms. The text is split into characters once,
+    so the work is in proportion to its length.
     """
-    size = F.least(F.length(text), F.lit(window))
+    # A transform over one element binds the characters to a name.
+    return F.get(F.transform(F.array(F.split(text, "")), lambda chars: _slide(chars, window)), F.lit(0))
+
+
+def _slide(chars: Column, window: int) -> Column:
+    length = F.size(chars)
+    size = F.least(length, F.lit(window))
 
     def count(char: Column, start: Column, length: Column) -> Column:
-        part = F.substring(text, start, length)
-        return length - F.length(F.replace(part, char, F.lit("")))
+        return F.size(F.filter(F.slice(chars, start, length), lambda c: c == char))
+
+    def at(i: Column) -> Column:
+        return F.element_at(chars, i)
 
     first = F.aggregate(
         F.sequence(F.lit(1), size), F.lit(0.0),
-        lambda acc, i: acc + _weight(count(F.substring(text, i, F.lit(1)), F.lit(1), i))
-        - _weight(count(F.substring(text, i, F.lit(1)), F.lit(1), i) - 1),
+        lambda acc, i: acc + _weight(count(at(i), F.lit(1), i)) - _weight(count(at(i), F.lit(1), i) - 1),
     )
 
     def slide(acc: Column, i: Column) -> Column:
         # The window [i - window, i) becomes [i - window + 1, i + 1), counted from 1.
-        entering, leaving = F.substring(text, i, F.lit(1)), F.substring(text, i - window, F.lit(1))
-        before, after = count(leaving, i - window, F.lit(window)), count(entering, i - window + 1, F.lit(window))
+        before, after = count(at(i - window), i - window, F.lit(window)), count(at(i), i - window + 1, F.lit(window))
         total = acc["sum"] - _weight(before) + _weight(before - 1) - _weight(after - 1) + _weight(after)
         return F.struct(total.alias("sum"), F.least(acc["least"], total).alias("least"))
 
-    least = F.when(F.length(text) <= window, first).otherwise(F.aggregate(
-        F.sequence(F.lit(window + 1), F.greatest(F.length(text), F.lit(window + 1))),
+    least = F.when(length <= window, first).otherwise(F.aggregate(
+        F.sequence(F.lit(window + 1), F.greatest(length, F.lit(window + 1))),
         F.struct(first.alias("sum"), first.alias("least")), slide,
     )["least"])
     return F.when(size < 1, F.lit(0.0)).otherwise(F.log2(size.cast("double")) - least / size)

@@ -41,6 +41,7 @@ def texts():
     ]
     found += [" ".join([some(rng.randint(5, 45)), "the", some(rng.randint(15, 30)), "secret=" + some(9)]) for _ in range(150)]
     found.append(" ".join(some(25) for _ in range(200)))
+    found += [some(30_000), "ab-" * 20_000, "x/" * 30_000 + "Y9"]
     return found
 
 
