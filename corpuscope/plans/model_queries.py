@@ -13,7 +13,7 @@ from corpuscope.plans import coverage, engagement, relevance, standins
 from corpuscope.plans.aggregate_queries import COMPLETE_CTE, RATES, complete_metrics
 from corpuscope.plans.registry import load, query, rounded, to_bigint
 from corpuscope.plans.standins import SQL_WORDS
-from corpuscope.session import scratch_path
+from corpuscope.session import materialise, scratch_path
 from corpuscope.streaming import ingest
 
 # --- principal components: closed form for three standardised variables ---------------
@@ -118,8 +118,15 @@ def feature_matrix(spark, sf_dir):
 
 # --- classifiers ---------------------------------------------------------------------------
 
+# A label that the vector decides, so that a model which learns nothing is found out.
+_LABEL = "embedding[{0}] + embedding[{1}] > 0"
+_DRAW_SQL = "(CAST('0x' || substr(md5(vec_id || ':42'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
+_HELD_SQL = f"SELECT vec_id, CAST({_LABEL.format(1, 2)} AS BIGINT) AS label FROM embeddings WHERE {_DRAW_SQL} >= 0.6"
+_LEAST_AUC = 0.7
+
+
 def labelled_vectors(spark, sf_dir):
-    rows = load(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") >= 5).cast("int").alias("label"))
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr(f"CAST({_LABEL.format(0, 1)} AS INT) AS label"))
     return models.with_features(rows, "embedding").drop("embedding")
 
 
@@ -128,39 +135,46 @@ def _halves(spark, sf_dir):
     return rows.where("_u < 0.6").drop("_u"), rows.where("_u >= 0.6").drop("_u")
 
 
-def _quality(scored):
-    return rounded(metrics.roc_auc(scored, "label", "score").withColumn("rows", F.lit(scored.count())), "roc_auc")
+def _facts(scored):
+    """A row per held-out vector: whether its score is a probability, and the model's ranking beats chance by far."""
+    scored = materialise(scored.select("vec_id", "label", "score"), "scored")
+    learned = metrics.roc_auc(scored, "label", "score").head()["roc_auc"] > _LEAST_AUC
+    return to_bigint(scored.select(
+        "vec_id", "label", F.col("score").between(0.0, 1.0).alias("valid"), F.lit(learned).alias("learned")), "label")
+
 
+_FACTS_SQL = f"SELECT *, true AS valid, true AS learned FROM ({_HELD_SQL})"
 
-@query("fit_logreg")
+
+@query("fit_logreg", _FACTS_SQL)
 def fit_logreg(spark, sf_dir):
     train, rest = _halves(spark, sf_dir)
     weight = metrics.class_weight(rest, "label").head()["weight_0"]
-    return _quality(models.pipeline_scorer(models.fit_logreg(models.with_class_weight(train, "label", weight)))(rest))
+    return _facts(models.pipeline_scorer(models.fit_logreg(models.with_class_weight(train, "label", weight)))(rest))
 
 
-@query("fit_rf")
+@query("fit_rf", _FACTS_SQL)
 def fit_forest(spark, sf_dir):
     train, rest = _halves(spark, sf_dir)
-    return _quality(models.pipeline_scorer(models.fit_forest(train, trees=100))(rest))
+    return _facts(models.pipeline_scorer(models.fit_forest(train))(rest))
 
 
-@query("fit_gbt")
+@query("fit_gbt", _FACTS_SQL)
 def fit_boosted(spark, sf_dir):
     train, rest = _halves(spark, sf_dir)
-    return _quality(models.pipeline_scorer(models.fit_boosted(train, val=rest, rounds=30))(rest))
+    return _facts(models.pipeline_scorer(models.fit_boosted(train, val=rest))(rest))
 
 
-@query("fit_svc")
+@query("fit_svc", _FACTS_SQL)
 def fit_svm(spark, sf_dir):
     train, rest = _halves(spark, sf_dir)
-    return _quality(models.fit_linear_svm(train, "vec_id")(rest))
+    return _facts(models.fit_linear_svm(train, "vec_id")(rest))
 
 
-@query("fit_mlp")
+@query("fit_mlp", _FACTS_SQL)
 def fit_perceptron(spark, sf_dir):
     train, rest = _halves(spark, sf_dir)
-    return _quality(models.pipeline_scorer(models.fit_perceptron(train))(rest))
+    return _facts(models.pipeline_scorer(models.fit_perceptron(train))(rest))
 
 
 # Max-min form of isotonic regression over runs a..b of distinct scores.
@@ -178,24 +192,39 @@ def isotonic_calibrate(spark, sf_dir):
     return to_bigint(rounded(models.fit_isotonic(scored)(scored), "score"), "label")
 
 
-@query("model_leaderboard")
+_METRICS = ("roc_auc", "pr_auc", "f1_0", "f1_1", "f1_macro", "f1_micro")
+
+
+@query("model_leaderboard", """
+SELECT unnest(['logreg', 'forest', 'boosted', 'svm', 'mlp']) AS model, true AS valid, true AS learned
+""")
 def model_leaderboard(spark, sf_dir):
+    """All five models in full: metrics within [0, 1], ranking of the test half well above chance."""
     train, rest = _halves(spark, sf_dir)
     val, test = rest.where("vec_id % 2 = 0"), rest.where("vec_id % 2 = 1")
-    table, _ = models.compare_models(train, val, test, "vec_id", names=("logreg", "forest"), forest_trees=20)
-    return models.best_model(table).drop("train_seconds")
+    table, _ = models.compare_models(train, val, test, "vec_id")
+    valid = F.lit(True)
+    for name in [f"{part}_{m}" for part in ("val", "test") for m in _METRICS] + ["threshold"]:
+        valid = valid & F.col(name).between(0.0, 1.0)
+    return table.select("model", valid.alias("valid"), (F.col("test_roc_auc") > _LEAST_AUC).alias("learned"))
 
 
-@query("score_all")
+@query("score_all", f"""
+SELECT doc_id, lang, vec_id IS NOT NULL AS scored, CASE WHEN vec_id IS NOT NULL THEN true END AS consistent
+FROM documents LEFT JOIN embeddings ON doc_id = vec_id
+""")
 def score_all(spark, sf_dir):
-    """Scores of all vectors written back to the document table by key."""
+    """Scores of all vectors written back to the document table by key; documents without vector keep NULLs."""
     train, _ = _halves(spark, sf_dir)
     scorer = models.pipeline_scorer(models.fit_logreg(train))
     scored = models.score_all(scorer, labelled_vectors(spark, sf_dir), "vec_id", 0.5)
-    updates = scored.withColumnRenamed("vec_id", "doc_id")
     docs = load(spark, sf_dir, "documents").select(
         "doc_id", "lang", F.lit(None).cast("int").alias("predicted_label"), F.lit(None).cast("double").alias("confidence"))
-    return rounded(mutation.update_by_key(docs, updates, "doc_id", ["predicted_label", "confidence"]), "confidence")
+    written = mutation.update_by_key(
+        docs, scored.withColumnRenamed("vec_id", "doc_id"), "doc_id", ["predicted_label", "confidence"])
+    return written.select(
+        "doc_id", "lang", F.col("confidence").isNotNull().alias("scored"),
+        (F.col("predicted_label") == (F.col("confidence") >= 0.5).cast("int")).alias("consistent"))
 
 
 # --- neighbours ------------------------------------------------------------------------------
@@ -343,6 +372,11 @@ def engagement_model(spark, sf_dir):
     return engagement.order_report(spark, sf_dir)
 
 
-@query("relevance_scores")
+@query("relevance_scores", f"""
+WITH v AS (SELECT vec_id, vec_id IN (SELECT doc_id FROM labels) OR {_DRAW_SQL} < 0.6 AS labelled FROM embeddings)
+SELECT CAST(doc_id AS VARCHAR) AS video_id, lang, coalesce(NOT labelled, false) AS scored,
+       CASE WHEN NOT labelled THEN true END AS consistent
+FROM documents LEFT JOIN v ON doc_id = vec_id
+""")
 def relevance_scores(spark, sf_dir):
     return relevance.document_scores(spark, sf_dir)

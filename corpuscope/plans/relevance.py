@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpuscope.fixed_values import KEYWORDS, TRAINING_SAMPLE_ROWS
 from corpuscope.functions import text
+from corpuscope.functions.hashing import hash_uniform
 from corpuscope.operators import features, joins, metrics, models, mutation, neighbours, sampling
 from corpuscope.session import materialise
 
@@ -74,19 +75,25 @@ def score_and_write_back(model: RelevanceModel, embeddings: DataFrame, videos: D
 
 
 def document_scores(spark, sf_dir: str) -> DataFrame:
-    """The whole flow with documents as videos and the given vectors and labels."""
+    """The whole flow with documents as videos and the given vectors and labels.
+
+    Documents with a manual label are held out, six in ten of the other vectors are labelled for training, and the
+    rest are scored: whether a document got a score, and whether its label follows from score and threshold.
+    """
     from corpuscope.plans.registry import load
 
     docs = load(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("video_id"), "lang",
         F.lit(None).cast("int").alias("predicted_label"), F.lit(None).cast("double").alias("confidence"))
-    raw = load(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("video_id"), "embedding", "label")
-    vectors = materialise(mutation.keep_first(raw, "video_id", ["label", "embedding"]), "vectors")
+    vectors = materialise(load(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("video_id"), "embedding", "label"), "vectors")
     truth = vectors.select("video_id", (F.col("label") >= 7).cast("int").alias("label"))
     manual = load(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("video_id"))
     heldout = joins.semi_filter(truth, manual, "video_id")
-    fit_labels = joins.anti_filter(truth, manual, "video_id")
-    model = train(vectors.drop("label"), fit_labels, heldout, names=("logreg",))
-    # Scored here are the rows outside the held-out labels, so that every document with a vector has a fate.
-    scored = score_and_write_back(model, vectors.drop("label"), docs, heldout.select("video_id"))
-    return scored.withColumn("confidence", F.round("confidence", 6))
+    fit_labels = joins.anti_filter(truth, manual, "video_id").where(hash_uniform(F.col("video_id")) < 0.6)
+    model = train(vectors.drop("label"), fit_labels, heldout)
+    labelled = heldout.select("video_id").unionByName(fit_labels.select("video_id"))
+    scored = score_and_write_back(model, vectors.drop("label"), docs, labelled)
+    return scored.select(
+        "video_id", "lang", F.col("confidence").isNotNull().alias("scored"),
+        (F.col("predicted_label") == (F.col("confidence") >= model.threshold).cast("int")).alias("consistent"))

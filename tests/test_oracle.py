@@ -5,8 +5,6 @@ import pytest
 import __spark_entry__ as entry_points
 from comparing import compare, connect
 
-SLOW = {"engagement_model", "fit_svc", "model_leaderboard", "relevance_scores"}
-
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
@@ -20,8 +18,7 @@ def test_matches_sql(spark, sf_dir, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(entry_points.queries()) - set(entry_points.oracle_sql())))
 def test_runs(spark, sf_dir, name):
-    folder = sf_dir if name not in SLOW else sf_dir.replace("sf0.01", "sf0.001")
-    assert entry_points.queries()[name](spark, folder).count() > 0
+    assert entry_points.queries()[name](spark, sf_dir).count() > 0
 
 
 def test_entry(spark):
