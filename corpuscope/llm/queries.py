@@ -204,6 +204,23 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@numbered("op10_sharding")
+# The checksum goes bit by bit: each byte is followed by seven steps that add nothing.
+@numbered("op10_sharding", """
+    WITH sized AS (
+        SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+               xor(list_reduce(
+                   list_prepend(4294967295, flatten(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+                       lambda h: [('0x' || h)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                   lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) AS text_crc32
+        FROM documents),
+    placed AS (
+        SELECT *, CAST(((2 * sum(size) OVER (ORDER BY doc_id, text_crc32, size) - size) * 8)
+                       // (2 * sum(size) OVER ()) AS INTEGER) AS shard
+        FROM sized)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard,
+           row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot,
+           CAST(NULL AS INTEGER) AS grown_shard
+    FROM placed
+""")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(read_table(spark, sf_dir, "documents"))
