@@ -16,11 +16,13 @@ from corpuscope.llm.common import small_batches, whole_text
 from corpuscope.session import materialise
 
 MAX_DOCUMENTS = 12_000  # labelled documents that the fit may read, half of them of either label if there are so many
-MAX_SEGMENTS = 30_000  # sentences that the field is fitted on, half of them with a labelled token if there are so many
+MAX_SEGMENTS = 20_000  # sentences that the field is fitted on, half of them with a labelled token if there are so many
 BUCKETS = 1 << 20  # hashed word features; fixes the size of the model
 MIN_DOCUMENTS = 4  # toxic documents that a feature must occur in to count
 TOXIC_ODDS = 1.0  # log odds from which a token of a toxic document is labelled toxic
 
+SENTENCE_TOKENS = 64  # longer sentences go on as further ones, so that passes over all sentences stay short
+
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 SENTENCE_ENDS = frozenset(".!?\n")
 LEVELS = np.array([0.5, 1.5, 2.5, 4.0])  # of a token's log odds
@@ -52,9 +54,12 @@ class Evidence:
 
 
 def _sentences(tokens: list[str]) -> np.ndarray:
-    """First token of each sentence; an end mark belongs to the sentence it ends."""
-    ends = [i + 1 for i, token in enumerate(tokens) if token in SENTENCE_ENDS]
-    return np.array([0, *(e for e in ends if e < len(tokens))])
+    """First token of each sentence; an end mark belongs to the sentence it ends. All tokens are in some sentence."""
+    first = [0]
+    for i, token in enumerate(tokens[:-1], 1):
+        if token in SENTENCE_ENDS or i - first[-1] == SENTENCE_TOKENS:
+            first.append(i)
+    return np.array(first)
 
 
 def _unary(odds: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -103,7 +108,7 @@ class Field:
         return alpha[:, 1] * beta[:, 1], pairs, float(np.log(scale).sum())
 
     @classmethod
-    def fit(cls, features: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = 150, penalty: float = 1e-3) -> Field:
+    def fit(cls, features: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = 80, penalty: float = 1e-3) -> Field:
         """Maximises the penalised conditional likelihood by gradient steps of adapted length."""
         field = cls(np.zeros(features.shape[1]), np.zeros((2, 2)))
         field.unary[0] = -2.0
@@ -129,31 +134,50 @@ class Model:
     field: Field
     weights: np.ndarray
 
-    def tag(self, text: str) -> tuple[list[float], list[tuple[int, int, float]]]:
-        """Document features (largest marginal, log of expected toxic tokens, of their share) and spans.
+    def tag(self, texts: list[str]) -> list[tuple[list[float], list[tuple[int, int, float]]]]:
+        """Of each text, features (largest marginal, log of expected toxic tokens, of their share) and spans.
 
-        Sentences without any evidence are not run: all their tokens are like those far from evidence in others.
+        The sentences of all texts are run together. Those without any evidence are not run: all their tokens are like
+        those far from evidence in others.
         """
-        words = TOKEN.findall(text)
-        odds = self.evidence.of(words)
-        if not len(odds) or not odds.any():
-            return [0.0, 0.0, 0.0], []
-        first = _sentences(words)
-        marginals, _, _ = self.field.marginals(_unary(odds, first), first)
-        marginals[~np.repeat(np.maximum.reduceat(odds, first) > 0, np.diff(np.r_[first, len(odds)]))] = 0.0
-        toxic = marginals >= 0.5
-        spans: list[tuple[int, int, float]] = []
-        if toxic.any():
+        sizes, places, runs = [], [], []
+        for n, text in enumerate(texts):
+            words = TOKEN.findall(text)
+            sizes.append(len(words))
+            odds = self.evidence.of(words)
+            if not odds.any():
+                continue
+            first = _sentences(words)
+            ends = np.r_[first[1:], len(words)]
+            for k in np.flatnonzero(np.maximum.reduceat(odds, first) > 0):
+                places.append((n, int(first[k]), int(ends[k])))
+                runs.append(odds[first[k] : ends[k]])
+        found: list[tuple[list[float], list[tuple[int, int, float]]]] = [([0.0, 0.0, 0.0], []) for _ in texts]
+        if not runs:
+            return found
+        starts = np.cumsum([0, *map(len, runs)])[:-1]
+        marginals, _, _ = self.field.marginals(_unary(np.concatenate(runs), starts), starts)
+        shown: dict[int, dict[int, float]] = {}
+        largest: dict[int, float] = {}
+        for (n, start, _), at, run in zip(places, starts, runs):
+            part = marginals[at : at + len(run)]
+            largest[n] = max(largest.get(n, 0.0), float(part.max()))
+            for k in np.flatnonzero(part >= 0.5):
+                shown.setdefault(n, {})[start + int(k)] = float(part[k])
+        for n, top in largest.items():
+            toxic = shown.get(n, {})
+            total = sum(toxic.values())
+            spans: list[tuple[int, int, float]] = []
             last = -2
-            for i, match in enumerate(TOKEN.finditer(text)):
-                if toxic[i]:
+            for i, match in enumerate(TOKEN.finditer(texts[n])) if toxic else ():
+                if i in toxic:
                     if last == i - 1:
-                        spans[-1] = (spans[-1][0], match.end(), max(spans[-1][2], float(marginals[i])))
+                        spans[-1] = (spans[-1][0], match.end(), max(spans[-1][2], toxic[i]))
                     else:
-                        spans.append((match.start(), match.end(), float(marginals[i])))
+                        spans.append((match.start(), match.end(), toxic[i]))
                     last = i
-        total = float(marginals[toxic].sum())
-        return [float(marginals.max()), math.log1p(total), math.log1p(100 * total / len(words))], spans
+            found[n] = [top, math.log1p(total), math.log1p(100 * total / sizes[n])], spans
+        return found
 
     def score(self, features: list[float]) -> float:
         return 1 / (1 + math.exp(-float(np.clip(self.weights[0] + self.weights[1:] @ features, -35, 35))))
@@ -306,8 +330,7 @@ def _rated(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         own = Model(Evidence(odds), field, weights)
         for batch in batches:
             features, scores, spans = [], [], []
-            for text in batch.column("text"):
-                values, found = own.tag(text.as_py() or "")
+            for values, found in own.tag([text or "" for text in batch.column("text").to_pylist()]):
                 features.append(values)
                 scores.append(own.score(values))
                 spans.append([{"start": a, "end": b, "score": s} for a, b, s in found])
