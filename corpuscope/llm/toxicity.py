@@ -288,7 +288,8 @@ def fit_toxicity(
     """
     small_batches(docs.sparkSession)
     condition = F.lit(True) if train is None else train
-    texts = materialise(_training_texts(docs, labels, condition, max_documents), "labelled")
+    slots = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    texts = materialise(_training_texts(docs, labels, condition, max_documents).repartition(slots, "doc_id"), "labelled")
     sizes = {(r.part, r.toxic): r["count"] for r in texts.groupBy("part", "toxic").count().collect()}
     if len({toxic for _, toxic in sizes}) < 2:
         return None
@@ -304,7 +305,7 @@ def fit_toxicity(
         [(r.bucket, r["0_toxic"] + r["1_toxic"], r["0_clean"] + r["1_clean"]) for r in rows],
         size(0, 1) + size(1, 1), size(0, 0) + size(1, 0),
     )
-    drawn = _segments(texts, halves[0] or whole, halves[1] or whole)
+    drawn = materialise(_segments(texts, halves[0] or whole, halves[1] or whole), "segments")
     segments = [s for y in (0, 1) for s in drawn.where(F.col("marked") == y).orderBy("draw").limit(MAX_SEGMENTS // 2).collect()]
     odds = [np.frombuffer(s.odds, np.float32).astype(float) for s in segments]
     first = np.cumsum([0, *(len(x) for x in odds)])[:-1]
