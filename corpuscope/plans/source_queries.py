@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuscope import schemas
+from corpuscope.functions.hashing import hash_uniform
 from corpuscope.operators import models, mutation, sampling
 from corpuscope.plans import standins
 from corpuscope.plans.registry import load, query, rounded, to_bigint
@@ -224,44 +225,50 @@ def taxonomy_terms(spark, sf_dir):
 _EVENT_KEY = "user_id, CAST(ts AS DATE)"
 
 
-def _daily(spark, sf_dir, kind=None):
-    events = load(spark, sf_dir, "events")
-    if kind:
-        events = events.where(F.col("event_type") == kind)
-    return events.select("user_id", F.to_date("ts").cast("string").alias("day"), "ts", "event_id", "value")
+# All events, half of them as the stored table and half as the batch, by a hash of the id.
+_HALF = {"target": "< 0.5", "batch": ">= 0.5"}
+_EVENT_DRAW = "(CAST('0x' || substr(md5(event_id || ':42'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
 
 
-def _daily_sql(kind, direction):
+def _events_half(spark, sf_dir, half):
+    events = load(spark, sf_dir, "events").withColumn("_u", hash_uniform(F.col("event_id")))
+    return events.where(f"_u {_HALF[half]}").drop("_u")
+
+
+def _daily(spark, sf_dir, half):
+    return _events_half(spark, sf_dir, half).select("user_id", F.to_date("ts").cast("string").alias("day"), "ts", "event_id", "value")
+
+
+def _daily_sql(half, direction):
     return f"""(
-  SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id, value FROM events WHERE event_type = '{kind}'
+  SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id, value FROM events WHERE {_EVENT_DRAW} {_HALF[half]}
   QUALIFY row_number() OVER (PARTITION BY {_EVENT_KEY} ORDER BY ts {direction}, event_id {direction}) = 1)"""
 
 
 @query("upsert_ignore", f"""
-WITH t AS {_daily_sql('click', 'ASC')}, b AS {_daily_sql('view', 'ASC')}
+WITH t AS {_daily_sql('target', 'ASC')}, b AS {_daily_sql('batch', 'ASC')}
 SELECT * FROM t UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.user_id = b.user_id AND t.day = b.day)
 """)
 def upsert_ignore(spark, sf_dir):
     keys, order = ["user_id", "day"], ["ts", "event_id"]
-    target = mutation.keep_first(_daily(spark, sf_dir, "click"), keys, order)
-    return mutation.upsert_ignore(target, _daily(spark, sf_dir, "view"), keys, order).drop("ts")
+    target = mutation.keep_first(_daily(spark, sf_dir, "target"), keys, order)
+    return mutation.upsert_ignore(target, _daily(spark, sf_dir, "batch"), keys, order).drop("ts")
 
 
 @query("upsert_replace", f"""
-WITH t AS {_daily_sql('click', 'ASC')}, b AS {_daily_sql('view', 'DESC')}
+WITH t AS {_daily_sql('target', 'ASC')}, b AS {_daily_sql('batch', 'DESC')}
 SELECT * FROM b UNION ALL SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM b WHERE t.user_id = b.user_id AND t.day = b.day)
 """)
 def upsert_replace(spark, sf_dir):
     keys, order = ["user_id", "day"], ["ts", "event_id"]
-    target = mutation.keep_first(_daily(spark, sf_dir, "click"), keys, order)
-    return mutation.upsert_replace(target, _daily(spark, sf_dir, "view"), keys, order).drop("ts")
+    target = mutation.keep_first(_daily(spark, sf_dir, "target"), keys, order)
+    return mutation.upsert_replace(target, _daily(spark, sf_dir, "batch"), keys, order).drop("ts")
 
 
-@query("append_checked", "SELECT event_id, user_id, value FROM events WHERE event_type IN ('click', 'view')")
+@query("append_checked", "SELECT event_id, user_id, value FROM events")
 def append_checked(spark, sf_dir):
-    events = load(spark, sf_dir, "events")
-    part = lambda kind: events.where(F.col("event_type") == kind).select("event_id", "user_id", "value")
-    return mutation.append_checked(part("click"), part("view"), "event_id")
+    half = lambda name: _events_half(spark, sf_dir, name).select("event_id", "user_id", "value")
+    return mutation.append_checked(half("target"), half("batch"), "event_id")
 
 
 @query("update_by_key", """
