@@ -19,8 +19,3 @@ def hash_uniform(*ids: Column, seed: int = 42) -> Column:
     """Uniform draw in (0, 1)."""
     digits = F.substring(hash_hex(*ids, seed=seed), 1, _DIGITS)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(16 ** _DIGITS)
-
-
-def hash_bucket(*ids: Column, buckets: int, seed: int = 0) -> Column:
-    """Cheap bucket number for spreading work; not part of any result."""
-    return F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(buckets)).cast("int")

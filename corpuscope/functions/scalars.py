@@ -41,11 +41,6 @@ def rate_per_day(count: Column, days: Column, min_count: float | None = None, mi
     return rate
 
 
-def ratio(numerator: Column, denominator: Column) -> Column:
-    """Like/view and comment/view style ratios, NULL on division by zero."""
-    return F.try_divide(numerator.cast("double"), denominator.cast("double"))
-
-
 _CLOCK = r"^\s*(?:(\d+) days?,? )?(\d+):(\d+):(\d+(?:\.\d+)?)\s*$"
 
 
@@ -129,7 +124,3 @@ def literal_map(mapping: Mapping[str, object]) -> Column:
 def label_map(col: Column, labels: Mapping[str, str]) -> Column:
     """Code to display label, the code itself where no label exists."""
     return F.coalesce(F.try_element_at(literal_map(labels), col), col)
-
-
-def nan_to_null(col: Column) -> Column:
-    return F.when(~(F.isnan(col) | (F.abs(col) == float("inf"))), col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuscope.functions import scalars, text
-from corpuscope.operators import filters, joins, lexicon, mutation, stats
+from corpuscope.operators import filters, joins, lexicon, mutation, sampling, stats
 from corpuscope.plans import coverage, standins
 from corpuscope.plans.registry import load, query, rounded, to_bigint
 from corpuscope.plans.standins import SQL_WORDS
@@ -230,6 +230,22 @@ def parse_label(spark, sf_dir):
     return load(spark, sf_dir, "labels").select("doc_id", text.parse_label(reply).cast("bigint").alias("label"))
 
 
+@query("label_rejects", """
+SELECT count(*) AS n, count(*) FILTER (TRY_CAST(trim(text) AS INTEGER) IS NULL) AS rejected FROM conversations
+""")
+def label_rejects(spark, sf_dir):
+    """Replies in total, and those that are no label."""
+    replies = load(spark, sf_dir, "conversations").select(text.parse_label(F.col("text")).alias("label"))
+    return sampling.label_rejects(replies, "label")
+
+
+@query("log1p_dropped", "SELECT count(c_acctbal) AS n, count(*) FILTER (c_acctbal / 1000 <= -1) AS dropped FROM customer")
+def log1p_dropped(spark, sf_dir):
+    from corpuscope.operators.features import dropped_by_log1p
+
+    return dropped_by_log1p(load(spark, sf_dir, "customer").select((F.col("c_acctbal") / 1000).alias("balance")), "balance")
+
+
 @query("log1p_features", """
 SELECT c_custkey, CASE WHEN c_acctbal / 1000 > -1 THEN round(ln(1 + c_acctbal / 1000), 6) END AS log1p_balance FROM customer
 """)

@@ -44,10 +44,6 @@ def read_embeddings(spark: SparkSession, path: str, key: str = "video_id", vecto
     return spark.read.parquet(path).select(key, F.col(vector).cast("array<float>").alias(vector))
 
 
-def read_labels(spark: SparkSession, path: str, key: str = "video_id", label: str = "relevance") -> DataFrame:
-    return spark.read.parquet(path).select(key, F.col(label).cast("int").alias(label))
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, escape='"')
 
