@@ -16,12 +16,13 @@ from corpuscope.llm.common import small_batches, whole_text
 from corpuscope.session import materialise
 
 MAX_DOCUMENTS = 12_000  # labelled documents that the fit may read, half of them of either label if there are so many
-MAX_SEGMENTS = 20_000  # sentences that the field is fitted on, half of them with a labelled token if there are so many
+MAX_SEGMENTS = 30_000  # sentences that the field is fitted on, half of them with a labelled token if there are so many
 BUCKETS = 1 << 20  # hashed word features; fixes the size of the model
 MIN_DOCUMENTS = 4  # toxic documents that a feature must occur in to count
 TOXIC_ODDS = 1.0  # log odds from which a token of a toxic document is labelled toxic
 
-SENTENCE_TOKENS = 64  # longer sentences go on as further ones, so that passes over all sentences stay short
+WINDOW_TOKENS = 64  # at least so many tokens of a long sentence are run at a time, with overlap on either side
+FORGOTTEN = 1e-9  # change of a token's log odds that the ends of the overlap may cause
 
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 SENTENCE_ENDS = frozenset(".!?\n")
@@ -57,11 +58,29 @@ def _sentences(tokens: list[str]) -> np.ndarray:
     """First token of each sentence; an end mark belongs to the sentence it ends. All tokens are in some sentence."""
     first = [0]
     for i, token in enumerate(tokens[:-1], 1):
-        if token in SENTENCE_ENDS or i - first[-1] == SENTENCE_TOKENS:
+        if token in SENTENCE_ENDS:
             first.append(i)
     return np.array(first)
 
 
+def _pieces(first: np.ndarray, total: int, some: np.ndarray) -> np.ndarray:
+    """First tokens of the fit's pieces: sentences, longer ones cut where neither neighbour has evidence or label.
+
+    A piece has ``WINDOW_TOKENS`` tokens or more. No feature changes, and the steps that are lost are between tokens
+    far from evidence, of which others show enough. Where evidence leaves no such place, the sentence stays whole.
+    """
+    found = []
+    quiet = np.flatnonzero(~(some[1:] | some[:-1])) + 1
+    for start, end in zip(first.tolist(), [*first[1:].tolist(), total]):
+        found.append(start)
+        while end - found[-1] > WINDOW_TOKENS:
+            k = np.searchsorted(quiet, found[-1] + WINDOW_TOKENS)
+            if k == len(quiet) or quiet[k] >= end:
+                break
+            found.append(int(quiet[k]))
+    return np.array(found)
+
+
 def _unary(odds: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Feature matrix of tokens; neighbours do not reach over the sentence's ends."""
     some = (odds > 0).astype(float)
@@ -78,37 +97,69 @@ class Field:
     unary: np.ndarray
     moves: np.ndarray
 
+    def overlap(self) -> float:
+        """Tokens after which a pass has forgotten its start.
+
+        One step brings any two vectors closer by tanh(d / 4) in Hilbert's metric, d being the log cross ratio of the
+        moves, whatever the tokens' own weights; after the first step they are at most d apart.
+        """
+        apart = abs(self.moves[0, 0] + self.moves[1, 1] - self.moves[0, 1] - self.moves[1, 0])
+        shrinks = math.tanh(apart / 4)
+        if apart * shrinks <= FORGOTTEN:
+            return 2
+        return 2 + math.ceil(math.log(FORGOTTEN / apart) / math.log(shrinks)) if shrinks < 1 else math.inf
+
+    def _windows(self, start: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(begin, core begin, core end, end) of each run; the cores of a sentence make it up, without overlap."""
+        overlap = self.overlap()
+        core = max(WINDOW_TOKENS, 2 * overlap)
+        if sizes.max() <= core + overlap:
+            return start, start, start + sizes, start + sizes
+        core, overlap = int(core), int(overlap)
+        parts = np.where(sizes > core + overlap, -(-sizes // core), 1)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        low, high = np.repeat(start, parts), np.repeat(start + sizes, parts)
+        begin = low + nth * core
+        end = np.where(np.repeat(parts, parts) == nth + 1, high, begin + core)
+        return np.maximum(begin - overlap, low), begin, end, np.minimum(end + overlap, high)
+
     def marginals(self, features: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """P(label 1) of each token, expected counts of the moves, log of all sentences' normalisers.
 
-        Forward and backward passes go over all sentences at once, a position at a time, longest sentences first.
+        Forward and backward passes go over all sentences at once, a position at a time, longest sentences first. Long
+        sentences are run in windows that overlap until the passes have forgotten the windows' ends; inner tokens
+        alone count, so the results are those of the whole sentence.
         """
         total = len(features)
-        emit = np.ones((total, 2))
         score = np.clip(features @ self.unary, -30, 30)
-        emit[:, 1] = np.exp(score)
         step = np.exp(self.moves)
-        sizes = np.diff(np.r_[first, total])
+        begin, core, core_end, end = self._windows(first, np.diff(np.r_[first, total]))
+        sizes = end - begin
+        at_run = np.cumsum(sizes) - sizes
+        token = np.arange(sizes.sum()) + np.repeat(begin - at_run, sizes)
+        inner = (token >= np.repeat(core, sizes)) & (token < np.repeat(core_end, sizes))
+        emit = np.ones((len(token), 2))
+        emit[:, 1] = np.exp(score[token])
         order = np.argsort(-sizes, kind="stable")
-        start, sizes = first[order], sizes[order]
+        start, sizes = at_run[order], sizes[order]
         active = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
-        alpha, scale = np.empty((total, 2)), np.empty(total)
+        alpha, scale = np.empty((len(token), 2)), np.empty(len(token))
         for t, k in enumerate(active):
             at = start[:k] + t
             value = emit[at] if t == 0 else (alpha[at - 1] @ step) * emit[at]
             scale[at] = value.sum(axis=1)
             alpha[at] = value / scale[at, None]
-        beta = np.ones((total, 2))
+        beta = np.ones((len(token), 2))
         pairs = np.zeros((2, 2))
         for t in range(len(active) - 1, 0, -1):
             at = start[: active[t]] + t
             ahead = emit[at] * beta[at] / scale[at, None]
             beta[at - 1] = ahead @ step.T
-            pairs += (alpha[at - 1].T @ ahead) * step
-        return alpha[:, 1] * beta[:, 1], pairs, float(np.log(scale).sum())
+            pairs += (alpha[at - 1].T @ (ahead * inner[at, None])) * step
+        return (alpha[:, 1] * beta[:, 1])[inner], pairs, float(np.log(scale[inner]).sum())
 
     @classmethod
-    def fit(cls, features: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = 80, penalty: float = 1e-3) -> Field:
+    def fit(cls, features: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = 150, penalty: float = 1e-3) -> Field:
         """Maximises the penalised conditional likelihood by gradient steps of adapted length."""
         field = cls(np.zeros(features.shape[1]), np.zeros((2, 2)))
         field.unary[0] = -2.0
@@ -249,7 +300,11 @@ def _odds(rows: list, toxic: int, clean: int) -> dict[int, float]:
 
 
 def _segments(texts: DataFrame, label_odds: dict[int, float], feature_odds: dict[int, float]) -> DataFrame:
-    """Sentences of the sample with token evidence and labels: odds, labels (arrays), marked (has label 1)."""
+    """Sentences of the sample with token evidence and labels: odds, labels (arrays), marked (has label 1).
+
+    Of sentences with neither, every sixteenth of a text is taken: they differ in length alone. Long sentences are
+    cut by ``_pieces``.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller, evidence = Evidence(label_odds), Evidence(feature_odds)
@@ -259,8 +314,9 @@ def _segments(texts: DataFrame, label_odds: dict[int, float], feature_odds: dict
                 words = TOKEN.findall(text)
                 if not words:
                     continue
-                odds, first = evidence.of(words), _sentences(words)
+                odds = evidence.of(words)
                 labels = ((labeller.of(words) >= TOXIC_ODDS) & (toxic == 1)).astype(np.int8)
+                first = _pieces(_sentences(words), len(words), (odds > 0) | (labels > 0))
                 for k, (start, end) in enumerate(zip(first, [*first[1:], len(words)])):
                     if odds[start:end].any() or labels[start:end].any() or k % 16 == 0:
                         all_odds.append(odds[start:end].astype(np.float32))
