@@ -19,6 +19,7 @@ REGISTERS = 1 << INDEX_BITS
 LOW_BITS = 64 - INDEX_BITS
 BAND_ROWS = 6
 MAX_BANDS = REGISTERS // BAND_ROWS
+MISSED = 1.6e-5  # bound on the share of pairs at the threshold that all bands of a smaller class miss
 SIGMAS = 4.0  # how far an estimate may lie below the threshold, in standard errors, and still be verified
 BLOCK = 256  # sketches on either side of one comparison
 
@@ -117,7 +118,8 @@ class Banding:
 
     Two sets of similarity s differ in at most (1 - s) / s of the smaller one's elements. A small set gets a quarter
     more bands than that plus two, so some band is free of differences; each band then holds several elements, and a
-    passage that many short texts share rarely fills one. From ``MAX_BANDS`` bands on, bands have ``BAND_ROWS``
+    passage that many short texts share rarely fills one. A pair of c common and d other elements is missed if all common
+    ones fall into the bands of the others, with (d / bands)^c at most; classes get enough bands for ``MISSED``. From ``MAX_BANDS`` bands on, bands have ``BAND_ROWS``
     registers and the usual banding bound holds: a pair at the threshold is missed with (1 - s^6)^42.
     Sizes form classes a factor 1/s^2 wide. Sets in the upper half of a class join the next class as well.
     """
@@ -130,7 +132,19 @@ class Banding:
             self.edges.append(self.edges[-1] / similarity**2)
 
     def bands(self, size: float) -> int:
-        return min(MAX_BANDS, math.ceil(1.25 * math.floor(self.share * size + 1e-9)) + 2)
+        """Bands of the class that ends at the size."""
+        least = math.ceil(1.25 * math.floor(self.share * size + 1e-9)) + 2
+        # Both sets of a pair are larger than size * s^3, so their common elements are more than size * s^4.
+        for common in range(max(1, math.floor(size * self.similarity**4)), math.ceil(size)):
+            apart = math.floor(self.share * common + 1e-9)
+            while least < MAX_BANDS and apart and self.missed(least, common, apart) > MISSED:
+                least += 1
+        return min(MAX_BANDS, least)
+
+    @staticmethod
+    def missed(bands: int, common: int, apart: int) -> float:
+        """Bound on the probability that all common elements fall into the bands of the others."""
+        return min(1.0, apart * math.ceil(REGISTERS / bands) / REGISTERS) ** common
 
     def schemes(self, sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(class, bands, rows of the class); the last class has no upper end."""

@@ -107,6 +107,24 @@ def test_pairs_at_the_threshold_share_a_band(similarity):
     assert missed <= tried // 400
 
 
+@pytest.mark.parametrize("similarity, sizes", [(0.8, [5, 6, 8, 10, 12]), (0.85, [7, 8, 10, 12, 14])])
+def test_small_pairs_are_missed_at_most_once_in_thousands(similarity, sizes):
+    """Bands of the elements by their first register; a pair is missed if no band holds common elements alone."""
+    rng = np.random.default_rng(11)
+    banding = operator.Banding(similarity)
+    for size in sizes:
+        apart = int((1 - similarity) * size + 1e-9)
+        classes = [bands for _, bands, rows in banding.schemes(np.array([size - apart, size])) if len(rows) == 2]
+        missed = np.ones(400_000, bool)
+        registers = rng.integers(0, operator.REGISTERS, (len(missed), size))
+        for bands in classes:
+            starts = banding.starts(bands)
+            band = np.searchsorted(starts, registers, side="right") - 1
+            spoilt = (band[:, :, None] == band[:, None, :apart]).any(axis=2)
+            missed &= spoilt.all(axis=1)
+        assert apart and classes and missed.mean() <= 4e-5
+
+
 def test_estimate_is_corrected_and_close():
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 2**64, 30_000, dtype=np.uint64)
