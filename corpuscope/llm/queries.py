@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuscope.llm.byte_bpe import byte_bpe
+from corpuscope.llm.collocations import collocations
 from corpuscope.llm.common import id_remainder, read_table
 from corpuscope.llm.decontamination import contamination
 from corpuscope.llm.exact_dedup import exact_dedup
@@ -224,3 +225,37 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(read_table(spark, sf_dir, "documents"))
+
+
+@numbered("op12_collocations", r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents),
+    w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM pieces),
+    totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+    grams AS (
+        SELECT lang, size, words[p : p + size - 1] AS phrase
+        FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS p
+              FROM (SELECT lang, words, unnest([1, 2, 3, 4]) AS size FROM w) WHERE len(words) >= size)),
+    f AS (SELECT lang, phrase, any_value(size) AS size, count(*) AS f FROM grams GROUP BY lang, phrase HAVING count(*) >= 30),
+    cuts AS (SELECT lang, phrase, size, f AS a, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+    scored AS (
+        SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f::HUGEINT + y.f) AS score
+        FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = cuts.phrase[1 : k]
+        JOIN f y ON y.lang = cuts.lang AND y.phrase = cuts.phrase[k + 1 : cuts.size]),
+    best AS (SELECT lang, phrase, a, unnest(min({'score': score, 'k': k, 'l': l, 'r': r})) FROM scored GROUP BY lang, phrase, a),
+    around AS (
+        SELECT lang, phrase[p : p + part - 1] AS phrase, max(f) AS around
+        FROM (SELECT lang, phrase, f, part, unnest(range(1, size - part + 2)) AS p
+              FROM (SELECT *, unnest(range(2, size)) AS part FROM f)) GROUP BY ALL),
+    ranked AS (
+        SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, score,
+               row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank
+        FROM best LEFT JOIN around USING (lang, phrase)
+        WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * a)
+    SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
