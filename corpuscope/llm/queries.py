@@ -14,6 +14,7 @@ from corpuscope.llm.near_dedup import near_duplicates
 from corpuscope.llm.pii import KINDS as PII_KINDS, find_personal_data
 from corpuscope.llm.secrets import find_secrets, named_spans
 from corpuscope.llm.sharding import shard_by_bytes
+from corpuscope.llm.suffix_dedup import suffix_dedup
 from corpuscope.llm.toxicity import toxicity
 from corpuscope.llm.url_filter import filter_urls
 from corpuscope.plans.registry import Query
@@ -259,3 +260,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read_table(spark, sf_dir, "documents"))
+
+
+@numbered("op13_suffix_dedup", r"""
+    WITH bytes AS (
+        SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
+    places AS (
+        SELECT doc_id, p, md5(array_to_string(b[p : p + 49], '')) AS gram
+        FROM (SELECT *, unnest(range(1, len(b) - 48)) AS p FROM bytes WHERE len(b) >= 50)),
+    found AS (SELECT doc_id, p FROM (SELECT *, min(doc_id) OVER (PARTITION BY gram) AS earliest FROM places) WHERE earliest < doc_id),
+    runs AS (SELECT doc_id, p, p - lag(p, 1, -50) OVER (PARTITION BY doc_id ORDER BY p) > 50 AS opens FROM found),
+    spans AS (
+        SELECT doc_id, min(p) AS s, max(p) + 50 AS e
+        FROM (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM runs) GROUP BY doc_id, run),
+    cut AS (
+        SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es
+        FROM spans GROUP BY doc_id)
+    SELECT doc_id, len(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(array_to_string(CASE WHEN ss IS NULL THEN b ELSE flatten(list_transform(
+               range(1, len(ss) + 2), lambda i: b[coalesce(es[i - 1], 1) : coalesce(ss[i] - 1, len(b))])) END, ''))) AS kept_sha256
+    FROM bytes LEFT JOIN cut USING (doc_id)
+""")
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
