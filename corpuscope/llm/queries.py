@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corpuscope.llm.byte_bpe import byte_bpe
 from corpuscope.llm.collocations import collocations
 from corpuscope.llm.common import id_remainder, read_table
+from corpuscope.llm.conversations import conversation_report, damage
 from corpuscope.llm.decontamination import contamination
 from corpuscope.llm.exact_dedup import exact_dedup
 from corpuscope.llm.language_id import identify_languages
@@ -228,6 +229,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(read_table(spark, sf_dir, "documents"))
 
 
+@numbered("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_report(damage(read_table(spark, sf_dir, "conversations")))
+
+
 @numbered("op12_collocations", r"""
     WITH pieces AS (
         SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
@@ -263,11 +269,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @numbered("op13_suffix_dedup", r"""
-    WITH bytes AS (
-        SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
+    WITH bytes AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
     places AS (
-        SELECT doc_id, p, md5(array_to_string(b[p : p + 49], '')) AS gram
-        FROM (SELECT *, unnest(range(1, len(b) - 48)) AS p FROM bytes WHERE len(b) >= 50)),
+        SELECT doc_id, p, md5(b[p : p + 49]) AS gram
+        FROM (SELECT *, unnest(range(1, octet_length(b) - 48)) AS p FROM bytes WHERE octet_length(b) >= 50)),
     found AS (SELECT doc_id, p FROM (SELECT *, min(doc_id) OVER (PARTITION BY gram) AS earliest FROM places) WHERE earliest < doc_id),
     runs AS (SELECT doc_id, p, p - lag(p, 1, -50) OVER (PARTITION BY doc_id ORDER BY p) > 50 AS opens FROM found),
     spans AS (
@@ -276,9 +281,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut AS (
         SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es
         FROM spans GROUP BY doc_id)
-    SELECT doc_id, len(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-           sha256(unhex(array_to_string(CASE WHEN ss IS NULL THEN b ELSE flatten(list_transform(
-               range(1, len(ss) + 2), lambda i: b[coalesce(es[i - 1], 1) : coalesce(ss[i] - 1, len(b))])) END, ''))) AS kept_sha256
+    SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           CASE WHEN ss IS NULL THEN sha256(b) ELSE sha256(unhex(array_to_string(list_transform(range(1, len(ss) + 2), lambda i:
+               hex(b[CASE WHEN i = 1 THEN 1 ELSE es[i - 1] END : CASE WHEN i > len(ss) THEN octet_length(b) ELSE ss[i] - 1 END])
+           ), ''))) END AS kept_sha256
     FROM bytes LEFT JOIN cut USING (doc_id)
 """)
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
