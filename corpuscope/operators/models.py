@@ -6,19 +6,20 @@ import time
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression, LinearRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel, LinearRegression
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuscope.functions.hashing import hash_uniform
 from corpuscope.operators import metrics
 from corpuscope.operators.features import assemble
+from corpuscope.operators.isotonic import pooled_blocks
 from corpuscope.operators.ordered import positions
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -32,13 +33,47 @@ def with_class_weight(df: DataFrame, label: str, weight_0: float, weight_1: floa
     return df.withColumn("weight", F.when(F.col(label) == 0, weight_0).otherwise(weight_1))
 
 
-def _positive(df: DataFrame) -> DataFrame:
-    return df.withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
+def _element(spark: SparkSession, vector: str, index: int, output: str) -> IsotonicRegressionModel:
+    """A stage that reads one element, between 0 and 1, of a vector: the curve through (0, 0) and (1, 1)."""
+    ends = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "x double, y double")
+    curve = IsotonicRegression(featuresCol="x", labelCol="y").fit(ends)
+    return curve.setFeaturesCol(vector).setFeatureIndex(index).setPredictionCol(output)
 
 
-def pipeline_scorer(model: PipelineModel) -> Scorer:
-    drop = ("rawPrediction", "probability", "prediction", "scaled")
-    return lambda df: _positive(model.transform(df)).drop(*drop)
+def _without(*columns: str) -> SQLTransformer:
+    return SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(columns)}) FROM __THIS__")
+
+
+class ModelScorer:
+    """A fitted chain of Spark's own stages that adds ``score``; calling it scores rows, saving it keeps all stages."""
+
+    def __init__(self, stages: Sequence[Transformer]):
+        self.model = PipelineModel(list(stages))
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df)
+
+    def then(self, *stages: Transformer) -> ModelScorer:
+        return ModelScorer([*self.model.stages, *stages])
+
+    def with_threshold(self, threshold: float) -> ModelScorer:
+        """Adds ``predicted_label`` and ``confidence``: the whole of what is needed to label rows elsewhere."""
+        return self.then(SQLTransformer(statement=(
+            f"SELECT *, CAST(score >= {threshold!r}D AS INT) AS predicted_label, score AS confidence FROM __THIS__")))
+
+    def save(self, path: str) -> None:
+        save_model(self.model, path)
+
+    @staticmethod
+    def load(path: str) -> ModelScorer:
+        return ModelScorer(PipelineModel.load(path).stages)
+
+
+def pipeline_scorer(model: PipelineModel) -> ModelScorer:
+    spark = SparkSession.getActiveSession()
+    return ModelScorer([
+        *model.stages, _element(spark, "probability", 1, "score"), _without("rawPrediction", "probability", "prediction", "scaled"),
+    ])
 
 
 def _scaled(stage) -> Pipeline:
@@ -87,7 +122,7 @@ def fit_perceptron(train: DataFrame, label: str = "label", width: int | None = N
         featuresCol="scaled", labelCol=label, layers=[width, 64, 32, 2], seed=seed)).fit(train)
 
 
-def fit_linear_svm(train: DataFrame, key: str, label: str = "label", folds: int = 3, seed: int = 42) -> Scorer:
+def fit_linear_svm(train: DataFrame, key: str, label: str = "label", folds: int = 3, seed: int = 42) -> ModelScorer:
     """Linear SVM with sigmoid calibration: margin model and Platt scaling per fold, scores averaged.
 
     The penalty is C = 1. Each label's rows are dealt to the folds in turn, so no fold lacks one that has enough.
@@ -95,47 +130,42 @@ def fit_linear_svm(train: DataFrame, key: str, label: str = "label", folds: int
     weight = {"weightCol": "weight"} if "weight" in train.columns else {}
     drawn = train.withColumn("_u", hash_uniform(F.col(key), F.lit("fold"), seed=seed))
     folded = positions(drawn, "_u", [key], by=[label]).withColumn("_fold", F.col("position") % folds).drop("_u", "position", "group_n")
-    members = []
+    stages: list[Transformer] = []
     for fold in range(folds):
         fit_rows, held = folded.where(F.col("_fold") != fold), folded.where(F.col("_fold") == fold)
-        margin_model = _scaled(LinearSVC(featuresCol="scaled", labelCol=label, regParam=1.0 / max(1, fit_rows.count()), **weight)).fit(fit_rows)
-        margins = VectorAssembler(inputCols=["margin"], outputCol="margin_vector")
-        held = held.select(label, "features")
-        platt = LogisticRegression(featuresCol="margin_vector", labelCol=label).fit(margins.transform(
-            _margin(margin_model.transform(held)).select(label, "margin")))
-        members.append((margin_model, float(platt.coefficients[0]), float(platt.intercept)))
-
-    def score(df: DataFrame) -> DataFrame:
-        total = F.lit(0.0)
-        out = df
-        for i, (model, slope, intercept) in enumerate(members):
-            out = _margin(model.transform(out)).drop("rawPrediction", "prediction", "scaled").withColumnRenamed("margin", f"_m{i}")
-            total = total + 1 / (1 + F.exp(-(F.col(f"_m{i}") * slope + intercept)))
-        return out.withColumn("score", total / len(members)).drop(*[f"_m{i}" for i in range(len(members))])
-
-    return score
-
-
-def _margin(df: DataFrame) -> DataFrame:
-    return df.withColumn("margin", F.get(vector_to_array("rawPrediction"), F.lit(1)))
-
-
-def fit_isotonic(scored: DataFrame, label: str = "label", score: str = "score") -> Scorer:
-    """Monotone calibration of scores, clipped at the ends of the fitted range."""
-    rows = scored.select(F.col(label).cast("double").alias("y"), F.col(score).alias("x"))
-    model = IsotonicRegression(labelCol="y", featuresCol="x").fit(rows)
-
-    def calibrate(df: DataFrame) -> DataFrame:
-        out = model.setFeaturesCol(score).setPredictionCol("_iso").transform(df)
-        return out.withColumn(score, F.col("_iso")).drop("_iso")
-
-    return calibrate
+        margins = _scaled(LinearSVC(featuresCol="scaled", labelCol=label, regParam=1.0 / max(1, fit_rows.count()), **weight)).fit(fit_rows)
+        own = [*margins.stages, VectorSlicer(inputCol="rawPrediction", outputCol="margin", indices=[1]), _without("rawPrediction", "prediction", "scaled")]
+        platt = LogisticRegression(featuresCol="margin", labelCol=label).fit(
+            PipelineModel(own).transform(held.select(label, "features")).select(label, "margin"))
+        stages += [
+            *own, platt, _element(train.sparkSession, "probability", 1, f"_p{fold}"),
+            _without("margin", "rawPrediction", "probability", "prediction"),
+        ]
+    members = [f"_p{fold}" for fold in range(folds)]
+    mean = SQLTransformer(statement=f"SELECT *, ({' + '.join(members)}) / {folds} AS score FROM __THIS__")
+    return ModelScorer([*stages, mean, _without(*members)])
+
+
+def fit_isotonic(scored: DataFrame, label: str = "label", score: str = "score") -> ModelScorer:
+    """Monotone calibration of scores, clipped at the ends of the fitted range.
+
+    Adjacent violators are pooled on the executors; what reaches the driver are the blocks of the result. Their means
+    rise strictly, and with labels 0 and 1 the means are fractions whose denominators add up to no more than the n
+    rows, so there are at most about 0.9 n^(2/3) of them.
+    """
+    blocks = pooled_blocks(scored, label, score)
+    ends = blocks.select(F.explode(F.array("low", "high")).alias("x"), F.col("fit").alias("y")).distinct()
+    curve = IsotonicRegression(featuresCol="x", labelCol="y").fit(ends)
+    return ModelScorer([
+        curve.setFeaturesCol(score).setPredictionCol("_fit"), _without(score),
+        SQLTransformer(statement=f"SELECT * EXCEPT (_fit), _fit AS {score} FROM __THIS__"),
+    ])
 
 
 def compare_models(train: DataFrame, val: DataFrame, test: DataFrame, key: str, label: str = "label",
                    names: Sequence[str] = ("logreg", "forest", "boosted", "svm", "mlp"),
                    boosting_rounds: int = 2000, forest_trees: int = 100,
-                   reference_threshold: bool = False) -> tuple[DataFrame, dict[str, Scorer]]:
+                   reference_threshold: bool = False) -> tuple[DataFrame, dict[str, ModelScorer]]:
     """Fit, tune the threshold, calibrate and test each model: (metrics table, scorers).
 
     The threshold is tuned in the score space it is used in. With
@@ -159,7 +189,7 @@ def compare_models(train: DataFrame, val: DataFrame, test: DataFrame, key: str,
             scorer, val_final = raw, val_raw
         else:
             calibrate = fit_isotonic(val_raw, label)
-            scorer = (lambda r, c: lambda df: c(r(df)))(raw, calibrate)
+            scorer = raw.then(*calibrate.model.stages)
             val_final = calibrate(val_raw)
         tuned_on = val_raw if reference_threshold else val_final
         threshold = metrics.cost_threshold(tuned_on, label, "score").head()["threshold"]
@@ -199,7 +229,8 @@ def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
-def load_scorer(path: str) -> Scorer:
+def load_scorer(path: str) -> ModelScorer:
+    """The scorer of a saved classifier that has no score of its own yet."""
     return pipeline_scorer(PipelineModel.load(path))
 
 

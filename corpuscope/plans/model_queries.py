@@ -227,6 +227,19 @@ def score_all(spark, sf_dir):
         (F.col("predicted_label") == (F.col("confidence") >= 0.5).cast("int")).alias("consistent"))
 
 
+@query("saved_scorer")
+def saved_scorer(spark, sf_dir):
+    """The best of all models saved with curve and threshold, read again, and the vectors labelled by what was read."""
+    train, rest = _halves(spark, sf_dir)
+    val, test = rest.where("vec_id % 2 = 0"), rest.where("vec_id % 2 = 1")
+    table, scorers = models.compare_models(train, val, test, "vec_id")
+    best = models.best_model(table).head()
+    path = scratch_path(spark, "scorer")
+    scorers[best["model"]].with_threshold(best["threshold"]).save(path)
+    labelled = models.ModelScorer.load(path)(labelled_vectors(spark, sf_dir))
+    return labelled.select("vec_id", F.lit(best["model"]).alias("model"), "confidence", "predicted_label")
+
+
 # --- neighbours ------------------------------------------------------------------------------
 
 _VECTORS_SQL = "e AS (SELECT vec_id, embedding, label FROM embeddings)"

@@ -34,9 +34,24 @@ def label_sample(sample: DataFrame, labels: DataFrame, scorer, keywords: Sequenc
 class RelevanceModel:
     """Chosen classifier with its threshold."""
 
-    def __init__(self, scorer, threshold: float, table: DataFrame, name: str):
+    def __init__(self, scorer: models.ModelScorer, threshold: float, table: DataFrame | None = None, name: str | None = None):
         self.scorer, self.threshold, self.table, self.name = scorer, threshold, table, name
 
+    def save(self, path: str) -> None:
+        """Scaler, classifier or margin models with their sigmoid terms, isotonic curve and threshold in one folder."""
+        self.scorer.with_threshold(self.threshold).save(path)
+
+
+def load_labeller(path: str) -> models.ModelScorer:
+    """A saved model: gives ``score``, ``confidence`` and ``predicted_label`` of rows with ``features``."""
+    return models.ModelScorer.load(path)
+
+
+def as_features(embeddings: DataFrame, *columns: str) -> DataFrame:
+    """The vectors with their interaction feature, as the models take them."""
+    crossed = embeddings.withColumn("embedding", features.interaction(F.col("embedding").cast("array<double>")))
+    return models.with_features(crossed, "embedding").select(*columns, "features")
+
 
 def train(embeddings: DataFrame, train_labels: DataFrame, heldout_labels: DataFrame, label: str = "label",
           names: Sequence[str] = ("logreg", "forest", "boosted", "svm", "mlp"), balance: bool = True,
@@ -52,9 +67,7 @@ def train(embeddings: DataFrame, train_labels: DataFrame, heldout_labels: DataFr
     halves = sampling.stratified_split(heldout, "video_id", label)
     if balance:
         fit_rows = neighbours.smote_balance(fit_rows, "video_id", "embedding", label)
-    prepared = lambda df: models.with_features(
-        df.withColumn("embedding", features.interaction(F.col("embedding").cast("array<double>"))), "embedding"
-    ).select("video_id", label, "features")
+    prepared = lambda df: as_features(df, "video_id", label)
     fit_rows = materialise(prepared(fit_rows), "train")
     val = materialise(prepared(halves.where("split = 'val'")), "val")
     test = materialise(prepared(halves.where("split = 'test'")), "test")
@@ -67,9 +80,7 @@ def train(embeddings: DataFrame, train_labels: DataFrame, heldout_labels: DataFr
 
 def score_and_write_back(model: RelevanceModel, embeddings: DataFrame, videos: DataFrame, labelled: DataFrame) -> DataFrame:
     """Videos with predicted label and confidence for every unlabelled vector."""
-    rows = models.with_features(
-        embeddings.withColumn("embedding", features.interaction(F.col("embedding").cast("array<double>"))), "embedding"
-    ).select("video_id", "features")
+    rows = as_features(embeddings, "video_id")
     scored = models.score_all(model.scorer, rows, "video_id", model.threshold, exclude=labelled)
     return mutation.update_by_key(videos, scored, "video_id", ["predicted_label", "confidence"])
 
