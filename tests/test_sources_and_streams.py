@@ -3,6 +3,8 @@
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F, types as T
 
 from corpuscope import schemas
@@ -179,3 +181,60 @@ def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP DATABASE bucketed CASCADE")
+
+
+def keyed(spark, first, last, seq=0):
+    return spark.createDataFrame([(f"k{i}", i, seq) for i in range(first, last)], SCHEMA)
+
+
+def test_a_batch_reads_only_its_slots(spark, tmp_path):
+    path = str(tmp_path / "log")
+    ingest.slots_of(spark, path, 64)
+    for n in range(3):
+        ingest.store_ignore(keyed(spark, n * 300, n * 300 + 400), path, "s", n, "k", ["seq"])
+    assert ingest.read_ignore(spark, path, SCHEMA).count() == 1000
+    batch = keyed(spark, 5, 8)
+    touched = {r[0] for r in batch.select(ingest.slot(["k"], 64)).distinct().collect()}
+    index = ingest.stored_keys(batch, path, "k")
+    assert {int(f.split("slot=")[1].split("/")[0]) for f in index.inputFiles()} == touched and len(touched) <= 3
+    plan = index.select("k")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<k:string>" in plan
+    # A small batch writes its own slots alone.
+    ingest.store_ignore(keyed(spark, 5000, 5002), path, "s", 3, "k", ["seq"])
+    written = [f for f in ingest.read_ignore(spark, path, SCHEMA).inputFiles() if "batch_id=3" in f]
+    assert 1 <= len(written) <= 2
+
+
+def test_cost_of_a_batch_does_not_follow_the_other_slots(spark, tmp_path):
+    """After many batches a batch of a hundredth of the keys lists and reads no more than the files of its slots."""
+    path, slots = str(tmp_path / "log"), 200
+    ingest.slots_of(spark, path, slots)
+    everything = keyed(spark, 0, 4000).withColumn("place", ingest.slot(["k"], slots)).persist()
+    part = lambda n: everything.where(F.col("place") % 100 == n).drop("place")
+    read_before = None
+    for n in range(0, 100, 4):
+        ingest.store_ignore(part(n), path, "s", n, "k", ["seq"])
+        if n == 0:
+            read_before = (ingest.stored_keys(part(0), path, "k").count(), len(ingest.stored_keys(part(0), path, "k").inputFiles()))
+    index = ingest.stored_keys(part(0), path, "k")
+    assert (index.count(), len(index.inputFiles())) == read_before
+    assert index.count() < 0.1 * ingest.read_ignore(spark, path, SCHEMA).count()
+
+
+def test_slots_stay_as_they_were_when_the_table_began(spark, tmp_path):
+    path = str(tmp_path / "log")
+    assert ingest.slots_of(spark, path, 8) == 8 and ingest.slots_of(spark, path, 64) == 8
+    ingest.store_ignore(keyed(spark, 0, 20), path, "s", 0, "k", ["seq"])
+    ingest.store_ignore(keyed(spark, 10, 30), path, "t", 0, "k", ["seq"])
+    assert ingest.read_ignore(spark, path, SCHEMA).count() == 30
+
+
+def test_a_failed_batch_keeps_no_blocks(spark, tmp_path):
+    folder = str(tmp_path / "landed")
+    land(folder, "one", [("a", 1, 1)])
+    held = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    stream = ingest.open_stream(spark, folder, SCHEMA)
+    with pytest.raises(Exception):
+        ingest.stream_ingest(stream, str(tmp_path / "ok"), str(tmp_path / "cp"), "k", ["absent"],
+                             failed_path=str(tmp_path / "bad"), succeeded=F.lit(True))
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == held
