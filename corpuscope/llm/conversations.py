@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -29,8 +28,21 @@ BLOCK = 256  # rows whose derivations are found at once
 BLANKS = "' \\t\\n\\u000B\\f\\r'"
 
 
-@lru_cache(maxsize=1 << 16)
+# A plain table: functions wrapped by a cache would reach executors by their module's name, which is not there.
+KNOWN: dict[tuple, dict[int, tuple[int, str]]] = {}
+
+
 def derive(rows: str, finals: tuple[int, ...], start: int | None = None) -> dict[int, tuple[int, str]]:
+    """``lightest`` with a bounded memory: conversations of the same shape are common."""
+    found = KNOWN.get((rows, finals, start))
+    if found is None:
+        if len(KNOWN) >= 1 << 15:
+            KNOWN.clear()
+        found = KNOWN[rows, finals, start] = lightest(rows, finals, start)
+    return found
+
+
+def lightest(rows: str, finals: tuple[int, ...], start: int | None = None) -> dict[int, tuple[int, str]]:
     """Cost and audit of the lightest way from each state (or from ``start`` alone) over the rows to one of ``finals``.
 
     A row is the initial of its role, ``x`` if it has none of the grammar's, as a capital if the row is truncated; a
