@@ -6,7 +6,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -24,9 +23,8 @@ PIECE_CHARS = 1 << 16
 SAFE_CUT = re.compile(r"(?<=[A-Za-z0-9.,;:!?])(?=[ \n\t])")
 
 
-@lru_cache(maxsize=2)
 def _encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
-    """One encoder per rank file and Python worker."""
+    """An encoder, built once per task: a cached function would need this package on the executors."""
     table = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, ranks.splitlines()) if piece}
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 

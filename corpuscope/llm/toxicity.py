@@ -363,6 +363,8 @@ def fit_toxicity(
     )
     drawn = materialise(_segments(texts, halves[0] or whole, halves[1] or whole), "segments")
     segments = [s for y in (0, 1) for s in drawn.where(F.col("marked") == y).orderBy("draw").limit(MAX_SEGMENTS // 2).collect()]
+    if not segments:
+        return None  # no labelled text has a word
     odds = [np.frombuffer(s.odds, np.float32).astype(float) for s in segments]
     first = np.cumsum([0, *(len(x) for x in odds)])[:-1]
     tokens = np.concatenate([np.frombuffer(s.labels, np.int8) for s in segments]).astype(int)
@@ -380,11 +382,12 @@ def fit_toxicity(
 
 def _rated(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep``, and features, score and spans of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.evidence.odds, model.field, model.weights))
+    # Arrays alone: broadcasts do not carry classes to executors without this package.
+    shared = docs.sparkSession.sparkContext.broadcast((model.evidence.odds, model.field.unary, model.field.moves, model.weights))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds, field, weights = shared.value
-        own = Model(Evidence(odds), field, weights)
+        odds, unary, moves, weights = shared.value
+        own = Model(Evidence(odds), Field(unary, moves), weights)
         for batch in batches:
             features, scores, spans = [], [], []
             for values, found in own.tag([text or "" for text in batch.column("text").to_pylist()]):
@@ -412,7 +415,8 @@ def toxicity(
 
     Spans are runs of tokens whose marginal of label 1 is 0.5 or more, in code points, end exclusive. The score is a
     logistic regression on the largest marginal, the expected number of toxic tokens and their share. NULL and empty
-    texts score as texts without evidence. Without labels of both kinds every score is 0. Ids may be NULL or repeat;
+    texts score as texts without evidence. Without labels of both kinds, or any word in the
+    labelled texts, every score is 0. Ids may be NULL or repeat;
     further columns are not read; an empty table gives no rows.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
