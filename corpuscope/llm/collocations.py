@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,8 +20,9 @@ MAX_WORDS = 4
 INSIDE_PERCENT = 80  # a phrase goes when a longer one that holds it has this share of its occurrences
 TOP = 2000
 BUCKET_BYTES = 48  # bytes of text for one bucket of the hashed counts
-BUCKET_BITS = (12, 26)  # of one of the four bitmaps; the largest has 8 MB
-TRIE_BYTES = 1 << 24  # phrase bytes in one trie; more phrases take several passes, the result is the same
+BUCKETS = (1 << 12, 1 << 26)  # of one of the four bitmaps; the largest has 8 MB
+SHIPPED = 1 << 19  # candidates that a task sorts and sends at a time
+TRIE_BYTES = 1 << 23  # phrase bytes in one trie; more phrases take several passes, the result is the same
 WIDE = 8  # children from which on a node gets 256 places of its own
 SLICE = 1 << 14  # counters that are added up in one group
 
@@ -111,25 +113,28 @@ def _unpacked(blob: bytes, count: int, dtype) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob, count * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype)
 
 
-def frequent_buckets(texts: DataFrame, bits: int, min_count: int, max_words: int) -> list[np.ndarray]:
+def _bucket(hashed: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def frequent_buckets(texts: DataFrame, buckets: int, min_count: int, max_words: int) -> list[np.ndarray]:
     """Per length, a bitmap of the buckets whose phrases together occur at least ``min_count`` times.
 
     Every partition counts hashed phrases in bytes that stop at ``min_count``: the sum over partitions reaches it
-    just when the true sum does. A bitmap has 2^bits bits, whatever the size of the texts.
+    just when the true sum does. A bitmap has ``buckets`` bits, whatever the size of the texts.
     """
     ceiling = np.int64(min_count)
-    width = min(1 << bits, 1 << 18)
+    width = min(buckets, 1 << 16)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((max_words, 1 << bits), np.uint8)
+        tables = np.zeros((max_words, buckets), np.uint8)
         for batch in batches:
             words = Words(_binary(batch.column(1)))
             for n, _, hashed in words.phrases(words.hashes(_seeds(batch.column(0).to_pylist())), max_words):
-                bucket, times = np.unique(hashed >> np.uint64(64 - bits), return_counts=True)
-                bucket = bucket.astype(np.int64)
+                bucket, times = np.unique(_bucket(hashed, buckets), return_counts=True)
                 tables[n - 1, bucket] = np.minimum(tables[n - 1, bucket] + np.minimum(times, ceiling), ceiling)
         for n in range(max_words):
-            for part in range(0, 1 << bits, width):
+            for part in range(0, buckets, width):
                 if tables[n, part : part + width].any():
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([n], pa.int32()), pa.array([part], pa.int64()),
@@ -146,30 +151,30 @@ def frequent_buckets(texts: DataFrame, bits: int, min_count: int, max_words: int
     sums = texts.mapInArrow(count, "n int, part long, counts binary").groupBy("n", "part").applyInPandas(
         add, "n int, part long, bits binary"
     )
-    bitmaps = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(max_words)]
-    for row in sums.collect():  # at most max_words bitmaps of 2^bits bits
+    bitmaps = [np.zeros(buckets // 8, np.uint8) for _ in range(max_words)]
+    for row in sums.collect():  # max_words bitmaps
         bitmaps[row.n][row.part // 8 : (row.part + width) // 8] = np.frombuffer(row.bits, np.uint8)
     return bitmaps
 
 
-def candidates(texts: DataFrame, bitmaps: list[np.ndarray], bits: int) -> DataFrame:
+def candidates(texts: DataFrame, bitmaps: list[np.ndarray], buckets: int) -> DataFrame:
     """Distinct (lang, phrase) all of whose contiguous parts, and which themselves, lie in frequent buckets.
 
     A phrase that occurs ``min_count`` times has only such parts, so none is lost.
     """
+    parts = max(1, buckets // 100_000)
     shared = texts.sparkSession.sparkContext.broadcast(bitmaps)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = shared.value
-        seen = np.zeros(0, np.uint64)
+        seen, found = np.zeros(0, np.uint64), set()
         for batch in batches:
             langs = batch.column(0).to_pylist()
             words = Words(_binary(batch.column(1)))
-            names, phrases = [], []
             good = np.zeros(len(words.starts) + 1, bool)
             fresh = []
             for n, first, hashed in words.phrases(words.hashes(_seeds(langs)), len(maps)):
-                bucket = (hashed >> np.uint64(64 - bits)).astype(np.int64)
+                bucket = _bucket(hashed, buckets)
                 fits = ((maps[n - 1][bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1).astype(bool)
                 if n > 1:
                     fits &= good[first] & good[first + 1]
@@ -179,28 +184,46 @@ def candidates(texts: DataFrame, bitmaps: list[np.ndarray], bits: int) -> DataFr
                 new = ~np.isin(known, seen, assume_unique=True)
                 fresh.append(known[new])
                 for i in first[fits][where[new]]:
-                    names.append(langs[words.text[i]])
-                    phrases.append(words.phrase(int(i), n))
+                    found.add((langs[words.text[i]], words.phrase(int(i), n)))
             seen = np.concatenate([seen, *fresh])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array(phrases, pa.binary())], names=["lang", "phrase"]
-            )
+            if len(found) >= SHIPPED:
+                yield packed(found)
+                found = set()
+        if found:
+            yield packed(found)
+
+    def packed(found: set[tuple[str, bytes]]) -> pa.RecordBatch:
+        """Phrases of one language and part of the hash space, sorted and packed: much is alike in neighbours."""
+        groups: dict[tuple[str, int], list[bytes]] = {}
+        for lang, phrase in sorted(found):
+            groups.setdefault((lang, xxhash.xxh3_64_intdigest(phrase) % parts), []).append(phrase)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in groups], pa.string()), pa.array([k[1] for k in groups], pa.int32()),
+             pa.array([zlib.compress(b"\n".join(v)) for v in groups.values()], pa.binary())],
+            names=["lang", "part", "phrases"],
+        )
 
-    return texts.mapInArrow(find, "lang string, phrase binary").distinct()
+    def union(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        every = sorted(set().union(*(zlib.decompress(blob).split(b"\n") for blob in rows.phrases)))
+        return pd.DataFrame({"lang": key[0], "phrase": every})
+
+    return texts.mapInArrow(find, "lang string, part int, phrases binary").groupBy("lang", "part").applyInPandas(
+        union, "lang string, phrase binary"
+    )
 
 
 class Trie:
     """Double-array trie over bytes: the child of state s by byte c is base[s] + c, if check of that is s."""
 
-    def __init__(self, langs: list[str], owners: np.ndarray, phrases: list[bytes]):
-        """``phrases`` are sorted within each language, ``owners`` numbers their languages in ascending order."""
-        joined = np.frombuffer(b"".join(phrases), np.uint8)
-        size = np.array([len(p) for p in phrases], np.int64)
-        begin = np.cumsum(size) - size
-        node = owners.astype(np.int64)  # nodes 0.. are the roots of the languages
-        parents, codes, ends = [], [], np.full(len(phrases), -1, np.int64)
+    def __init__(self, langs: list[str], owners: np.ndarray, joined: bytes, bounds: np.ndarray):
+        """Phrase i is ``joined[bounds[i] : bounds[i + 1]]``; ``owners`` numbers the languages of the phrases. Phrases
+        are sorted by language, then by bytes."""
+        joined = np.frombuffer(joined, np.uint8)
+        size, begin = np.diff(bounds), bounds[:-1]
+        node = owners.astype(np.int32)  # nodes 0.. are the roots of the languages
+        parents, codes, ends = [], [], np.full(len(size), -1, np.int32)
         total = len(langs)
-        live, depth = np.arange(len(phrases)), 0
+        live, depth = np.arange(len(size), dtype=np.int32), 0
         while len(live):
             done = size[live] == depth
             ends[live[done]] = node[live[done]]
@@ -211,14 +234,14 @@ class Trie:
             new = np.r_[True, (parent[1:] != parent[:-1]) | (code[1:] != code[:-1])]
             node[live] = total + np.cumsum(new) - 1
             parents.append(parent[new])
-            codes.append(code[new].astype(np.int64))
+            codes.append(code[new])
             total += int(new.sum())
             depth += 1
         self._place(
-            len(langs), total, np.concatenate(parents or [np.zeros(0, np.int64)]), np.concatenate(codes or [np.zeros(0, np.int64)])
+            len(langs), total, np.concatenate([np.zeros(0, np.int32), *parents]), np.concatenate([np.zeros(0, np.uint8), *codes])
         )
         self.leaf = np.full(len(self.check), -1, np.int32)
-        self.leaf[self.slot[ends]] = np.arange(len(phrases), dtype=np.int32)
+        self.leaf[self.slot[ends]] = np.arange(len(size), dtype=np.int32)
         self.roots = dict(zip(langs, range(len(langs))))
         del self.slot
 
@@ -226,16 +249,16 @@ class Trie:
         """Finds a base for each inner node so that no two children share a slot: nodes of many children come first,
         each in a stretch of its own if they are many; the others of one number of children try places at random, all
         at once, and keep those without a clash."""
-        order = np.argsort(parents, kind="stable")
+        order = np.argsort(parents, kind="stable").astype(np.int32)
         inner, first, degree = np.unique(parents[order], return_index=True, return_counts=True)
         wide = degree > WIDE
-        base_of = np.zeros(total, np.int64)
+        base_of = np.zeros(total, np.int32)
         base_of[inner[wide]] = roots + 256 * np.arange(int(wide.sum()))
         start = roots + 256 * int(wide.sum())
-        span = max(1024, int(2.5 * degree[~wide].sum()))
+        span = max(1024, 2 * int(degree[~wide].sum()))
         taken = np.zeros(start + span + 256, bool)
         rng = np.random.default_rng(7)
-        claim = np.full(start + span + 256, -1, np.int64)
+        claim = np.full(start + span + 256, -1, np.int32)
         for children in range(WIDE, 0, -1):  # while there is room, nodes of many children find a place soon
             left = np.flatnonzero(degree == children)
             while len(left):
@@ -248,7 +271,7 @@ class Trie:
                 taken[slots[np.repeat(good, children)]] = True
                 base_of[inner[left[good]]] = tried[good]
                 left = left[~good]
-        slot = np.empty(total, np.int64)
+        slot = np.empty(total, np.int32)
         slot[:roots] = np.arange(roots)
         slot[roots:] = base_of[parents] + codes  # nodes are numbered in the order of ``parents``
         self.slot = slot
@@ -277,15 +300,17 @@ class Trie:
 
 def _count_block(texts: DataFrame, block: DataFrame, min_count: int) -> DataFrame:
     """lang, phrase, f of the phrases of one block that occur at least ``min_count`` times."""
-    rows = sorted((r.lang, bytes(r.phrase)) for r in block.collect())  # TRIE_BYTES, save for one long phrase
-    langs = sorted({lang for lang, _ in rows})
-    number = {lang: i for i, lang in enumerate(langs)}
-    owners = np.array([number[lang] for lang, _ in rows], np.int64)
-    phrases = [phrase for _, phrase in rows]
-    trie = Trie(langs, owners, phrases)
+    table = block.orderBy("lang", "phrase").toArrow()  # TRIE_BYTES, save for one long phrase
+    names = table["lang"].combine_chunks().dictionary_encode()
+    langs, owners = names.dictionary.to_pylist(), names.indices.to_numpy()
+    phrases = table["phrase"].to_pylist()
+    joined, bounds = b"".join(phrases), np.cumsum([0, *map(len, phrases)])
+    size = len(phrases)
+    del table, names, phrases
+    trie = Trie(langs, owners, joined, bounds)
     context = texts.sparkSession.sparkContext
-    shared = context.broadcast((trie.base, trie.check, trie.leaf, trie.roots, len(phrases)))
-    listed = context.broadcast((langs, owners, phrases))
+    shared = context.broadcast((trie.base, trie.check, trie.leaf, trie.roots, size))
+    listed = context.broadcast((langs, owners, joined, bounds))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *arrays, roots, size = shared.value
@@ -302,16 +327,20 @@ def _count_block(texts: DataFrame, block: DataFrame, min_count: int) -> DataFram
 
     def add(key: tuple, shards: pd.DataFrame) -> pd.DataFrame:
         total = sum(_unpacked(blob, SLICE, np.int64) for blob in shards.counts)
-        names, numbers, texts_of = listed.value
-        often = [int(key[0]) + int(i) for i in np.flatnonzero(total >= min_count)]
+        names, numbers, every, cuts = listed.value
+        often = np.flatnonzero(total >= min_count)
+        at = (int(key[0]) + often).tolist()
         return pd.DataFrame({
-            "lang": [names[numbers[i]] for i in often], "phrase": [texts_of[i] for i in often],
-            "f": [int(total[i - int(key[0])]) for i in often],
+            "lang": [names[numbers[i]] for i in at], "phrase": [every[cuts[i] : cuts[i + 1]] for i in at], "f": total[often],
         })
 
-    return texts.mapInArrow(count, "part long, counts binary").groupBy("part").applyInPandas(
+    counted = texts.mapInArrow(count, "part long, counts binary").groupBy("part").applyInPandas(
         add, "lang string, phrase binary, f long"
     ).select("lang", F.col("phrase").cast("string").alias("phrase"), "f")
+    counted = materialise(counted, "frequent")
+    shared.destroy()
+    listed.destroy()
+    return counted
 
 
 def frequent_phrases(
@@ -327,13 +356,15 @@ def frequent_phrases(
     small_batches(docs.sparkSession, 4)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), whole_text(text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    bits = min(max(power_of_two(size / BUCKET_BYTES).bit_length() - 1, BUCKET_BITS[0]), BUCKET_BITS[1])
-    bitmaps = frequent_buckets(texts, bits, min_count, max_words)
-    found = materialise(candidates(texts, bitmaps, bits), "phrases")
+    # A multiple of the stretch that is added up in one group.
+    buckets = min(max(-(-size // BUCKET_BYTES), BUCKETS[0]), BUCKETS[1])
+    buckets = buckets if buckets < 1 << 16 and power_of_two(buckets) == buckets else -(-buckets // (1 << 16)) << 16
+    bitmaps = frequent_buckets(texts, buckets, min_count, max_words)
+    found = materialise(candidates(texts, bitmaps, buckets), "phrases")
     blocks = -(-(found.agg(F.sum(F.octet_length("phrase")).alias("n")).first().n or 0) // trie_bytes) or 1
     block = F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks))
     counted = [_count_block(texts, found.where(block == b), min_count) for b in range(blocks)]
-    return materialise(reduce(DataFrame.unionByName, counted), "frequent")
+    return reduce(DataFrame.unionByName, counted)
 
 
 def collocations(

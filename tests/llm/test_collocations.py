@@ -76,7 +76,7 @@ def test_empty_table(no_docs):
 
 def test_crowded_buckets_only_add_candidates(spark, monkeypatch):
     rows = invented(2, 200)
-    monkeypatch.setattr(operator, "BUCKET_BITS", (4, 4))
+    monkeypatch.setattr(operator, "BUCKETS", (16, 16))
     assert rows_of(operator.collocations(frame(spark, rows))) == brute(rows)
 
 
@@ -89,7 +89,7 @@ def test_counts_stop_at_the_threshold_in_each_partition(spark):
 def test_trie_holds_wide_nodes_and_prefixes():
     rng = np.random.default_rng(3)
     phrases = sorted({bytes(rng.integers(33, 256, rng.integers(1, 5), dtype=np.uint8)) for _ in range(5000)})
-    trie = operator.Trie(["en"], np.zeros(len(phrases), np.int64), phrases)
+    trie = operator.Trie(["en"], np.zeros(len(phrases), np.int64), b"".join(phrases), np.cumsum([0, *map(len, phrases)]))
     counts = np.zeros(len(phrases), np.int64)
     drawn = [phrases[i] for i in rng.integers(0, len(phrases), 3000)]
     words = operator.Words([b"\n".join(drawn)])
