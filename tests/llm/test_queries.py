@@ -18,7 +18,7 @@ def test_smallest_tables_match_sql(spark, name):
 
 def test_all_numbered_and_the_pipeline_are_registered():
     numbers = {name.split("_")[0] for name in LLM_QUERIES} - {"pipeline"}
-    assert numbers == {f"op{n}" for n in range(1, 11)} and "pipeline" in LLM_QUERIES
+    assert numbers == {f"op{n}" for n in range(1, 14)} and "pipeline" in LLM_QUERIES
 
 
 def test_entry_points_import_without_this_package(tmp_path):
