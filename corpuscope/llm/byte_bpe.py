@@ -21,6 +21,9 @@ PIECE_CHARS = 1 << 16
 # White space right behind a letter, digit or mark of ASCII, and before none or a letter, always begins a match of its
 # own: no alternative of the pattern has white space but at its start.
 SAFE_CUT = re.compile(r"(?<=[A-Za-z0-9.,;:!?])(?=[ \n\t])")
+# White space as the pattern's \s has it.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE_CHARS = 1 << 12
 
 
 def _encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
@@ -44,9 +47,24 @@ def safe_pieces(text: str, piece_chars: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def encode_text(encoding: tiktoken.Encoding, text: str, piece_chars: int = PIECE_CHARS) -> list[int]:
+def encode_text(
+    encoding: tiktoken.Encoding, text: str, piece_chars: int = PIECE_CHARS, white_chars: int = WHITE_CHARS
+) -> list[int]:
+    """Token ids of a text.
+
+    Runs of ``white_chars`` (at least 2) or more white space characters, on which the library's search would overflow
+    its stack, are taken by the pattern's own rule: one match is the run, without its last character where a further
+    one follows.
+    """
     ids: list[int] = []
-    for piece in safe_pieces(text, piece_chars):
+    start = 0
+    for run in re.finditer(f"[{WHITE}]{{{white_chars},}}", text):
+        end = run.end() - (run.end() < len(text))
+        for piece in safe_pieces(text[start : run.start()], piece_chars):
+            ids += encoding.encode_ordinary(piece)
+        ids += encoding._encode_single_piece(text[run.start() : end])
+        start = end
+    for piece in safe_pieces(text[start:], piece_chars):
         ids += encoding.encode_ordinary(piece)
     return ids
 

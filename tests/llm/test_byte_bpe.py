@@ -22,6 +22,22 @@ def test_cuts_do_not_change_the_ids(text, size):
     assert operator.encode_text(PLAIN, text, size) == PLAIN.encode_ordinary(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab1'\n\t   .\x1c\x1f\u3000\xa0\u200b\x85"), max_size=60), st.integers(2, 5))
+def test_runs_of_white_space_do_not_change_the_ids(text, white):
+    assert operator.encode_text(PLAIN, text, 7, white) == PLAIN.encode_ordinary(text)
+
+
+def test_very_long_white_space(spark):
+    texts = [" " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "x " + " \t" * 500_000, "\u3000" * 300_000 + "y z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in operator.byte_bpe(docs).collect():
+        assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].encode()).hexdigest() and row.n_tokens == len(row.ids)
+    for start, run, end in (("", " ", ""), ("a", "\n", "b"), ("x", " \t", " z"), ("", "\u3000", "y")):
+        text = start + run * 20_000 + end
+        assert operator.encode_text(PLAIN, text) == PLAIN.encode_ordinary(text)
+
+
 def test_edges_match_the_library_and_round_trip(edge_docs, edge_rows, no_docs):
     found = sorted((tuple(r) for r in operator.byte_bpe(edge_docs).collect()), key=repr)
     want = []
