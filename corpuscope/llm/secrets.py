@@ -39,20 +39,81 @@ ALLOWED = (
 SPAN = "struct<start: int, kind: int, end: int, hit: string>"
 
 
-def _spans(kind: int) -> str:
-    """Matches of one kind as structs, from the pieces between matches (gap_k) and the matches (hit_k).
+BLOCK = 128  # elements that one accumulator gathers: arrays are copied when they grow
 
-    The lengths of both, summed from the left, are the offsets: one step per match.
+
+def _bound(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for ``value``: an expression that a lambda mentions is computed for every element."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _blocks(array: str) -> str:
+    return _bound(
+        array, "whole", f"transform(sequence(0, greatest(size(whole) - 1, 0) div {BLOCK}), j -> slice(whole, j * {BLOCK} + 1, {BLOCK}))"
+    )
+
+
+def _carried(totals: str, step: str) -> str:
+    """What each block starts with: the totals of the blocks before it."""
+    return f"aggregate({totals}, array(0), (s, t) -> concat(s, array({step.format('element_at(s, -1)', 't')})))"
+
+
+def _gathered(blocks: str, starts: str, state: str, element: str) -> str:
+    """The arrays that ``element`` gives for each x, in order; ``acc.at`` starts anew in each block and becomes ``state``."""
+    return _bound(starts, "carried", (
+        f"flatten(transform({blocks}, (b, j) -> aggregate(b, named_struct('at', carried[j], 'found', cast(array() as array<{SPAN}>)),"
+        f" (acc, x) -> named_struct('at', {state}, 'found', concat(acc.found, {element}))).found))"
+    ))
+
+
+def _located(pieces: DataFrame, kinds: int) -> DataFrame:
+    """Matches of each kind as structs, from the pieces between matches (gap_k) and the matches (hit_k).
+
+    The lengths of both, summed from the left, are the offsets: totals of blocks first, then inside the blocks, so the
+    work is in proportion to the number of matches.
+    """
+    every = range(kinds)
+    rows = pieces.selectExpr("doc_id", *(
+        _bound(f"gap_{k}", "gaps", (
+            f"transform(hit_{k}, (h, i) -> named_struct('skip', char_length(gaps[i]), 'n', char_length(h), 'hit', h))"
+        )) + f" AS rows_{k}" for k in every
+    ))
+    cut = rows.selectExpr("doc_id", *(f"{_blocks(f'rows_{k}')} AS blocks_{k}" for k in every))
+    summed = cut.selectExpr("*", *(
+        f"transform(blocks_{k}, b -> aggregate(b, 0, (t, x) -> t + x.skip + x.n)) AS totals_{k}" for k in every
+    ))
+    started = summed.selectExpr("*", *(f"{_carried(f'totals_{k}', '{0} + {1}')} AS starts_{k}" for k in every))
+    return started.selectExpr("doc_id", *(
+        _gathered(
+            f"blocks_{k}", f"starts_{k}", "acc.at + x.skip + x.n",
+            f"array(named_struct('start', acc.at + x.skip, 'kind', {k}, 'end', acc.at + x.skip + x.n, 'hit', x.hit))",
+        ) + f" AS spans_{k}" for k in every
+    ))
+
+
+def _free(based: DataFrame) -> DataFrame:
+    """doc_id, base, and as ``free`` the spans_3 that overlap none of base.
+
+    In the order of both, a candidate is free when no base span before it reaches it and the very next element is no
+    base span that begins inside it: candidates do not overlap one another.
     """
-    start = f"acc.at + char_length(gap_{kind}[i])"
-    end = f"{start} + char_length(h)"
-    return (
-        f"aggregate(transform(hit_{kind}, (h, i) -> struct(h, i)),"
-        f" named_struct('at', 0, 'found', cast(array() as array<{SPAN}>)),"
-        f" (acc, x) -> named_struct('at', {end.replace('[i]', '[x.i]').replace('(h)', '(x.h)')}, 'found', concat(acc.found,"
-        f" array(named_struct('start', {start.replace('[i]', '[x.i]')}, 'kind', {kind},"
-        f" 'end', {end.replace('[i]', '[x.i]').replace('(h)', '(x.h)')}, 'hit', x.h))))).found"
+    lined = based.selectExpr(
+        "doc_id", "base", "spans_3", "size(base) > 0 AND size(spans_3) > 0 AS mixed",
+        f"CASE WHEN size(base) > 0 AND size(spans_3) > 0 THEN array_sort(concat(base, spans_3)) ELSE cast(array() as array<{SPAN}>) END AS line",
+    )
+    paired = lined.selectExpr(
+        "doc_id", "base", "spans_3", "mixed",
+        _bound("line", "all", (
+            "transform(all, (m, i) -> named_struct('m', m, 'next', if(get(all, i + 1).kind < 3, get(all, i + 1).start, NULL)))"
+        )) + " AS pairs",
     )
+    cut = paired.selectExpr("doc_id", "base", "spans_3", "mixed", f"{_blocks('pairs')} AS blocks")
+    reach = "if({0}.m.kind < 3, greatest({1}, {0}.m.end), {1})"
+    summed = cut.selectExpr("*", f"transform(blocks, b -> aggregate(b, 0, (t, x) -> {reach.format('x', 't')})) AS totals")
+    started = summed.selectExpr("*", f"{_carried('totals', 'greatest({0}, {1})')} AS starts")
+    clear = "x.m.kind = 3 AND acc.at <= x.m.start AND coalesce(x.next >= x.m.end, true)"
+    merged = _gathered("blocks", "starts", reach.format("x", "acc.at"), f"if({clear}, array(x.m), cast(array() as array<{SPAN}>))")
+    return started.selectExpr("doc_id", "base", f"CASE WHEN mixed THEN {merged} ELSE spans_3 END AS free")
 
 
 def _weight(count: Column) -> Column:
@@ -124,14 +185,13 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             ("gap", F.split(body, pattern, -1)), ("hit", F.regexp_extract_all(body, F.lit(pattern), F.lit(0)))
         )
     ))
-    spans = pieces.select("doc_id", *(F.expr(_spans(kind)).alias(f"spans_{kind}") for kind in range(4)))
+    spans = _located(pieces, len(KINDS))
     value = lambda m: F.regexp_replace(m["hit"], f"^{ASSIGN_HEAD}", "")
     based = spans.select(
         "doc_id", "spans_3",
         F.concat(F.filter("spans_0", lambda m: F.length(value(m)) >= 8), "spans_1", "spans_2").alias("base"),
     )
-    free = F.expr("filter(spans_3, e -> not exists(base, b -> b.start < e.end and e.start < b.end))")
-    return based.select("doc_id", "base", free.alias("free")).select(
+    return _free(based).select(
         "doc_id", F.array_sort(F.concat("base", F.filter("free", lambda m: _looks_secret(m["hit"])))).alias("secrets")
     )
 

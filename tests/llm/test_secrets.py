@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 
 from corpuscope.llm import secrets as operator
 
@@ -53,6 +54,26 @@ def test_matches_brute_force(spark):
     assert sum(k == 3 for spans in found.values() for _, k, _ in spans) > 100
 
 
+def test_many_spans_take_time_in_proportion(spark):
+    """2 MB of digests, and of candidates between assignments, which was quadratic; offsets across many blocks."""
+    rng = random.Random(4)
+    some = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    hashes = "\n".join(some(32, "0123456789abcdef") for _ in range(60_000))
+    mixed = " é ".join(f"token={some(9, 'abcxyz')} {some(24, 'ABCDefgh0189+/Zz')}" for _ in range(20_000))
+    rows = [(0, hashes), (1, mixed), (2, 'secret: "' + ".".join(some(25, "ABCDefgh0189+/Zz") for _ in range(300)) + '" ' + mixed[:20_000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    started = time.monotonic()
+    found = {r.doc_id: [(s.start, s.kind, s.end) for s in r.secrets] for r in operator.find_secrets(docs).collect()}
+    assert time.monotonic() - started < 60
+    assert len(found[0]) == 60_000 and found[0] == [(33 * i, 2, 33 * i + 32) for i in range(60_000)]
+    assert found[2] == brute(rows[2][1])
+    small = " é ".join(mixed.split(" é ")[:700])
+    again = operator.find_secrets(spark.createDataFrame([(1, small)], "doc_id long, text string")).head().secrets
+    want = brute(small)
+    assert [(s.start, s.kind, s.end) for s in again] == want
+    assert found[1][: len(want)] == want and sum(k == 0 for _, k, _ in found[1]) == 20_000
+
+
 def test_no_python_in_the_plan(spark, edge_docs):
     plan = operator.find_secrets(edge_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
