@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpuscope.llm.common import lower_ascii, whole_text
+from corpuscope.llm.common import free_names, lower_ascii, whole_text
 from corpuscope.session import materialise
 
 WINDOW_WORDS = 13
@@ -133,10 +133,11 @@ def contamination(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without contaminated documents; all columns stay. Rows equal in id and text share their fate."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    bad_id, bad_hash = free_names(docs, "_bad_id", "_bad_hash")
     bad = contamination(docs, benchmark, **options).where("contaminated").select(
-        F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")
+        F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)
     )
-    same = F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(whole_text(text_col)) == F.col("_bad_hash"))
+    same = F.col(id_col).eqNullSafe(F.col(bad_id)) & (F.xxhash64(whole_text(text_col)) == F.col(bad_hash))
     return docs.join(bad, same, "left_anti")
 
 
@@ -146,16 +147,17 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     Texts without a hit stay as they are, NULL texts stay NULL.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    of, hit_id, hit_hash, gaps, words = free_names(docs, "_spans", "_hit_id", "_hit_hash", "_gaps", "_words")
     spans = hits(docs, benchmark, **options).where("start is not null").groupBy("doc_id", "text_hash").agg(
-        F.collect_set(F.struct("start", "gram_words")).alias("_spans")
-    ).select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash"), "_spans")
-    same = F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(whole_text(text_col)) == F.col("_hit_hash"))
+        F.collect_set(F.struct("start", "gram_words")).alias(of)
+    ).select(F.col("doc_id").alias(hit_id), F.col("text_hash").alias(hit_hash), of)
+    same = F.col(id_col).eqNullSafe(F.col(hit_id)) & (F.xxhash64(whole_text(text_col)) == F.col(hit_hash))
     joined = docs.join(spans, same, "left").withColumns({
-        "_gaps": F.split(F.col(text_col), IS_WORD, -1), "_words": F.regexp_extract_all(text_col, F.lit(IS_WORD), F.lit(0)),
+        gaps: F.split(F.col(text_col), IS_WORD, -1), words: F.regexp_extract_all(text_col, F.lit(IS_WORD), F.lit(0)),
     })
     kept = F.expr(
-        "concat(array_join(transform(_words, (w, i) ->"
-        " if(exists(_spans, s -> i >= s.start and i < s.start + s.gram_words), '', concat(_gaps[i], w))), ''),"
-        " element_at(_gaps, -1))"
+        f"concat(array_join(transform({words}, (w, i) ->"
+        f" if(exists({of}, s -> i >= s.start and i < s.start + s.gram_words), '', concat({gaps}[i], w))), ''),"
+        f" element_at({gaps}, -1))"
     )
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)
+    return joined.withColumn(text_col, F.when(F.col(of).isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)

@@ -9,7 +9,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscope.llm.common import one_space, power_of_two, small_batches, whole_text
+from corpuscope.llm.common import free_names, one_space, power_of_two, small_batches, whole_text
+from corpuscope.session import materialise
 
 RUN_BITS = 10  # runs (quotients) in a block of the filter
 FINGERPRINTS_PER_BLOCK = 20_000  # blocks follow the number of rows, so a merging task stays this small
@@ -132,11 +133,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` does not keep; all columns stay as they are."""
-    groups = duplicate_groups(docs, id_col, text_col).select(
-        F.col("text_sha256").alias("_group_sha"), F.col("keep_id").alias("_group_keep")
-    )
+    """One row of each group of equal texts, one with the smallest id; all columns stay as they are.
+
+    Where several rows of a group have that id (or none has an id), the row whose JSON has the smallest hash stays.
+    """
+    sha, keep, several = free_names(docs, "_group_sha", "_group_keep", "_several")
+    groups = materialise(duplicate_groups(docs, id_col, text_col).select(
+        F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep)
+    ), "groups")
     text_sha = F.sha2(one_space(whole_text(text_col)), 256)
-    return docs.join(
-        groups, (text_sha == F.col("_group_sha")) & ~F.col(id_col).eqNullSafe(F.col("_group_keep")), "left_anti"
-    )
+    own = F.col(f"`{id_col}`").eqNullSafe(F.col(keep))
+    # Digests and ids alone are counted; nearly always, no id repeats within a group.
+    digests = docs.select(F.col(f"`{id_col}`"), text_sha.alias(several))
+    keepers = digests.join(groups, F.col(several) == F.col(sha)).where(own).groupBy(sha).agg(F.count(F.lit(1)).alias(several))
+    repeats = materialise(keepers.where(F.col(several) > 1), "repeats")
+    rest = docs.join(groups, (text_sha == F.col(sha)) & ~own, "left_anti")
+    if repeats.isEmpty():
+        return rest
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    ones = docs.join(groups.join(repeats, sha), (text_sha == F.col(sha)) & own).select(F.col(sha), row.alias("row"))
+    ones = ones.groupBy(sha).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    singles = rest.join(repeats, text_sha == F.col(sha), "left_anti")
+    return singles.unionByName(ones.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)))

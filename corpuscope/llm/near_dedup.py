@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscope.llm.common import small_batches, whole_text
+from corpuscope.llm.common import free_names, small_batches, whole_text
 from corpuscope.llm.components import connected_components
 from corpuscope.session import materialise
 
@@ -393,7 +393,8 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near duplicates; all columns stay. Rows without id stay."""
+    (gone_id,) = free_names(docs, "_gone_id")
     gone = near_duplicates(docs, words, percent, id_col, text_col).where("not kept and doc_id is not null").select(
-        F.col("doc_id").alias("_gone_id")
+        F.col("doc_id").alias(gone_id)
     ).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone_id"), "left_anti")
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(gone_id), "left_anti")

@@ -32,7 +32,8 @@ def test_edges_match_brute_force(edge_docs, edge_rows):
 def test_dropping_keeps_all_columns_and_one_row_a_group(edge_docs, edge_rows):
     kept = operator.drop_duplicates(edge_docs)
     assert kept.columns == edge_docs.columns
-    want = sorted(repr(b[0]) for b in brute([r[:2] for r in edge_rows]) if b[3])
+    # Rows that repeat id and text are one: each text of a group stays once.
+    want = sorted(repr(b[0]) for b in {(b[0], b[4]) for b in brute([r[:2] for r in edge_rows]) if b[3]})
     assert sorted(repr(r.doc_id) for r in kept.collect()) == want
 
 
@@ -62,3 +63,15 @@ def test_equal_fingerprints_of_other_texts_part_again(spark, monkeypatch):
     monkeypatch.setattr(operator.F, "xxhash64", lambda *_: operator.F.lit(7).cast("long"))
     found = sorted((r.doc_id, r.keep_id, r.group_size) for r in operator.exact_dedup(every).collect())
     assert found == [(1, 1, 2), (2, 2, 1), (3, 1, 2)]
+
+
+def test_stage_keeps_one_row_of_equal_rows(spark):
+    rows = [(1, "a b", "x"), (1, "a  b", "y"), (1, "a b", "x"), (2, "a b", "z"), (None, "n", "p"), (None, "n", "q"), (3, "c", "x"), (3, "d", "x"), (4, None, "k"), (4, "", "l"), (5, "e", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _group_sha string")
+    found = operator.drop_duplicates(docs)
+    assert found.columns == docs.columns
+    kept = sorted((tuple(r) for r in found.collect()), key=repr)
+    assert set(kept) <= set(rows)
+    assert sorted((r[0] is None, r[0] or 0, normal(r[1])) for r in kept) == [
+        (False, 1, "a b"), (False, 3, "c"), (False, 3, "d"), (False, 4, ""), (False, 5, "e"), (True, 0, "n")]
+    assert sorted((tuple(r) for r in operator.drop_duplicates(docs.repartition(7)).collect()), key=repr) == kept
