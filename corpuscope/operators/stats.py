@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuscope.fixed_values import MIN_GROUP_SIZE
+from corpuscope.functions.distributions import kolmogorov_upper, normal_cdf
 from corpuscope.functions.tails import chi2_upper_column, correlation_p_column
 from corpuscope.operators.filters import group_sizes
 from corpuscope.operators.joins import weighted_lookup_join
@@ -123,6 +124,32 @@ def normality(df: DataFrame, column: str) -> DataFrame:
         "p_value", chi2_upper_column()(F.col("jarque_bera"), F.lit(2.0)))
 
 
+def ks_normal(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Kolmogorov-Smirnov test of each column against the normal distribution of its own mean and deviation.
+
+    One row per column with values: (feature, n, d, p_value). ``d`` is the exact supremum of |F_n - Phi|, taken on both
+    sides of every distinct value from running totals inside value buckets; so no task sorts a column. ``p_value`` is
+    that of the limit distribution. As mean and deviation come from the same rows it is too large, never too small.
+    NULL and NaN are left out. Columns without spread, or with infinite values, have a NULL ``d`` and ``p_value``.
+    """
+    cells = melt(df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns]), columns)
+    # Distinct values with counts carry all that is needed: the input is read once.
+    counted = materialise(cells.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("k")), "counted")
+    totals = ordered_totals(counted, "value", by=["feature"], measures={"n": F.col("k")})
+    weight, x = F.col("k").cast("double"), F.col("value")
+    means = counted.groupBy("feature").agg((F.sum(weight * x) / F.sum(weight)).alias("mean"), F.sum("k").alias("rows"))
+    off = F.col("value") - F.col("mean")
+    spread = weighted_lookup_join(counted, means, "feature", "rows").groupBy("feature").agg(
+        F.max("mean").alias("mean"), F.max("rows").alias("rows"), F.sqrt(F.try_divide(F.sum(weight * off * off), F.max("rows") - 1.0)).alias("deviation"),
+    )
+    placed = weighted_lookup_join(totals, spread, "feature", "rows")
+    phi = normal_cdf(F.nanvl(F.try_divide(off, F.col("deviation")), F.lit(None)))
+    n = F.col("n_total").cast("double")
+    gap = F.greatest((F.col("n_below") + F.col("n_ties")) / n - phi, phi - F.col("n_below") / n)
+    found = placed.groupBy("feature").agg(F.max("n_total").alias("n"), F.max(F.when(phi.isNotNull(), gap)).alias("d"))
+    return found.withColumn("p_value", kolmogorov_upper(F.col("d") * F.sqrt(F.col("n").cast("double"))))
+
+
 def qq_points(df: DataFrame, column: str, grid: int = 99) -> DataFrame:
     """Exact sample quantiles at i/(grid+1) for a Q-Q plot."""
     probs = {f"p{i}": i / (grid + 1) for i in range(1, grid + 1)}

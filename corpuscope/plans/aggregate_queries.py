@@ -294,11 +294,46 @@ def box_stats(spark, sf_dir):
 WITH d AS (SELECT l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem) AS x FROM lineitem),
 p AS (SELECT count(*) AS n, avg(x * x) AS m2, avg(x * x * x) AS m3, avg(x * x * x * x) AS m4 FROM d)
 SELECT n, round(m3 / pow(m2, 1.5), 6) AS skewness, round(m4 / (m2 * m2) - 3, 6) AS kurtosis,
-       round(n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4), 3) AS jarque_bera FROM p
+       round(n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4), 3) AS jarque_bera,
+       round(exp(-n / 12.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4)), 6) AS p_value FROM p
 """)
 def normality_profile(spark, sf_dir):
-    found = stats.normality(load(spark, sf_dir, "lineitem"), "l_extendedprice").drop("p_value")
-    return rounded(rounded(found, "skewness", "kurtosis"), "jarque_bera", digits=3)
+    found = stats.normality(load(spark, sf_dir, "lineitem"), "l_extendedprice")
+    return rounded(rounded(found, "skewness", "kurtosis", "p_value"), "jarque_bera", digits=3)
+
+
+def _normal_series(terms: int) -> str:
+    series = "1.0"
+    for k in range(2 * terms + 1, 1, -2):
+        series = f"(1.0 + {series} * c * c / {k}.0)"
+    return f"0.5 + exp(-c * c / 2) / sqrt(2 * pi()) * c * {series}"
+
+
+_KS_COLUMNS = ("e0", "e1", "e2")
+
+
+@query("ks_test", f"""
+WITH v AS (
+  SELECT 'l_extendedprice' AS feature, CAST(l_extendedprice AS DOUBLE) AS x FROM lineitem
+  UNION ALL SELECT 'l_quantity', CAST(l_quantity AS DOUBLE) FROM lineitem
+  {" ".join(f"UNION ALL SELECT '{c}', CAST(embedding[{i + 1}] AS DOUBLE) FROM embeddings" for i, c in enumerate(_KS_COLUMNS))}),
+m AS (SELECT feature, avg(x) AS mu, stddev_samp(x) AS sd, count(x) AS n FROM v GROUP BY feature),
+d AS (SELECT feature, x, count(*) AS k FROM v WHERE x IS NOT NULL GROUP BY feature, x),
+r AS (SELECT feature, x, k, sum(k) OVER (PARTITION BY feature ORDER BY x) AS upto FROM d),
+z AS (SELECT feature, n, k, upto, greatest(least((x - mu) / sd, 6.0), -6.0) AS c FROM r JOIN m USING (feature)),
+f AS (SELECT feature, n, k, upto, {_normal_series(61)} AS phi FROM z),
+s AS (SELECT feature, n, max(greatest(upto / n - phi, phi - (upto - k) / n)) AS d FROM f GROUP BY feature, n),
+t AS (SELECT feature, n, d, d * sqrt(n) AS x FROM s)
+SELECT feature, n, round(d, 6) AS d, round(CASE
+    WHEN x < 1 THEN 1 - sqrt(2 * pi()) / x * ({" + ".join(f"exp(-pow({2 * j - 1} * pi(), 2) / (8 * x * x))" for j in range(1, 5))})
+    ELSE 2 * ({" ".join(f"{'+' if j % 2 else '-'} exp(-2.0 * {j * j} * x * x)" for j in range(1, 7))}) END, 6) AS p_value
+FROM t
+""")
+def ks_test(spark, sf_dir):
+    vectors = load(spark, sf_dir, "embeddings").select(*[F.col("embedding")[i].alias(c) for i, c in enumerate(_KS_COLUMNS)])
+    found = stats.ks_normal(load(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity"]).unionByName(
+        stats.ks_normal(vectors, _KS_COLUMNS))
+    return rounded(found, "d", "p_value")
 
 
 @query("qq_points", """

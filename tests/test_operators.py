@@ -1,5 +1,6 @@
 """Keyed mutation, skewed joins, exact order statistics, samples and splits."""
 
+import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -350,3 +351,28 @@ def test_no_cartesian_products(spark, sf_dir):
     for name in ["kde", "cost_threshold", "histogram", "roc_curve", "class_distribution", "sampling_weights"]:
         plan = entry_points.queries()[name](spark, sf_dir)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_kolmogorov_smirnov_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    normal, flat = rng.normal(3, 2, 2000), np.round(rng.uniform(0, 9, 2000), 1)
+
+    def brute(x):
+        x = np.sort(x)
+        phi = np.array([0.5 * math.erfc(-z / math.sqrt(2)) for z in (x - x.mean()) / x.std(ddof=1)])
+        upto, below = np.searchsorted(x, x, "right") / len(x), np.searchsorted(x, x, "left") / len(x)
+        d = max((upto - phi).max(), (phi - below).max())
+        at = d * math.sqrt(len(x))
+        return d, 2 * sum((-1) ** (j - 1) * math.exp(-2 * (j * at) ** 2) for j in range(1, 200))
+
+    rows = [(float(a), float(b), 4.0, None, float("nan")) for a, b in zip(normal, flat)]
+    rows += [(None, None, None, None, None), (None, None, None, 7.0, 1.0), (None, None, None, None, float("inf"))]
+    df = spark.createDataFrame(rows, "a double, b double, same double, one double, odd double")
+    for parts in (1, 16):
+        found = {r.feature: r for r in stats.ks_normal(df.repartition(parts), ["a", "b", "same", "one", "odd"]).collect()}
+        for name, x in (("a", normal), ("b", flat)):
+            d, p = brute(x)
+            assert found[name].n == 2000 and abs(found[name].d - d) < 1e-8 and abs(found[name].p_value - p) < 1e-7
+        assert all(found[c].d is None and found[c].p_value is None for c in ("same", "one", "odd"))
+    assert found["a"].p_value > 0.1 and found["b"].p_value < 0.01
+    assert stats.ks_normal(df.limit(0), ["a"]).count() == 0
