@@ -139,7 +139,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @numbered("op7_url_filter", r"""
-    WITH cut AS (
+    WITH RECURSIVE cut AS (
         SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
                                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
@@ -150,49 +150,60 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
             WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
             WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
             WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule,
-            list_filter(string_split(path, '/'), lambda s: s <> '') AS segments
+            list_filter(string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/'), lambda s: s <> '') AS segments
         FROM cut),
     marked AS (
-        SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS decided,
-               coalesce(regexp_replace(segments[1], '[0-9]+', '*', 'g'), '') AS raw_first,
-               coalesce(regexp_replace(segments[2], '[0-9]+', '*', 'g'), '') AS raw_second,
-               CASE WHEN len(segments) > 2 THEN '**' ELSE '' END AS deep
+        SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS decided
         FROM ruled),
-    named AS (
-        SELECT *, CASE WHEN count(*) OVER (PARTITION BY host, raw_first) < 3 THEN '*' ELSE raw_first END AS first,
-               CASE WHEN count(*) OVER (PARTITION BY host, raw_first, raw_second) < 3 THEN '*' ELSE raw_second END AS second
-        FROM marked),
-    leaves AS (
-        SELECT host, first, second, deep, sum((decided = 'block')::INT)::DOUBLE AS b, count(decided)::DOUBLE AS l
-        FROM named GROUP BY ALL),
-    leaf_pool AS (SELECT host, first, sum(coalesce(b, 0)) AS pb, sum(l) AS pl FROM leaves GROUP BY ALL),
-    leaf_alike AS (
-        SELECT leaves.*, CASE WHEN l > 0 THEN abs(b / l - pb / pl) <= 2.0 * sqrt(pb / pl * (1.0 - pb / pl) / l) ELSE false END AS alike
-        FROM leaves JOIN leaf_pool USING (host, first)),
-    leaf AS (
-        SELECT host, first, second, deep,
-               CASE WHEN alike THEN sum(b) FILTER (alike) OVER w ELSE coalesce(b, 0) END AS b,
-               CASE WHEN alike THEN sum(l) FILTER (alike) OVER w ELSE l END AS l
-        FROM leaf_alike WINDOW w AS (PARTITION BY host, first)),
-    uppers AS (SELECT host, first, sum(pb) AS b, sum(pl) AS l FROM leaf_pool GROUP BY ALL),
-    upper_pool AS (SELECT host, sum(b) AS pb, sum(l) AS pl FROM uppers GROUP BY ALL),
-    upper_alike AS (
-        SELECT uppers.*, CASE WHEN l > 0 THEN abs(b / l - pb / pl) <= 2.0 * sqrt(pb / pl * (1.0 - pb / pl) / l) ELSE false END AS alike
-        FROM uppers JOIN upper_pool USING (host)),
-    upper_group AS (
-        SELECT host, first,
-               CASE WHEN alike THEN sum(b) FILTER (alike) OVER w ELSE b END AS b,
-               CASE WHEN alike THEN sum(l) FILTER (alike) OVER w ELSE l END AS l
-        FROM upper_alike WINDOW w AS (PARTITION BY host)),
-    shapes AS (
-        SELECT first, (sum(b) + 4.0 * (SELECT (sum(b) + 1.0) / (sum(l) + 2.0) FROM uppers)) / (sum(l) + 4.0) AS shape
-        FROM uppers GROUP BY first),
-    above AS (SELECT host, first, (b + 4.0 * shape) / (l + 4.0) AS above FROM upper_group JOIN shapes USING (first)),
-    judged AS (
-        SELECT host, first, second, deep, (b + 4.0 * above) / (l + 4.0) > 0.5 AS rejected
-        FROM leaf JOIN above USING (host, first))
+    tree AS (
+        SELECT 0 AS depth, host, segments, '' AS node, segments AS rest, 0.5::DOUBLE AS purity, count(*)::DOUBLE AS pages,
+               coalesce(sum((decided = 'block')::INT), 0)::DOUBLE AS b, count(decided)::DOUBLE AS l
+        FROM marked GROUP BY host, segments
+        UNION ALL (
+        WITH nodes AS (
+            SELECT depth, host, node, sum(b) AS nb, sum(l) AS nl, min(rest) AS lo, max(rest) AS hi FROM tree GROUP BY ALL),
+        splits AS (
+            SELECT host, node, CASE WHEN depth = 0 THEN 0 ELSE list_position(
+                list_transform(range(0, least(len(lo), len(hi)) + 1), lambda i: lo[i + 1] IS NOT DISTINCT FROM hi[i + 1]), false) - 1 END AS skip
+            FROM nodes WHERE depth = 0 OR nb > 0 AND nb < nl AND lo <> hi),
+        opened AS (
+            SELECT depth, host, segments, array_to_string(list_concat([node], rest[1:skip]), '/') AS node, coalesce(rest[skip + 1], '') AS head,
+                   rest[skip + 2:] AS rest, purity, pages, b, l
+            FROM tree JOIN splits USING (host, node)),
+        heads AS (
+            SELECT depth, host, node, head, max(purity) AS prior, sum(pages) AS pages, sum(b) AS b, sum(l) AS l
+            FROM opened GROUP BY depth, host, node, head),
+        sized AS (
+            SELECT *, sum(pages) OVER (PARTITION BY host, node) AS np, count(*) OVER (PARTITION BY host, node) AS nh FROM heads),
+        general AS (
+            SELECT *, CASE WHEN head <> '' AND (pages < 3 OR pages * 1000 < np OR nh > 10 AND np < nh * 5) THEN '*' ELSE head END AS branch
+            FROM sized),
+        sums AS (
+            SELECT depth, host, node, branch, max(prior) AS prior, sum(b) AS b, sum(l) AS l FROM general GROUP BY depth, host, node, branch),
+        aimed AS (
+            SELECT * REPLACE (CASE WHEN depth = 0 THEN (sum(b) OVER (PARTITION BY branch)
+                + 4.0::DOUBLE * ((sum(b) OVER () + 1.0::DOUBLE) / (sum(l) OVER () + 2.0::DOUBLE))) / (sum(l) OVER (PARTITION BY branch) + 4.0::DOUBLE)
+                ELSE prior END AS prior)
+            FROM sums),
+        beside AS (
+            SELECT *, lag(b) OVER w AS ob, lag(l) OVER w AS ol FROM aimed
+            WINDOW w AS (PARTITION BY host, node, l > 0 ORDER BY CASE WHEN l > 0 THEN b / l END, l, branch)),
+        parted AS (
+            SELECT *, coalesce(b / l - ob / ol > 2.0::DOUBLE * sqrt((b + ob) / (l + ol) * (1.0::DOUBLE - (b + ob) / (l + ol))
+                                                                    * (1.0::DOUBLE / l + 1.0::DOUBLE / ol)), false)::INT AS part
+            FROM beside),
+        joined AS (
+            SELECT *, sum(part) OVER (PARTITION BY host, node, l > 0 ORDER BY CASE WHEN l > 0 THEN b / l END, l, branch ROWS UNBOUNDED PRECEDING) AS grp
+            FROM parted),
+        judged AS (
+            SELECT host, node, branch, (sum(b) OVER g + 4.0::DOUBLE * prior) / (sum(l) OVER g + 4.0::DOUBLE) AS purity
+            FROM joined WINDOW g AS (PARTITION BY host, node, l > 0, grp))
+        SELECT o.depth + 1, o.host, o.segments, o.node || '/' || g.branch, o.rest, j.purity, o.pages, o.b, o.l
+        FROM opened o JOIN general g ON o.host = g.host AND o.node = g.node AND o.head = g.head
+        JOIN judged j ON g.host = j.host AND g.node = j.node AND g.branch = j.branch)),
+    verdicts AS (SELECT host, segments, arg_max(purity, depth) > 0.5 AS rejected FROM tree GROUP BY host, segments)
     SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict
-    FROM named JOIN judged USING (host, first, second, deep)
+    FROM marked JOIN verdicts USING (host, segments)
 """)
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"))

@@ -1,6 +1,10 @@
+import random
 import re
 
+import duckdb
+from comparing import compare
 from corpuscope.llm import url_filter as operator
+from corpuscope.llm.registered import LLM_ORACLES
 
 URLS = [
     None, "", "no scheme", "https://", "HTTP://WWW.Example.NET/en/1?x#y", "https://example.net/en", "https://a.example.com/de/77",
@@ -45,3 +49,45 @@ def test_empty_table_and_no_labels(spark):
     assert operator.filter_urls(empty).count() == 0
     pages = spark.createDataFrame([(None, "https://a.b/c"), (1, "https://a.b/c"), (1, "https://a.b/c")], "page_id long, url string")
     assert [r.verdict for r in operator.filter_urls(pages, rules=()).collect()] == ["allow"] * 3
+
+
+def twin_differs(spark, urls):
+    """Compares with the SQL twin on a table of these urls."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
+    found = operator.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    return compare(found, con, LLM_ORACLES["op7_url_filter"])
+
+
+def test_splits_below_the_second_segment(spark):
+    """Two topics, three and four segments down, that share all segments above; unlabelled pages of each follow."""
+    for above in ("en/forum", "en/forum/all"):
+        pages = [f"/{above}/{t}/{i}" for t, n in (("spam", 100), ("help", 90)) for i in range(n)]
+        labels = [("h.com", p, "spam" in p) for p in pages if int(p.rsplit("/", 1)[1]) < 50]
+        found = operator.filter_urls(
+            spark.createDataFrame([(i, "http://h.com" + p) for i, p in enumerate(pages)], "page_id long, url string"),
+            rules=(), labels=spark.createDataFrame(labels, "host string, path string, blocked boolean")).collect()
+        assert len(found) == 190 and all((r.verdict == "block") == ("spam" in r.path) for r in found)
+
+
+def test_varying_segments_are_one_branch_at_any_size(spark):
+    """Names on three pages each are a wildcard, so that the topic below them is judged over all names."""
+    names = [f"user{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    pages = [f"/u/{n}/{t}/{i}" for n in names for t, i in (("spam", 1), ("spam", 2), ("help", 1), ("help", 2))]
+    labels = [("h.com", p, "spam" in p) for k, p in enumerate(pages) if k % 5 < 2]
+    found = operator.filter_urls(
+        spark.createDataFrame([(i, "http://h.com" + p) for i, p in enumerate(pages)], "page_id long, url string"),
+        rules=(), labels=spark.createDataFrame(labels, "host string, path string, blocked boolean")).collect()
+    assert all((r.verdict == "block") == ("spam" in r.path) for r in found)
+
+
+def test_equals_twin_on_deep_trees_and_edges(spark):
+    """Labels by the rules; hosts of several tops share first segments, paths of up to six segments."""
+    rng = random.Random(7)
+    words = ["de", "en", "fr", "shop", "news", "a1", "b2x", "", "é", "*"]
+    urls = list(URLS)
+    for _ in range(3000):
+        host = rng.choice(["a.example.com", "b.example.com", "c.example.net", "d.org", "e.org", "x.net"])
+        urls.append(f"https://{host}/" + "/".join(rng.choice(words[:rng.randint(1, 10)]) for _ in range(rng.randint(0, 6))))
+    assert twin_differs(spark, urls) is None
