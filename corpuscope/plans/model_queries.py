@@ -366,6 +366,41 @@ def batch_label(spark, sf_dir):
     return labelled.select("doc_id", text.parse_label(F.col("reply")).cast("bigint").alias("label"))
 
 
+def wavering_scorer(prompts: pd.Series) -> pd.Series:
+    """Stand-in whose replies are not always a label."""
+    transcript = prompts.str.split("Transcript: ", n=1).str[1]
+    labels = transcript.str.contains("ing ", regex=False).map({True: " 1 ", False: "0"})
+    return labels.where(transcript.str.contains("er ", regex=False), "unsure")
+
+
+_LANGUAGES = ["en", "de", "fr", "neverused"]
+_LABELLED = 300
+
+
+@query("labelling_flow", f"""
+WITH f AS (SELECT doc_id, lang, coalesce({_W500}, '') AS words FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels)),
+r AS (SELECT *, CASE WHEN lang IN ('en', 'de', 'fr') THEN 1.0::DOUBLE / count(*) OVER (PARTITION BY lang) ELSE 0 END AS raw FROM f),
+d AS (SELECT * FROM r WHERE raw > 0 ORDER BY
+      -ln((CAST('0x' || substr(md5(doc_id || ':42'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / (raw / (SELECT sum(raw) FROM r)),
+      CAST(doc_id AS VARCHAR) LIMIT {_LABELLED})
+SELECT CAST(doc_id AS VARCHAR) AS video_id, CASE WHEN contains(words, 'er ') THEN CAST(contains(words, 'ing ') AS BIGINT) END AS label,
+       NOT contains(words, 'er ') AS rejected FROM d
+""")
+def labelling_flow(spark, sf_dir):
+    """A weighted sample of unlabelled documents, queued and labelled in batches; a second run finds nothing to do."""
+    docs = load(spark, sf_dir, "documents").withColumn("video_id", F.col("doc_id").cast("string"))
+    videos = docs.select("video_id", F.col("lang").alias("keywords"), F.lit("").alias("title"), F.lit("").alias("description"))
+    manual = load(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("video_id"))
+    sample = relevance.draw_training_sample(
+        videos, docs.select("video_id", F.col("text").alias("transcript")), manual, _LANGUAGES, _LABELLED)
+    job = relevance.LabellingJob(spark, scratch_path(spark, "labelling"), rows_per_file=500, files_per_batch=8)
+    for _ in range(2):
+        job.enqueue(sample)
+        job.run(wavering_scorer, ["term"], manual)
+    kept = job.labels().select("video_id", F.col("gpt_label").cast("bigint").alias("label"), F.lit(False).alias("rejected"))
+    return kept.unionByName(job.rejects().select("video_id", F.lit(None).cast("bigint").alias("label"), F.lit(True).alias("rejected")))
+
+
 # --- whole flows -----------------------------------------------------------------------------------
 
 @query("coverage_report", f"""

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from corpuscope.fixed_values import KEYWORDS, TRAINING_SAMPLE_ROWS
 from corpuscope.functions import text
 from corpuscope.functions.hashing import hash_uniform
 from corpuscope.operators import features, joins, metrics, models, mutation, neighbours, sampling
 from corpuscope.session import materialise
+from corpuscope.streaming import ingest
 
 
 def draw_training_sample(videos: DataFrame, transcripts: DataFrame, manual_labels: DataFrame,
@@ -21,14 +22,64 @@ def draw_training_sample(videos: DataFrame, transcripts: DataFrame, manual_label
     return sampling.weighted_sample(weighted, "video_id", "sampling_weight", n, seed)
 
 
-def label_sample(sample: DataFrame, labels: DataFrame, scorer, keywords: Sequence[str] = tuple(KEYWORDS)) -> DataFrame:
-    """Label rows not labelled before and add them to ``labels``; unreadable replies are left out."""
-    todo = joins.anti_filter(sample, labels, "video_id")
-    prompts = todo.select("video_id", text.build_prompt(
+def replies_to(sample: DataFrame, scorer, keywords: Sequence[str] = tuple(KEYWORDS)) -> DataFrame:
+    """video_id, reply and gpt_label, NULL where the reply is no label."""
+    prompts = sample.select("video_id", text.build_prompt(
         F.col("title"), F.col("description"), F.col("transcript"), keywords).alias("prompt"))
     replies = sampling.batch_label(prompts, "prompt", scorer)
-    fresh = replies.select("video_id", text.parse_label(F.col("reply")).alias("gpt_label")).where("gpt_label IS NOT NULL")
-    return mutation.upsert_ignore(labels, fresh, "video_id", ["gpt_label"])
+    return replies.select("video_id", "reply", text.parse_label(F.col("reply")).alias("gpt_label"))
+
+
+def label_sample(sample: DataFrame, labels: DataFrame, scorer, keywords: Sequence[str] = tuple(KEYWORDS)) -> DataFrame:
+    """Label rows not labelled before and add them to ``labels``; unreadable replies are left out."""
+    fresh = replies_to(joins.anti_filter(sample, labels, "video_id"), scorer, keywords).drop("reply")
+    return mutation.upsert_ignore(labels, fresh.where("gpt_label IS NOT NULL"), "video_id", ["gpt_label"])
+
+
+class LabellingJob:
+    """Labelling that may be stopped and started again at any point; all of its state lies below ``root``.
+
+    Samples are queued as files of ``rows_per_file`` rows. A run takes ``files_per_batch`` of them at a time through the
+    labeller; a batch's labels and rejected ids are in their logs before the checkpoint calls it done. So a lost run
+    repeats one batch at most, no video has two labels, and videos labelled before, also under a lost checkpoint, are
+    not sent to the labeller again.
+    """
+
+    QUEUED = "video_id string, title string, description string, transcript string"
+    LABELLED = "video_id string, reply string, gpt_label int"
+
+    def __init__(self, spark: SparkSession, root: str, rows_per_file: int = 10_000, files_per_batch: int = 64):
+        self.spark, self.root, self.rows_per_file, self.files_per_batch = spark, root, rows_per_file, files_per_batch
+
+    def _queued(self) -> DataFrame:
+        return ingest.read_landed(self.spark, f"{self.root}/queue", T.StructType.fromDDL(self.QUEUED))
+
+    def enqueue(self, sample: DataFrame) -> None:
+        """Adds the videos of ``sample`` that were not queued before; of rows with one id, one; none without an id."""
+        columns = self._queued().columns
+        rows = mutation.keep_first(sample.select(*columns).where("video_id IS NOT NULL"), "video_id", columns[1:])
+        joins.anti_filter(rows, self._queued(), "video_id").write.mode("append").option(
+            "maxRecordsPerFile", self.rows_per_file).parquet(f"{self.root}/queue")
+
+    def run(self, scorer, keywords: Sequence[str] = tuple(KEYWORDS), done: DataFrame | None = None) -> None:
+        """Labels what is queued, but for the ids of ``done``, and stops."""
+        settled = self.labels().select("video_id").unionByName(self.rejects())
+        if done is not None:
+            settled = settled.unionByName(done.select(F.col("video_id").cast("string")))
+        queue = ingest.open_stream(
+            self.spark, f"{self.root}/queue", T.StructType.fromDDL(self.QUEUED), "parquet", self.files_per_batch)
+        # The join comes before the labeller: a settled video costs no call.
+        ingest.stream_ingest(
+            replies_to(joins.anti_filter(queue, settled, "video_id"), scorer, keywords), f"{self.root}/labels",
+            f"{self.root}/checkpoint", "video_id", ["gpt_label"], failed_path=f"{self.root}/rejects",
+            succeeded=F.col("gpt_label").isNotNull())
+
+    def labels(self) -> DataFrame:
+        return ingest.read_ignore(self.spark, f"{self.root}/labels", T.StructType.fromDDL(self.LABELLED))
+
+    def rejects(self) -> DataFrame:
+        """Ids whose reply was no label."""
+        return ingest.read_ignore(self.spark, f"{self.root}/rejects", T.StructType.fromDDL("video_id string"))
 
 
 class RelevanceModel:

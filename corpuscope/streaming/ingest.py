@@ -146,6 +146,11 @@ def compact(spark: SparkSession, path: str, target: str, schema: T.StructType, k
     return _log(spark, target, schema)
 
 
+def read_landed(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """All rows of a folder of Parquet files; one that is not there yet reads as empty."""
+    return spark.read.schema(schema).parquet(folder) if _match(spark, folder) else spark.createDataFrame([], schema)
+
+
 def open_stream(spark: SparkSession, source: str, schema: T.StructType, fmt: str = "json",
                 max_files: int = 1000) -> DataFrame:
     """Landed files as a stream; the checkpoint remembers which files were read."""
