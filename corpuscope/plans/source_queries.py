@@ -11,6 +11,7 @@ from corpuscope.plans import standins
 from corpuscope.plans.registry import load, query, rounded, to_bigint
 from corpuscope.session import scratch_path
 from corpuscope.sources import payloads, tables
+from corpuscope.sources.snapshots import SnapshotTable
 
 
 # --- scans -----------------------------------------------------------------
@@ -370,3 +371,17 @@ def merge_keyword_tables(spark, sf_dir):
         for i in (0, 1)
     ]
     return mutation.merge_keyword_tables(found, "p_brand", "keyword", "p_partkey")
+
+
+@query("snapshot_update", """
+SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, 2 AS version FROM orders
+UNION ALL SELECT o_orderkey, o_orderstatus, 1 FROM orders
+""")
+def snapshot_update(spark, sf_dir):
+    """An update by key as a new version of a table; the version before it can still be read."""
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    changes = load(spark, sf_dir, "orders").where("o_totalprice > 150000").select("o_orderkey", F.lit("X").alias("o_orderstatus"))
+    table = SnapshotTable(spark, scratch_path(spark, "snapshots"))
+    table.replace(orders)
+    table.change(lambda rows: mutation.update_by_key(rows, changes, "o_orderkey", ["o_orderstatus"]))
+    return table.read().withColumn("version", F.lit(2)).unionByName(table.read(1).withColumn("version", F.lit(1)))
