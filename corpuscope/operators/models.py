@@ -93,10 +93,14 @@ MAX_DEPTH = 30  # Spark's limit; trees end earlier where a leaf is pure
 
 def fit_forest(train: DataFrame, label: str = "label", trees: int = 100, max_depth: int = MAX_DEPTH,
                seed: int = 42) -> PipelineModel:
-    """Trees grown to purity, or to ``max_depth`` levels."""
+    """Trees grown to purity, or to ``max_depth`` levels.
+
+    Rows keep the node that they are in, so a pass over them does not descend all trees again.
+    """
     weight = {"weightCol": "weight"} if "weight" in train.columns else {}
     return _scaled(RandomForestClassifier(
-        featuresCol="scaled", labelCol=label, numTrees=trees, maxDepth=max_depth, seed=seed, **weight)).fit(train)
+        featuresCol="scaled", labelCol=label, numTrees=trees, maxDepth=max_depth, seed=seed, cacheNodeIds=True,
+        **weight)).fit(train)
 
 
 def fit_boosted(train: DataFrame, label: str = "label", val: DataFrame | None = None,

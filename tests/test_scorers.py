@@ -131,3 +131,12 @@ rows.select("video_id", "confidence", "predicted_label").write.parquet({str(tmp_
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env=env, capture_output=True)
     found = {r.video_id: (r.confidence, r.predicted_label) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert found == want and len(found) == 240
+
+
+def test_forest_keeps_the_nodes_of_rows(spark):
+    """Without it every pass descends all trees from their roots; the trees are the same."""
+    rows = vectors(spark).persist()
+    model = models.fit_forest(rows, trees=5).stages[-1]
+    assert model.getCacheNodeIds()
+    scaled = models._scaled(models.RandomForestClassifier(featuresCol="scaled", numTrees=5, maxDepth=30, seed=42))
+    assert model.toDebugString.split("\n")[1:] == scaled.fit(rows).stages[-1].toDebugString.split("\n")[1:]
