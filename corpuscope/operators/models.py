@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
@@ -21,10 +23,18 @@ from corpuscope.operators import metrics
 from corpuscope.operators.features import assemble
 from corpuscope.operators.isotonic import pooled_blocks
 from corpuscope.operators.ordered import positions
+from corpuscope.session import materialise
 
 Scorer = Callable[[DataFrame], DataFrame]
 
 
+def side_by_side(spark: SparkSession, tasks: Sequence[Callable]) -> list:
+    """Results of tasks that start Spark jobs of their own, run at the same time: most rounds of a fit are too short
+    to fill the executors."""
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]]
+
+
 def with_features(df: DataFrame, array_column: str, output: str = "features") -> DataFrame:
     return df.withColumn(output, array_to_vector(F.col(array_column).cast("array<double>")))
 
@@ -70,7 +80,7 @@ class ModelScorer:
 
 
 def pipeline_scorer(model: PipelineModel) -> ModelScorer:
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()  # other threads have no active one
     return ModelScorer([
         *model.stages, _element(spark, "probability", 1, "score"), _without("rawPrediction", "probability", "prediction", "scaled"),
     ])
@@ -134,17 +144,21 @@ def fit_linear_svm(train: DataFrame, key: str, label: str = "label", folds: int
     weight = {"weightCol": "weight"} if "weight" in train.columns else {}
     drawn = train.withColumn("_u", hash_uniform(F.col(key), F.lit("fold"), seed=seed))
     folded = positions(drawn, "_u", [key], by=[label]).withColumn("_fold", F.col("position") % folds).drop("_u", "position", "group_n")
-    stages: list[Transformer] = []
-    for fold in range(folds):
+    folded = materialise(folded, "folds")
+
+    def fit(fold: int) -> list[Transformer]:
         fit_rows, held = folded.where(F.col("_fold") != fold), folded.where(F.col("_fold") == fold)
         margins = _scaled(LinearSVC(featuresCol="scaled", labelCol=label, regParam=1.0 / max(1, fit_rows.count()), **weight)).fit(fit_rows)
         own = [*margins.stages, VectorSlicer(inputCol="rawPrediction", outputCol="margin", indices=[1]), _without("rawPrediction", "prediction", "scaled")]
         platt = LogisticRegression(featuresCol="margin", labelCol=label).fit(
             PipelineModel(own).transform(held.select(label, "features")).select(label, "margin"))
-        stages += [
+        return [
             *own, platt, _element(train.sparkSession, "probability", 1, f"_p{fold}"),
             _without("margin", "rawPrediction", "probability", "prediction"),
         ]
+
+    fitted = side_by_side(train.sparkSession, [lambda fold=fold: fit(fold) for fold in range(folds)])
+    stages = [stage for own in fitted for stage in own]
     members = [f"_p{fold}" for fold in range(folds)]
     mean = SQLTransformer(statement=f"SELECT *, ({' + '.join(members)}) / {folds} AS score FROM __THIS__")
     return ModelScorer([*stages, mean, _without(*members)])
@@ -174,7 +188,8 @@ def compare_models(train: DataFrame, val: DataFrame, test: DataFrame, key: str,
 
     The threshold is tuned in the score space it is used in. With
     ``reference_threshold`` it is tuned on raw validation scores and applied to
-    calibrated test scores.
+    calibrated test scores. The models are fitted at the same time, so ``train_seconds``
+    is what a fit took beside the others.
     """
     fits = {
         "logreg": lambda: pipeline_scorer(fit_logreg(train, label)),
@@ -183,8 +198,9 @@ def compare_models(train: DataFrame, val: DataFrame, test: DataFrame, key: str,
         "svm": lambda: fit_linear_svm(train, key, label),
         "mlp": lambda: pipeline_scorer(fit_perceptron(train, label)),
     }
-    spark, rows, scorers = train.sparkSession, [], {}
-    for name in names:
+    spark = train.sparkSession
+
+    def compare(name: str) -> tuple[dict, ModelScorer]:
         start = time.time()
         raw = fits[name]()
         seconds = time.time() - start
@@ -210,8 +226,10 @@ def compare_models(train: DataFrame, val: DataFrame, test: DataFrame, key: str,
             test_scored.withColumn("pred", (F.col("score") >= threshold).cast("int")), label, "pred").head()[0]
         val_raw.unpersist()
         test_scored.unpersist()
-        rows.append(row)
-        scorers[name] = scorer
+        return row, scorer
+
+    compared = side_by_side(spark, [lambda name=name: compare(name) for name in names])
+    rows, scorers = [row for row, _ in compared], {row["model"]: scorer for row, scorer in compared}
     fields = list(rows[0])
     schema = ", ".join(f"{f} {'string' if f == 'model' else 'double'}" for f in fields)
     return spark.createDataFrame([tuple(r[f] for f in fields) for r in rows], schema), scorers

@@ -3,6 +3,7 @@
 import os
 import subprocess
 import sys
+import threading
 
 import numpy as np
 import pytest
@@ -140,3 +141,20 @@ def test_forest_keeps_the_nodes_of_rows(spark):
     assert model.getCacheNodeIds()
     scaled = models._scaled(models.RandomForestClassifier(featuresCol="scaled", numTrees=5, maxDepth=30, seed=42))
     assert model.toDebugString.split("\n")[1:] == scaled.fit(rows).stages[-1].toDebugString.split("\n")[1:]
+
+
+def test_models_are_fitted_at_the_same_time(spark, monkeypatch):
+    """Each of the two fits waits until the other has begun, and so do the folds of the SVM."""
+    rows = vectors(spark).persist()
+
+    def together(barrier, fit):
+        return lambda *args, **options: (barrier.wait(), fit(*args, **options))[1]
+
+    both, folds = threading.Barrier(2, timeout=60), threading.Barrier(3, timeout=60)
+    monkeypatch.setattr(models, "fit_logreg", together(both, models.fit_logreg))
+    monkeypatch.setattr(models, "fit_linear_svm", together(both, models.fit_linear_svm))
+    monkeypatch.setattr(models, "LinearSVC", together(folds, models.LinearSVC))
+    parts = [rows.where(f"id % 3 = {i}") for i in range(3)]
+    table, scorers = models.compare_models(*parts, "id", names=("svm", "logreg"))
+    assert [r.model for r in table.collect()] == ["svm", "logreg"] and list(scorers) == ["svm", "logreg"]
+    assert all(r.test_roc_auc > 0.9 for r in table.collect())
