@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -25,6 +26,7 @@ from corpuscope.session import materialise
 MAX_PIVOTS = 512
 BLOCK_BYTES = 64 << 20  # vectors held by one side of a block
 TILE_CELLS = 4_000_000  # distances held at a time inside a block
+ROUTED_ROWS = 20_000  # copies of queries held at a time on their way to the blocks
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,6 +66,15 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype="float64") for v in column])
 
 
+def _matrix(table: pa.Table, width: int) -> np.ndarray:
+    """The vectors of column v without a Python object for each; the chunks are copied into place one by one."""
+    out, start = np.empty((len(table), width)), 0
+    for chunk in table.column("v").chunks:
+        out[start:start + len(chunk)] = chunk.flatten().to_numpy(zero_copy_only=False).reshape(len(chunk), width)
+        start += len(chunk)
+    return out
+
+
 def _squared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
     """Squared distances by expansion, and a safe bound of their rounding error."""
     aa, bb = (a * a).sum(1), (b * b).sum(1)
@@ -130,10 +141,12 @@ def knn_join(df: DataFrame, key: str, vector: str, k: int, block_rows: int | Non
             rows, columns = np.repeat(rows, repeat), np.repeat(columns, repeat)
             first = np.concatenate([[0], np.cumsum(repeat)[:-1]])
             chunk = np.arange(len(rows)) - np.repeat(first, repeat)
-            yield pd.DataFrame({
-                "id": batch["id"].to_numpy()[rows], "v": batch["v"].to_numpy()[rows],
-                "cell": cell_ids[columns].astype("int32"), "chunk": chunk.astype("int32"),
-            })
+            for start in range(0, len(rows), ROUTED_ROWS):
+                part = slice(start, start + ROUTED_ROWS)
+                yield pd.DataFrame({
+                    "id": batch["id"].to_numpy()[rows[part]], "v": batch["v"].to_numpy()[rows[part]],
+                    "cell": cell_ids[columns[part]].astype("int32"), "chunk": chunk[part].astype("int32"),
+                })
 
     # A cell's queries are cut into blocks by hash, its points into chunks: both sides stay bounded.
     routed = assigned.select("id", "v").mapInPandas(route, f"id {id_type}, v array<double>, cell int, chunk int")
@@ -152,29 +165,28 @@ def knn_join(df: DataFrame, key: str, vector: str, k: int, block_rows: int | Non
         "id", "v", "cell", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
     )
 
-    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": q["id"].iloc[:0], "neighbour": c["id"].iloc[:0], "distance": pd.Series(dtype="float64")})
-        if not len(q) or not len(c):
-            return empty
-        cv, cid = _stack(c["v"]), c["id"].to_numpy()
-        last = min(k, len(cid)) - 1
-        tile = max(1, TILE_CELLS // len(cid))
-        parts = []
-        for start in range(0, len(q), tile):
-            qv, qid = _stack(q["v"].iloc[start:start + tile]), q["id"].to_numpy()[start:start + tile]
-            rough, error = _squared(qv, cv)
-            rough[qid[:, None] == cid[None, :]] = np.inf
-            kth = np.partition(rough, last, axis=1)[:, last]
-            # Distances by expansion are inexact: keep near ties, measure again, then cut at k.
-            rows, columns = np.nonzero((rough <= kth[:, None] + 2 * error) & np.isfinite(rough))
-            exact = np.sqrt(((qv[rows] - cv[columns]) ** 2).sum(1))
-            found = pd.DataFrame({"id": qid[rows], "neighbour": cid[columns], "distance": exact})
-            found = found.sort_values(["id", "distance", "neighbour"], kind="stable")
-            parts.append(found[found.groupby("id").cumcount() < k])
-        return pd.concat(parts)
-
-    partial = queries.groupBy("cell", "chunk", "block").cogroup(corpus.groupBy("cell", "chunk", "block")).applyInPandas(
-        best, f"id {id_type}, neighbour {id_type}, distance double")
+    def best(q: pa.Table, c: pa.Table) -> pa.Table:
+        qid, cid = q.column("id").to_pandas().to_numpy(), c.column("id").to_pandas().to_numpy()
+        parts = [pd.DataFrame({"id": qid[:0], "neighbour": cid[:0], "distance": np.empty(0)})]
+        if len(q) and len(c):
+            cv, last = _matrix(c, pivots.shape[1]), min(k, len(cid)) - 1
+            tile = max(1, TILE_CELLS // len(cid))
+            for start in range(0, len(q), tile):
+                qv, ids = _matrix(q.slice(start, tile), pivots.shape[1]), qid[start:start + tile]
+                rough, error = _squared(qv, cv)
+                rough[ids[:, None] == cid[None, :]] = np.inf
+                kth = np.partition(rough, last, axis=1)[:, last]
+                # Distances by expansion are inexact: keep near ties, measure again, then cut at k.
+                rows, columns = np.nonzero((rough <= kth[:, None] + 2 * error) & np.isfinite(rough))
+                exact = np.sqrt(((qv[rows] - cv[columns]) ** 2).sum(1))
+                found = pd.DataFrame({"id": ids[rows], "neighbour": cid[columns], "distance": exact})
+                found = found.sort_values(["id", "distance", "neighbour"], kind="stable")
+                parts.append(found[found.groupby("id").cumcount() < k])
+        types = {"id": q.schema.field("id").type, "neighbour": c.schema.field("id").type, "distance": pa.float64()}
+        return pa.Table.from_pandas(pd.concat(parts), schema=pa.schema(list(types.items())), preserve_index=False)
+
+    partial = queries.select("id", "v", "cell", "chunk", "block").groupBy("cell", "chunk", "block").cogroup(
+        corpus.groupBy("cell", "chunk", "block")).applyInArrow(best, f"id {id_type}, neighbour {id_type}, distance double")
     # Each block gave at most k rows per query; the row_number filter prunes again before the shuffle.
     nearest = Window.partitionBy("id").orderBy("distance", "neighbour")
     ranked = partial.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)

@@ -2,6 +2,7 @@
 
 import math
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -376,3 +377,13 @@ def test_kolmogorov_smirnov_equals_brute_force(spark):
         assert all(found[c].d is None and found[c].p_value is None for c in ("same", "one", "odd"))
     assert found["a"].p_value > 0.1 and found["b"].p_value < 0.01
     assert stats.ks_normal(df.limit(0), ["a"]).count() == 0
+
+
+def test_blocks_of_neighbours_are_read_as_arrow(spark):
+    """Whole blocks as pandas rows held a Python object for each vector beside the copies."""
+    df = spark.createDataFrame([(i, [float(i), float(i * i)]) for i in range(30)], "id bigint, v array<double>")
+    found = neighbours.knn_join(df, "id", "v", 2, block_rows=8, max_pivots=3)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    table = pa.concat_tables(pa.table({"v": [[float(i), -1.0], [0.5, float(i)]]}) for i in range(5))
+    assert neighbours._matrix(table.slice(3, 4), 2).tolist() == [[0.5, 1.0], [2.0, -1.0], [0.5, 2.0], [3.0, -1.0]]
+    assert neighbours._matrix(table.slice(0, 0), 2).shape == (0, 2)
