@@ -11,15 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpuscope.llm.boosting import Boosted, Tree, fit_boosted
+from corpuscope.llm.boosting import Boosted, binned_table, boosted, fit_boosted_table, matrix, table_cuts
 from corpuscope.llm.common import small_batches, whole_text
 from corpuscope.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCUMENTS = 20_000  # documents, drawn by a hash, whose candidates the trees may learn from
-KIND_DOCUMENTS = 5_000  # documents with a base span of a kind, drawn likewise, that join them for its candidates
-SAMPLE_CANDIDATES = 10_000  # candidates of a kind that the driver takes of documents with and without its base spans
-PRECISION = 0.95  # that a kind's threshold must reach on the held-out part of the sample
+SAMPLE_DOCUMENTS = None  # without effect, as nothing is drawn any more; a test still sets the name
+CHUNK = 10_000  # candidates that a task passes on at once
+STEPS = 1 << 16  # thresholds are whole multiples of 1 / STEPS, so that the driver gets that many sums a kind and label at most
+PRECISION = 0.95  # that a kind's threshold must reach on the held-out candidates
 PRIOR = 20.0  # candidates that all kinds' precision counts for where a kind has too few of its own
 
 # The contract's patterns, in forms that take time in proportion to the text: an email is found by its
@@ -192,14 +192,14 @@ def _threshold(
 
     A kind that has too few of them to show it takes the precision of all kinds at the same threshold for ``PRIOR``
     candidates of its own. Above 1, so that nothing passes, only if that falls short as well. ``weights`` say how many
-    candidates a drawn one stands for.
+    candidates a row stands for.
     """
     order = np.argsort(-odds, kind="stable")
     odds, labels, weights, own = odds[order], labels[order], weights[order], kinds[order] == kind
 
     def sums(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        scaled = np.where(rows, weights, 0.0) / (weights[rows].min() if rows.any() else 1.0)
-        return np.cumsum(scaled * labels), np.cumsum(scaled)
+        counted = np.where(rows, weights, 0.0)
+        return np.cumsum(counted * labels), np.cumsum(counted)
 
     right, seen = sums(own)
     # Laplace's rule keeps a handful of lucky rows from deciding.
@@ -211,81 +211,68 @@ def _threshold(
     return 2.0 if found is None else found
 
 
-def _calibrated(x: np.ndarray, y: np.ndarray, kinds: np.ndarray, held_out: np.ndarray, weights: np.ndarray) -> Redactor:
-    """Trees of the candidates that are not held out, and a threshold of each kind from those that are."""
-    trees = fit_boosted(x[~held_out], y[~held_out])
-    odds = trees.probability(x[held_out]) if held_out.any() else np.empty(0)
-    rest = y[held_out], weights[held_out], kinds[held_out]
-    return Redactor(trees, [_threshold(odds, *rest, k, PRECISION) for k in range(len(KINDS))])
-
-
-def fit_redactor(docs: DataFrame) -> Redactor:
-    """Trees and thresholds from the candidates of a bounded sample of documents (doc_id, text).
+def labelled_candidates(docs: DataFrame) -> DataFrame:
+    """The candidates of all documents (text): held_out, kind, y, x (the features) and n, how often these occur.
 
     The validated fixed patterns are the labels: a candidate that covers what one of them found, and little else, is
-    positive. A first pass over all rows counts the documents with base spans of each kind. Of these, the kind's
-    candidates are drawn at a share of their own, so that a rare kind is learned from wherever it occurs; of others at
-    the common share. What a drawn candidate stands for is its weight in the calibration. The hash of the text decides
-    which documents train and which calibrate, so equal texts are on one side.
+    positive. The hash of the text decides which documents train and which calibrate, so equal texts are on one side.
     """
-    counts = pa.schema([("kind", pa.int32()), ("n", pa.int64())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [0] * (len(KINDS) + 1)  # the last: all documents
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                totals[-1] += 1
-                for kind in {k for k, _, _ in base_spans(text)}:
-                    totals[kind] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(totals)), pa.int32()), pa.array(totals, pa.int64())], schema=counts)
-
-    totals = [0] * (len(KINDS) + 1)
-    for row in docs.select("text").mapInArrow(count, "kind int, n long").groupBy("kind").agg(F.sum("n").alias("n")).collect():
-        totals[row.kind] = row.n
-    common = min(1.0, SAMPLE_DOCUMENTS / max(1, totals[-1]))
-    shares = [max(common, min(1.0, KIND_DOCUMENTS / max(1, n))) for n in totals[:-1]]
+    names = ["held_out", "kind", "y", "x"]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[bool, int, int, list[float]]] = []
+
+        def chunk() -> pa.RecordBatch:
+            types = pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int32())
+            columns = [pa.array(column, t) for column, t in zip(zip(*rows), types)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         for batch in batches:
-            rows, labels, kinds, shown, parts, draws = [], [], [], [], [], []
-            for text, draw in zip(batch.column("text").to_pylist(), batch.column("draw").to_pylist()):
-                place = (draw & 0xFFFFFFFF) / 2**32
-                if place >= max(shares):
+            for text, held_out in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist()):
+                if not (found := candidates(text)):
                     continue
-                found = base_spans(text)
-                present = {k for k, _, _ in found}
-                by_kind = [sorted((s, e) for k, s, e in found if k == kind) for kind in range(len(KINDS))]
-                if place >= common and not present:
-                    continue
-                for n, (kind, start, end) in enumerate(candidates(text)):
-                    if place < (shares[kind] if kind in present else common):
-                        same = covers_base(by_kind[kind], start, end)
-                        rows.append(features(text, kind, start, end))
-                        labels.append(int(same))
-                        kinds.append(kind)
-                        shown.append(kind in present)
-                        parts.append(draw >> 32 & 1)
-                        draws.append(((draw & 0x7FFFFFFF) * 0x9E3779B1 + n * 0x85EBCA6B) & 0x7FFFFFFF)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.int32()), pa.array(kinds, pa.int32()),
-                 pa.array(shown, pa.bool_()), pa.array(parts, pa.int32()), pa.array(draws, pa.int64())],
-                names=["x", "y", "kind", "shown", "part", "draw"],
-            )
+                by_kind: list[list[tuple[int, int]]] = [[] for _ in KINDS]
+                for kind, start, end in sorted(base_spans(text)):
+                    by_kind[kind].append((start, end))
+                for kind, start, end in found:
+                    x = [int(v) for v in features(text, kind, start, end)]
+                    rows.append((held_out, kind, int(covers_base(by_kind[kind], start, end)), x))
+                    if len(rows) == CHUNK:
+                        yield chunk()
+        if rows:
+            yield chunk()
+
+    part = F.shiftrightunsigned(F.xxhash64("text", F.lit(11)), 32).bitwiseAND(1) == 1
+    found = docs.select("text", part.alias("held_out")).mapInArrow(extract, "held_out boolean, kind int, y int, x array<int>")
+    return found.groupBy(*names).agg(F.count("*").alias("n"))
 
-    drawn = materialise(docs.select("text", F.xxhash64("text", F.lit(11)).alias("draw")).mapInArrow(
-        extract, "x array<double>, y int, kind int, shown boolean, part int, draw long"), "candidates")
-    strata = {(r.kind, r.shown): r["count"] for r in drawn.groupBy("kind", "shown").count().collect()}
-    rows = [
-        r for kind, shown in sorted(strata)
-        for r in drawn.where((F.col("kind") == kind) & (F.col("shown") == shown)).orderBy("draw", "x").limit(SAMPLE_CANDIDATES).collect()
-    ]
-    stand = {
-        key: max(1.0, n / SAMPLE_CANDIDATES) / (shares[key[0]] if key[1] else common) for key, n in strata.items()
-    }
-    return _calibrated(
-        np.array([r.x for r in rows], float), np.array([r.y for r in rows], float), np.array([r.kind for r in rows], int),
-        np.array([r.part == 1 for r in rows], bool), np.array([stand[r.kind, r.shown] for r in rows], float),
-    )
+
+def fit_redactor(docs: DataFrame) -> Redactor:
+    """Trees and thresholds from all candidates of all documents (text).
+
+    Trees learn from the candidates that are not held out, equal ones as one row with their number; a threshold of each
+    kind comes from those that are. Tables stay on the executors: the driver gets the features' cuts, the sums of each
+    level of a tree, and the held-out candidates' numbers by kind, label and odds in steps of 1 / ``STEPS``. A feature has
+    a million values at most, but for an email's length and what it counts in it.
+    """
+    found = materialise(labelled_candidates(docs), "candidates")
+    cuts = table_cuts(found.where(~F.col("held_out")), F.col("kind"))
+    binned = materialise(binned_table(found, cuts, ["held_out", "kind"]), "binned")
+    trees, coarse = fit_boosted_table(binned.where(~F.col("held_out")), cuts)
+    plain, width = astuple(coarse), len(cuts)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = boosted(plain)
+        for batch in batches:
+            odds = model.probability(matrix(batch.column("x"), width))
+            steps = pa.array(np.floor(odds * STEPS), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("y"), steps, batch.column("n")], names=["kind", "y", "step", "n"])
+
+    seen = binned.where("held_out").mapInArrow(step, "kind int, y int, step int, n long").groupBy("kind", "y", "step").agg(
+        F.sum("n").alias("n")).orderBy("kind", "step", "y").toArrow()
+    kinds, y, steps, n = (seen.column(name).to_numpy() for name in ("kind", "y", "step", "n"))
+    return Redactor(trees, [_threshold(steps / STEPS, y, n.astype(float), kinds, k, PRECISION) for k in range(len(KINDS))])
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,8 +290,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = lambda rows: [{"kind": k, "start": s, "end": e} for k, s, e in rows]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (start, rate, trees), thresholds = shared.value
-        redactor = Redactor(Boosted(start, rate, [Tree(*tree) for tree in trees]), thresholds)
+        trees, thresholds = shared.value
+        redactor = Redactor(boosted(trees), thresholds)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(

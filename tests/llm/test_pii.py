@@ -94,6 +94,62 @@ def test_learns_rare_kinds_from_all_rows(spark, monkeypatch):
     assert {tuple(s) for s in added.pop(5000)} == {(3, 10, 24)} and not any(added.values())
 
 
+def test_learns_from_every_document(spark, monkeypatch):
+    """Whatever once bounded the documents and candidates that are learned from must not matter."""
+    for name in ("SAMPLE_DOCUMENTS", "KIND_DOCUMENTS", "SAMPLE_CANDIDATES"):
+        monkeypatch.setattr(operator, name, 4, raising=False)
+    docs = spark.createDataFrame(_corpus(phones=30), "doc_id long, text string").repartition(4)
+    added = {r.doc_id: set(r.spans) - set(r.base) for r in operator.find_personal_data(docs).collect()}
+    assert {tuple(s) for s in added.pop(5000)} == {(3, 10, 24)} and not any(added.values())
+
+
+def _cuts(column, bins=32):
+    """Of one kind's values: all if they are few, else those that hold one of the points 1/32, 2/32 and so on, and the ends."""
+    values, n = np.unique(column, return_counts=True)
+    upto = n.cumsum()
+    holds = upto * bins // len(column) > (upto - n) * bins // len(column)
+    return set(values[holds | (len(values) <= bins) | (upto == n)].tolist())
+
+
+def test_fit_equals_that_of_all_candidates_in_arrays(spark, monkeypatch):
+    from corpuscope.llm import boosting
+
+    monkeypatch.setattr(boosting, "ROWS", 60)  # several tasks add up their sums
+    rows = [(i, t + f" at {i * 7919 % 100_003}.{i % 251}.7.1" * (i % 3 == 0)) for i, t in _corpus(phones=30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    fitted = operator.fit_redactor(docs)
+
+    x, y, kinds, held_out = [], [], [], []
+    for text, part in docs.selectExpr("text", "(xxhash64(text, 11) >> 32) & 1").collect():
+        base = brute(text)
+        for kind, start, end in operator.candidates(text):
+            x.append(operator.features(text, kind, start, end))
+            y.append(int(any(k == kind and start - 1 <= s and e <= end + 1 and e - s >= 0.8 * (end - start) for k, s, e in base)))
+            kinds.append(kind)
+            held_out.append(part == 1)
+    x, y, kinds, held_out = np.array(x, float), np.array(y), np.array(kinds), np.array(held_out)
+    train, of = x[~held_out], kinds[~held_out]
+    cuts = [np.array(sorted(set().union(*(_cuts(column[of == k]) for k in set(of.tolist()))))) for column in train.T]
+    assert max(map(len, cuts)) > boosting.BINS
+    binned = np.column_stack([np.searchsorted(cut, column) for cut, column in zip(cuts, train.T)])
+    size, once = 1 + max(map(len, cuts)), np.ones(len(train))
+    whole = lambda *model: boosting.leaf_sums(*model, binned, y[~held_out], once, size)
+    trees, _ = boosting.boost(cuts, len(train), int(y[~held_out].sum()), whole)
+    # Equal candidates were summed as one row, so a sum may differ in its last places.
+    assert [(t.feature, t.bound) for t in fitted.trees.trees[:3]] == [(t.feature, t.bound) for t in trees.trees[:3]]
+    assert np.allclose(fitted.trees.probability(x), trees.probability(x), atol=1e-3)
+    odds = np.floor(fitted.trees.probability(x[held_out]) * operator.STEPS) / operator.STEPS
+    rest = y[held_out], np.ones(held_out.sum()), kinds[held_out]
+    assert fitted.thresholds == [operator._threshold(odds, *rest, k, operator.PRECISION) for k in range(4)]
+
+
+def test_candidates_on_one_side_alone(spark):
+    """One text is trained on or held out, never both: neither trees nor thresholds may need the other side."""
+    for text in ("call +49 30 1234567", "call +49 30 1234568", "call +49 30 1234569", "mail a@b.org", "host 1.2.3.4"):
+        docs = spark.createDataFrame([(1, text)] * 3, "doc_id long, text string")
+        assert operator.fit_redactor(docs).trees.trees == []
+
+
 def test_threshold_of_a_kind_judged_by_its_own_rows_or_all():
     odds, kinds = np.r_[np.full(40, 0.9), np.full(40, 0.6), np.full(5, 0.9)], np.r_[np.zeros(80, int), np.ones(5, int)]
     labels = np.r_[np.ones(40), np.zeros(40), np.ones(5)]
