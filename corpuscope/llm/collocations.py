@@ -1,8 +1,9 @@
-"""Phrase collocations: Apriori-safe candidates from hashed counts, counted exactly by broadcast double-array tries."""
+"""Phrase collocations: Apriori-safe candidates from hashed counts, counted exactly by double-array tries."""
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,10 +22,9 @@ INSIDE_PERCENT = 80  # a phrase goes when a longer one that holds it has this sh
 TOP = 2000
 BUCKET_BYTES = 48  # bytes of text for one bucket of the hashed counts
 BUCKETS = (1 << 12, 1 << 26)  # of one of the four bitmaps; the largest has 8 MB
-SHIPPED = 1 << 19  # candidates that a task sorts and sends at a time
-TRIE_BYTES = 1 << 23  # phrase bytes in one trie; more phrases take several passes, the result is the same
+TRIE_BYTES = 1 << 23  # phrase bytes from which on a task counts what it holds and begins a new trie; the result is the same
+HELD_BYTES = 1 << 25  # bytes of words that a task holds for one trie
 WIDE = 8  # children from which on a node gets 256 places of its own
-SLICE = 1 << 14  # counters that are added up in one group
 
 # The contract's separators.
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -157,61 +157,6 @@ def frequent_buckets(texts: DataFrame, buckets: int, min_count: int, max_words:
     return bitmaps
 
 
-def candidates(texts: DataFrame, bitmaps: list[np.ndarray], buckets: int) -> DataFrame:
-    """Distinct (lang, phrase) all of whose contiguous parts, and which themselves, lie in frequent buckets.
-
-    A phrase that occurs ``min_count`` times has only such parts, so none is lost.
-    """
-    parts = max(1, buckets // 100_000)
-    shared = texts.sparkSession.sparkContext.broadcast(bitmaps)
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = shared.value
-        seen, found = np.zeros(0, np.uint64), set()
-        for batch in batches:
-            langs = batch.column(0).to_pylist()
-            words = Words(_binary(batch.column(1)))
-            good = np.zeros(len(words.starts) + 1, bool)
-            fresh = []
-            for n, first, hashed in words.phrases(words.hashes(_seeds(langs)), len(maps)):
-                bucket = _bucket(hashed, buckets)
-                fits = ((maps[n - 1][bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1).astype(bool)
-                if n > 1:
-                    fits &= good[first] & good[first + 1]
-                good[:] = False
-                good[first[fits]] = True
-                known, where = np.unique(hashed[fits], return_index=True)
-                new = ~np.isin(known, seen, assume_unique=True)
-                fresh.append(known[new])
-                for i in first[fits][where[new]]:
-                    found.add((langs[words.text[i]], words.phrase(int(i), n)))
-            seen = np.concatenate([seen, *fresh])
-            if len(found) >= SHIPPED:
-                yield packed(found)
-                found = set()
-        if found:
-            yield packed(found)
-
-    def packed(found: set[tuple[str, bytes]]) -> pa.RecordBatch:
-        """Phrases of one language and part of the hash space, sorted and packed: much is alike in neighbours."""
-        groups: dict[tuple[str, int], list[bytes]] = {}
-        for lang, phrase in sorted(found):
-            groups.setdefault((lang, xxhash.xxh3_64_intdigest(phrase) % parts), []).append(phrase)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in groups], pa.string()), pa.array([k[1] for k in groups], pa.int32()),
-             pa.array([zlib.compress(b"\n".join(v)) for v in groups.values()], pa.binary())],
-            names=["lang", "part", "phrases"],
-        )
-
-    def union(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        every = sorted(set().union(*(zlib.decompress(blob).split(b"\n") for blob in rows.phrases)))
-        return pd.DataFrame({"lang": key[0], "phrase": every})
-
-    return texts.mapInArrow(find, "lang string, part int, phrases binary").groupBy("lang", "part").applyInPandas(
-        union, "lang string, phrase binary"
-    )
-
-
 class Trie:
     """Double-array trie over bytes: the child of state s by byte c is base[s] + c, if check of that is s."""
 
@@ -298,48 +243,133 @@ class Trie:
             state, at = following[on], at[on] + 1
 
 
-def _count_block(texts: DataFrame, block: DataFrame, min_count: int) -> DataFrame:
-    """lang, phrase, f of the phrases of one block that occur at least ``min_count`` times."""
-    table = block.orderBy("lang", "phrase").toArrow()  # TRIE_BYTES, save for one long phrase
-    names = table["lang"].combine_chunks().dictionary_encode()
-    langs, owners = names.dictionary.to_pylist(), names.indices.to_numpy()
-    phrases = table["phrase"].to_pylist()
-    joined, bounds = b"".join(phrases), np.cumsum([0, *map(len, phrases)])
-    size = len(phrases)
-    del table, names, phrases
-    trie = Trie(langs, owners, joined, bounds)
-    context = texts.sparkSession.sparkContext
-    shared = context.broadcast((trie.base, trie.check, trie.leaf, trie.roots, size))
-    listed = context.broadcast((langs, owners, joined, bounds))
+class Held:
+    """What counting needs of the words of a batch: the packed bytes, where words begin, and the number of their language."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *arrays, roots, size = shared.value
-        counts = np.zeros(-(-size // SLICE) * SLICE, np.int64)
+    def __init__(self, words: Words, langs: np.ndarray):
+        packed, begins = words.compact()
+        self.packed, self.begins, self.text = packed, begins.astype(np.int32), langs[words.text].astype(np.int32)
+
+    def compact(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.packed, self.begins
+
+
+class Tally:
+    """Candidates of the texts of one task, counted in turns: each turn holds texts of about ``HELD_BYTES`` or with
+    candidates of ``trie_bytes`` and counts them by one trie of these candidates. ``parts`` is into how many parts the
+    hash space of the phrases is cut."""
+
+    def __init__(self, parts: int, trie_bytes: int):
+        self.parts, self.trie_bytes = parts, trie_bytes
+        self.langs: dict[str, int] = {}
+        self._reset()
+
+    def _reset(self) -> None:
+        self.seen, self.found, self.held = np.zeros(0, np.uint64), set(), []
+        self.phrase_bytes = self.text_bytes = 0
+
+    def add(self, langs: list[str], words: Words, candidates: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        """Takes in a batch; ``candidates`` gives length, first words and hashes of its candidates."""
+        own = np.array([self.langs.setdefault(lang, len(self.langs)) for lang in langs], np.int32)
+        fresh = []
+        for n, first, hashed in candidates:
+            known, where = np.unique(hashed, return_index=True)
+            new = ~np.isin(known, self.seen, assume_unique=True)
+            fresh.append(known[new])
+            for i in first[where[new]].tolist():
+                phrase = words.phrase(i, n)
+                self.found.add((langs[words.text[i]], phrase))
+                self.phrase_bytes += len(phrase)
+        self.seen = np.concatenate([self.seen, *fresh])
+        self.held.append(Held(words, own))
+        self.text_bytes += len(self.held[-1].packed)
+
+    def full(self) -> bool:
+        return self.phrase_bytes >= self.trie_bytes or self.text_bytes >= HELD_BYTES
+
+    def counted(self) -> Iterator[pa.RecordBatch]:
+        """The candidates of this turn with their occurrences in its texts, packed by language and part."""
+        found, held = sorted(self.found), self.held
+        self._reset()
+        if not found:
+            return
+        langs = sorted({lang for lang, _ in found})
+        place = {lang: i for i, lang in enumerate(langs)}
+        phrases = [phrase for _, phrase in found]
+        owners = np.array([place[lang] for lang, _ in found], np.int32)
+        del found
+        roots = np.array([place.get(lang, -1) for lang in self.langs], np.int32)
+        bounds = np.cumsum([0, *map(len, phrases)])
+        counts = np.zeros(len(phrases), np.int64)
+        # One trie, or several where the last batch has brought many candidates.
+        cuts = np.unique(np.searchsorted(bounds, np.arange(0, bounds[-1], self.trie_bytes)))
+        for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(phrases)]):
+            trie = Trie(langs, owners[x:y], b"".join(phrases[x:y]), bounds[x : y + 1] - bounds[x])
+            for words in held:
+                Trie.count((trie.base, trie.check, trie.leaf), words, roots, counts[x:y])
+            del trie
+        del held
+        # Phrases of one language and part of the hash space, sorted and packed: much is alike in neighbours.
+        part = np.array([xxhash.xxh3_64_intdigest(phrase) % self.parts for phrase in phrases], np.int64)
+        order = np.lexsort((part, owners))
+        group = owners[order] * np.int64(self.parts) + part[order]
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        rows = [order[x:y] for x, y in zip(first, [*first[1:], len(order)])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([langs[owners[r[0]]] for r in rows], pa.string()), pa.array([int(part[r[0]]) for r in rows], pa.int32()),
+             pa.array([zlib.compress(b"\n".join([phrases[i] for i in r.tolist()])) for r in rows], pa.binary()),
+             pa.array([zlib.compress(counts[r].astype("<i8").tobytes(), 1) for r in rows], pa.binary())],
+            names=["lang", "part", "phrases", "counts"],
+        )
+
+
+def counted_candidates(texts: DataFrame, bitmaps: list[np.ndarray], buckets: int, min_count: int, trie_bytes: int) -> DataFrame:
+    """lang, phrase, f of the phrases that occur at least ``min_count`` times.
+
+    Candidates are the phrases all of whose contiguous parts, and which themselves, lie in frequent buckets: a phrase
+    that occurs ``min_count`` times has only such parts, so none is lost. Every task counts the candidates of its own
+    texts by tries of its own, so the texts are passed over once however many candidates there are; the counts of a
+    phrase are then added up by language and part of the hash space.
+    """
+    parts = max(1, buckets // 100_000)
+    shared = texts.sparkSession.sparkContext.broadcast(bitmaps)
+
+    def candidates(words: Words, langs: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        maps = shared.value
+        good = np.zeros(len(words.starts) + 1, bool)
+        for n, first, hashed in words.phrases(words.hashes(_seeds(langs)), len(maps)):
+            bucket = _bucket(hashed, buckets)
+            fits = ((maps[n - 1][bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1).astype(bool)
+            if n > 1:
+                fits &= good[first] & good[first + 1]
+            good[:] = False
+            good[first[fits]] = True
+            yield n, first[fits], hashed[fits]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally(parts, trie_bytes)
         for batch in batches:
-            own = np.array([roots.get(lang, -1) for lang in batch.column(0).to_pylist()], np.int32)
-            Trie.count(tuple(arrays), Words(_binary(batch.column(1))), own, counts)
-        for part in range(0, len(counts), SLICE):
-            if counts[part : part + SLICE].any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int64()), pa.array([_packed(counts[part : part + SLICE])], pa.binary())],
-                    names=["part", "counts"],
-                )
-
-    def add(key: tuple, shards: pd.DataFrame) -> pd.DataFrame:
-        total = sum(_unpacked(blob, SLICE, np.int64) for blob in shards.counts)
-        names, numbers, every, cuts = listed.value
-        often = np.flatnonzero(total >= min_count)
-        at = (int(key[0]) + often).tolist()
-        return pd.DataFrame({
-            "lang": [names[numbers[i]] for i in at], "phrase": [every[cuts[i] : cuts[i + 1]] for i in at], "f": total[often],
-        })
-
-    counted = texts.mapInArrow(count, "part long, counts binary").groupBy("part").applyInPandas(
+            langs = batch.column(0).to_pylist()
+            words = Words(_binary(batch.column(1)))
+            tally.add(langs, words, candidates(words, langs))
+            del words
+            if tally.full():
+                yield from tally.counted()
+        yield from tally.counted()
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = Counter()
+        for blob, counts in zip(rows.phrases, rows.counts):
+            for phrase, f in zip(zlib.decompress(blob).split(b"\n"), np.frombuffer(zlib.decompress(counts), "<i8").tolist()):
+                total[phrase] += f
+        often = sorted(phrase for phrase, f in total.items() if f >= min_count)
+        return pd.DataFrame({"lang": key[0], "phrase": often, "f": np.array([total[phrase] for phrase in often], np.int64)})
+
+    counted = texts.mapInArrow(find, "lang string, part int, phrases binary, counts binary").groupBy("lang", "part").applyInPandas(
         add, "lang string, phrase binary, f long"
     ).select("lang", F.col("phrase").cast("string").alias("phrase"), "f")
     counted = materialise(counted, "frequent")
     shared.destroy()
-    listed.destroy()
     return counted
 
 
@@ -349,9 +379,9 @@ def frequent_phrases(
 ) -> DataFrame:
     """lang, phrase, f of all phrases of 1 to ``max_words`` words that occur at least ``min_count`` times in a language.
 
-    A-Z are lower-cased; texts fall into pieces, pieces into words; NULL languages are ``und``, NULL texts empty. Three
-    passes: hashed counts, the candidates that they leave, exact counts by tries of at most ``trie_bytes`` phrase
-    bytes, one further pass per further trie.
+    A-Z are lower-cased; texts fall into pieces, pieces into words; NULL languages are ``und``, NULL texts empty. Two
+    passes, whatever the size of the texts: hashed counts; then the candidates that they leave, counted exactly by
+    tries of about ``trie_bytes`` phrase bytes in each task and added up.
     """
     small_batches(docs.sparkSession, 4)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), whole_text(text_col).alias("text"))
@@ -360,11 +390,7 @@ def frequent_phrases(
     buckets = min(max(-(-size // BUCKET_BYTES), BUCKETS[0]), BUCKETS[1])
     buckets = buckets if buckets < 1 << 16 and power_of_two(buckets) == buckets else -(-buckets // (1 << 16)) << 16
     bitmaps = frequent_buckets(texts, buckets, min_count, max_words)
-    found = materialise(candidates(texts, bitmaps, buckets), "phrases")
-    blocks = -(-(found.agg(F.sum(F.octet_length("phrase")).alias("n")).first().n or 0) // trie_bytes) or 1
-    block = F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks))
-    counted = [_count_block(texts, found.where(block == b), min_count) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, counted)
+    return counted_candidates(texts, bitmaps, buckets, min_count, trie_bytes)
 
 
 def collocations(

@@ -97,3 +97,31 @@ def test_trie_holds_wide_nodes_and_prefixes():
     known = set(phrases)
     spelled = Counter(w for w in (words.raw[a:b] for a, b in zip(words.starts, words.ends)) if w in known)
     assert {phrases[i]: int(c) for i, c in enumerate(counts) if c} == dict(spelled)
+
+
+def test_texts_are_passed_over_as_often_for_many_tries_as_for_one(spark):
+    rows = invented(5, 300)
+    read = {}
+    for trie_bytes in (1 << 24, 100):
+        seen = spark.sparkContext.accumulator(0)
+
+        def tallied(batches, seen=seen):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        docs = frame(spark, rows).mapInArrow(tallied, "doc_id long, lang string, text string, phrase string")
+        assert rows_of(operator.collocations(docs, trie_bytes=trie_bytes)) == brute(rows)
+        read[trie_bytes] = seen.value
+    assert read[1 << 24] == read[100] > 0
+
+
+def test_turns_of_few_bytes_add_up(spark, monkeypatch):
+    """A task that ends a turn behind every batch counts each text once."""
+    rows = invented(6, 400)
+    monkeypatch.setattr(operator, "HELD_BYTES", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert rows_of(operator.collocations(frame(spark, rows))) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
