@@ -19,7 +19,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuscope.functions.hashing import hash_uniform
-from corpuscope.operators import metrics
+from corpuscope.operators import forest, metrics
 from corpuscope.operators.features import assemble
 from corpuscope.operators.isotonic import pooled_blocks
 from corpuscope.operators.ordered import positions
@@ -76,7 +76,7 @@ class ModelScorer:
 
     @staticmethod
     def load(path: str) -> ModelScorer:
-        return ModelScorer(PipelineModel.load(path).stages)
+        return ModelScorer(forest.load_stages(path))
 
 
 def pipeline_scorer(model: PipelineModel) -> ModelScorer:
@@ -86,10 +86,13 @@ def pipeline_scorer(model: PipelineModel) -> ModelScorer:
     ])
 
 
+def _scaler() -> StandardScaler:
+    return StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
+
+
 def _scaled(stage) -> Pipeline:
     """Scaling and classifier in one pipeline, so that a saved model keeps both."""
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-    return Pipeline(stages=[scaler, stage])
+    return Pipeline(stages=[_scaler(), stage])
 
 
 def fit_logreg(train: DataFrame, label: str = "label") -> PipelineModel:
@@ -105,12 +108,23 @@ def fit_forest(train: DataFrame, label: str = "label", trees: int = 100, max_dep
                seed: int = 42) -> PipelineModel:
     """Trees grown to purity, or to ``max_depth`` levels.
 
-    Rows keep the node that they are in, so a pass over them does not descend all trees again.
+    Rows keep the node that they are in, so a pass over them does not descend all trees again. Trees whose nodes may not
+    fit on the driver together are fitted a few at a time, each time with another seed, and kept in the shared folder.
     """
     weight = {"weightCol": "weight"} if "weight" in train.columns else {}
-    return _scaled(RandomForestClassifier(
-        featuresCol="scaled", labelCol=label, numTrees=trees, maxDepth=max_depth, seed=seed, cacheNodeIds=True,
-        **weight)).fit(train)
+
+    def some(n: int, before: int) -> RandomForestClassifier:
+        return RandomForestClassifier(
+            featuresCol="scaled", labelCol=label, numTrees=n, maxDepth=max_depth, seed=seed + 1_000_003 * before, cacheNodeIds=True,
+            **weight)
+
+    at_once = forest.trees_at_once(train.count(), trees)
+    if at_once >= trees:
+        return _scaled(some(trees, 0)).fit(train)
+    scaler = _scaler().fit(train)
+    scaled = materialise(scaler.transform(train), "scaled")
+    parts = forest.fit_parts(train.sparkSession, trees, at_once, lambda n, before: some(n, before).fit(scaled))
+    return PipelineModel([scaler, forest.PartedForest(parts, "scaled")])
 
 
 def fit_boosted(train: DataFrame, label: str = "label", val: DataFrame | None = None,
@@ -248,12 +262,12 @@ def score_all(scorer: Scorer, rows: DataFrame, key: str, threshold: float, exclu
 
 
 def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+    forest.save_stages(model, path)
 
 
 def load_scorer(path: str) -> ModelScorer:
     """The scorer of a saved classifier that has no score of its own yet."""
-    return pipeline_scorer(PipelineModel.load(path))
+    return pipeline_scorer(PipelineModel(forest.load_stages(path)))
 
 
 def independent_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:

@@ -7,10 +7,12 @@ import threading
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from corpuscope.operators import models
+from corpuscope.operators import forest, models
 from corpuscope.operators.isotonic import pooled_blocks
 from corpuscope.plans import relevance
 
@@ -158,3 +160,38 @@ def test_models_are_fitted_at_the_same_time(spark, monkeypatch):
     table, scorers = models.compare_models(*parts, "id", names=("svm", "logreg"))
     assert [r.model for r in table.collect()] == ["svm", "logreg"] and list(scorers) == ["svm", "logreg"]
     assert all(r.test_roc_auc > 0.9 for r in table.collect())
+
+
+def test_large_forest_is_fitted_asked_saved_and_read_in_parts(spark, tmp_path, monkeypatch):
+    """No more nodes at once on the driver than the bound, one tree aside; another session reads one forest of all trees."""
+    rows = vectors(spark).persist()
+    monkeypatch.setattr(forest, "NODES_AT_ONCE", 800)
+    most = []
+    load = RandomForestClassificationModel.load.__func__
+
+    def watched(cls, path):
+        model = load(cls, path)
+        most.append(model.totalNumNodes)
+        return model
+
+    monkeypatch.setattr(RandomForestClassificationModel, "load", classmethod(watched))
+    scorer = models.pipeline_scorer(models.fit_forest(rows, trees=4)).with_threshold(0.4)
+    asked = rows.unionByName(rows.where("id < 5"))
+    want = sorted((r.id, r.score) for r in scorer(asked).collect())
+    assert len(want) == 305 and len(most) == 2 and max(most) <= 800
+    hits = sum((score >= 0.4) == bool(label) for (_, score), label in zip(
+        want, [r.label for r in asked.orderBy("id").collect()]))
+    assert hits > 290
+    scorer.save(str(tmp_path / "m"))
+    stages = PipelineModel.load(str(tmp_path / "m")).stages
+    assert stages[1].getNumTrees == 4 and stages[1].totalNumNodes == sum(most[:2])
+    assert stages[1].numFeatures == 3
+    monkeypatch.setattr(forest, "NODES_AT_ONCE", 100)
+    again = models.ModelScorer.load(str(tmp_path / "m"))
+    assert isinstance(again.model.stages[1], forest.PartedForest)
+    for reader in (again, PipelineModel(stages).transform):
+        found = sorted((r.id, r.score) for r in reader(asked).collect())
+        assert [i for i, _ in found] == [i for i, _ in want]
+        assert np.allclose([s for _, s in found], [s for _, s in want], rtol=0, atol=1e-12)
+    again.save(str(tmp_path / "n"))
+    assert PipelineModel.load(str(tmp_path / "n")).stages[1].totalNumNodes == stages[1].totalNumNodes
